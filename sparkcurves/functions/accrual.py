@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sparkcurves.functions.exprs import as_convention, choose
+from sparkcurves.functions.exprs import Convention, by_convention, choose
 
 # Year fraction of one period, by frequency and calendar.
 FREQUENCY_FRACTION_USD = {
@@ -29,34 +29,36 @@ def _thirty_360(start: Column, end: Column, first_day: Column, last_day: Column)
     return (months * 30 + (last_day - first_day)) / F.lit(360.0)
 
 
-def year_fraction(convention: str | Column, start: Column, end: Column) -> Column:
+def year_fraction(convention: Convention, start: Column, end: Column) -> Column:
     """Accrual factor for ACT/360, ACT/365F, 30/360 (no February rule) and 30E/360."""
-    convention = as_convention(convention)
     days = F.datediff(end, start)
     first_day = F.least(F.dayofmonth(start), F.lit(30))
     last_day = F.dayofmonth(end)
-    us_last_day = F.when((last_day == 31) & (first_day == 30), 30).otherwise(last_day)
-    return (
-        F.when(convention == "ACT/360", days / F.lit(360.0))
-        .when(convention == "ACT/365F", days / F.lit(365.0))
-        .when(convention == "30/360", _thirty_360(start, end, first_day, us_last_day))
-        .when(convention == "30E/360", _thirty_360(start, end, first_day, F.least(last_day, F.lit(30))))
-    )
 
+    def thirty_us() -> Column:
+        cut = F.when((last_day == 31) & (first_day == 30), 30).otherwise(last_day)
+        return _thirty_360(start, end, first_day, cut)
 
-def discount_factor(compounding: str | Column, rate: Column, fraction: Column) -> Column:
+    return by_convention(convention, {
+        "ACT/360": lambda: days / F.lit(360.0),
+        "ACT/365F": lambda: days / F.lit(365.0),
+        "30/360": thirty_us,
+        "30E/360": lambda: _thirty_360(start, end, first_day, F.least(last_day, F.lit(30))),
+    })
+
+
+def discount_factor(compounding: Convention, rate: Column, fraction: Column) -> Column:
     """Discount factor of one rate over one period: Linear, Compound or Continuous."""
-    compounding = as_convention(compounding)
-    return (
-        F.when(compounding == "Linear", 1.0 / (1.0 + rate * fraction))
-        .when(compounding == "Compound", 1.0 / F.pow(1.0 + rate, fraction))
-        .when(compounding == "Continuous", F.exp(-rate * fraction))
-    )
+    return by_convention(compounding, {
+        "Linear": lambda: 1.0 / (1.0 + rate * fraction),
+        "Compound": lambda: 1.0 / F.pow(1.0 + rate, fraction),
+        "Continuous": lambda: F.exp(-rate * fraction),
+    })
 
 
-def frequency_fraction(frequency: str | Column, calendar: str | Column) -> Column:
+def frequency_fraction(frequency: Convention, calendar: Convention) -> Column:
     """Nominal year fraction of a payment frequency; NULL where none is defined."""
-    frequency = as_convention(frequency)
-    return F.when(as_convention(calendar) == "MXN", choose(frequency, FREQUENCY_FRACTION_MXN)).otherwise(
-        choose(frequency, FREQUENCY_FRACTION_USD)
-    )
+    return by_convention(calendar, {
+        "USD": lambda: choose(frequency, FREQUENCY_FRACTION_USD),
+        "MXN": lambda: choose(frequency, FREQUENCY_FRACTION_MXN),
+    })

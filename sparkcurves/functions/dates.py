@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkcurves.functions.exprs import as_convention, choose
+from sparkcurves.functions.exprs import Convention, by_convention, choose
 
 # Length of one tenor unit and of one coupon period per calendar.
 TENOR_MONTHS_USD = {"M": 1, "Q": 3, "S": 6, "Y": 12}
@@ -58,25 +58,35 @@ def _whole(value: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("int"))
 
 
-def add_tenor(date: Column, number: Column, unit: Column, calendar: str | Column) -> Column:
+def add_tenor(date: Column, number: Column, unit: Column, calendar: Convention) -> Column:
     """Unrolled end date; NULL when the tenor does not parse or is no whole number of steps."""
-    by_months = F.add_months(date, _whole(number * choose(unit, TENOR_MONTHS_USD)))
-    by_days = F.date_add(date, _whole(number * choose(unit, TENOR_DAYS_MXN)))
-    return (
-        F.when(unit.isin("D", "W"), F.date_add(date, _whole(number * F.when(unit == "W", 7).otherwise(1))))
-        .when(as_convention(calendar) == "MXN", by_days)
-        .otherwise(by_months)
-    )
+    days = _whole(number * F.when(unit == "W", 7).otherwise(1))
+    long_end = by_convention(calendar, {
+        "USD": lambda: F.add_months(date, _whole(number * choose(unit, TENOR_MONTHS_USD))),
+        "MXN": lambda: F.date_add(date, _whole(number * choose(unit, TENOR_DAYS_MXN))),
+    })
+    return F.when(unit.isin("D", "W"), F.date_add(date, days)).otherwise(long_end)
 
 
-def shift(date: Column, frequency: str | Column, count: Column, calendar: str | Column) -> Column:
+def shift(date: Column, frequency: Convention, count: Column, calendar: Convention) -> Column:
     """Move an anchor date by `count` coupon periods, always from the anchor itself."""
-    frequency = as_convention(frequency)
-    return (
-        F.when(frequency.isin(*PERIOD_DAYS_ANY), F.date_add(date, count * choose(frequency, PERIOD_DAYS_ANY)))
-        .when(as_convention(calendar) == "MXN", F.date_add(date, count * choose(frequency, PERIOD_DAYS_MXN)))
-        .otherwise(F.add_months(date, count * choose(frequency, PERIOD_MONTHS_USD)))
-    )
+
+    def by_days(table: dict) -> dict:
+        return {name: lambda days=days: F.date_add(date, count * days) for name, days in table.items()}
+
+    by_months = {
+        name: lambda months=months: F.add_months(date, count * months) for name, months in PERIOD_MONTHS_USD.items()
+    }
+    plain = by_days(PERIOD_DAYS_ANY)
+    return by_convention(calendar, {
+        "USD": lambda: by_convention(frequency, plain | by_months),
+        "MXN": lambda: by_convention(frequency, plain | by_days(PERIOD_DAYS_MXN)),
+    })
+
+
+def payment_date(start: Column, frequency: Convention, k: Column, calendar: Convention) -> Column:
+    """k-th payment date of a schedule; the start itself is taken as it is, the rest roll."""
+    return F.when(k <= 0, start).otherwise(roll(shift(start, frequency, k, calendar)))
 
 
 def month_span(start: Column, end: Column) -> Column:
@@ -84,7 +94,7 @@ def month_span(start: Column, end: Column) -> Column:
     return (F.year(end) - F.year(start)) * 12 + (F.month(end) - F.month(start))
 
 
-def payment_count(frequency: str | Column, start: Column, end: Column) -> Column:
+def payment_count(frequency: Convention, start: Column, end: Column) -> Column:
     """Payments between two dates, counted on calendar months.
 
     Annual and semiannual counts round up. The quarterly count divides the months left over
@@ -93,23 +103,22 @@ def payment_count(frequency: str | Column, start: Column, end: Column) -> Column
     """
     years = F.year(end) - F.year(start)
     months = F.month(end) - F.month(start)
-    frequency = as_convention(frequency)
-    return (
-        F.when(frequency == "Annual", years + F.ceil(months / 12.0))
-        .when(frequency == "SemiAnnual", years * 2 + F.ceil(months / 6.0))
-        .when(frequency == "Quarterly", years * 4 + F.bround(months / 4.0))
-        .when(frequency == "Monthly", years * 12 + months)
-        .cast("int")
-    )
+    return by_convention(frequency, {
+        "Annual": lambda: years + F.ceil(months / 12.0),
+        "SemiAnnual": lambda: years * 2 + F.ceil(months / 6.0),
+        "Quarterly": lambda: years * 4 + F.bround(months / 4.0),
+        "Monthly": lambda: years * 12 + months,
+    }).cast("int")
 
 
-def schedule_count(frequency: str | Column, start: Column, end: Column) -> Column:
+def schedule_count(frequency: Convention, start: Column, end: Column) -> Column:
     """Payments of a schedule: as `payment_count`, but a quarter has three months; at least one."""
-    years = F.year(end) - F.year(start)
-    months = F.month(end) - F.month(start)
-    quarterly = (years * 4 + F.bround(months / 3.0)).cast("int")
-    count = F.when(as_convention(frequency) == "Quarterly", quarterly).otherwise(payment_count(frequency, start, end))
-    return F.greatest(count, F.lit(1))
+
+    def quarterly() -> Column:
+        return ((F.year(end) - F.year(start)) * 4 + F.bround((F.month(end) - F.month(start)) / 3.0)).cast("int")
+
+    counts = {name: lambda name=name: payment_count(name, start, end) for name in PERIOD_MONTHS_USD}
+    return F.greatest(by_convention(frequency, counts | {"Quarterly": quarterly}), F.lit(1))
 
 
 def ratio_count(start: Column, end: Column, period_end: Column) -> Column:
@@ -122,19 +131,24 @@ def day_count_ratio(start: Column, end: Column, period_fraction: Column) -> Colu
     return F.rint(F.datediff(end, start) / (period_fraction * 365.0)).cast("int")
 
 
-def periods_up_to(start: Column, end: Column, frequency: str | Column, calendar: str | Column) -> Column:
+def periods_up_to(start: Column, end: Column, frequency: Convention, calendar: Convention) -> Column:
     """Largest k with shift(start, k) <= end; `end` must be a business day."""
-    frequency = as_convention(frequency)
-    span = month_span(start, end)
-    by_month = F.floor(span / choose(frequency, PERIOD_MONTHS_USD)).cast("int")
-    not_reached = F.add_months(start, by_month * choose(frequency, PERIOD_MONTHS_USD)) > end
-    days = F.datediff(end, start)
-    return (
-        F.when(frequency.isin(*PERIOD_DAYS_ANY), F.floor(days / choose(frequency, PERIOD_DAYS_ANY)))
-        .when(as_convention(calendar) == "MXN", F.floor(days / choose(frequency, PERIOD_DAYS_MXN)))
-        .otherwise(by_month - F.when(not_reached, 1).otherwise(0))
-        .cast("int")
-    )
+
+    def by_days(table: dict) -> dict:
+        return {
+            name: lambda days=days: F.floor(F.datediff(end, start) / days).cast("int") for name, days in table.items()
+        }
+
+    def by_months(months: int) -> Column:
+        reached = F.floor(month_span(start, end) / months).cast("int")
+        return reached - F.when(F.add_months(start, reached * months) > end, 1).otherwise(0)
+
+    plain = by_days(PERIOD_DAYS_ANY)
+    calendar_months = {name: lambda months=months: by_months(months) for name, months in PERIOD_MONTHS_USD.items()}
+    return by_convention(calendar, {
+        "USD": lambda: by_convention(frequency, plain | calendar_months),
+        "MXN": lambda: by_convention(frequency, plain | by_days(PERIOD_DAYS_MXN)),
+    })
 
 
 def third_wednesday(month_start: Column) -> Column:
@@ -146,19 +160,23 @@ def futures_date(date: Column, index: Column) -> Column:
     return third_wednesday(F.add_months(F.trunc(date, "quarter"), index * 3 + 2))
 
 
-def overnight_date(today: Column, rule: str | Column) -> Column:
+def overnight_date(today: Column, rule: Convention) -> Column:
     """End of the overnight deposit. Same-day curves do not roll it."""
-    return F.when(as_convention(rule) == "same_day", F.date_add(today, 1)).otherwise(roll(F.date_add(today, 1)))
+    rolled = roll(F.date_add(today, 1))
+    return by_convention(rule, {
+        "after_overnight": lambda: rolled,
+        "two_days": lambda: rolled,
+        "same_day": lambda: F.date_add(today, 1),
+    })
 
 
-def spot_date(today: Column, rule: str | Column) -> Column:
+def spot_date(today: Column, rule: Convention) -> Column:
     """Start of spot trades: one day after the overnight end, two days after today, or today."""
-    rule = as_convention(rule)
-    return (
-        F.when(rule == "after_overnight", roll(F.date_add(overnight_date(today, rule), 1)))
-        .when(rule == "two_days", roll(F.date_add(today, 2)))
-        .when(rule == "same_day", roll(today))
-    )
+    return by_convention(rule, {
+        "after_overnight": lambda: roll(F.date_add(overnight_date(today, "after_overnight"), 1)),
+        "two_days": lambda: roll(F.date_add(today, 2)),
+        "same_day": lambda: roll(today),
+    })
 
 
 def settlement_pair(today: Column, lag: Column) -> tuple[Column, Column]:

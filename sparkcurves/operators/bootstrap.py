@@ -1,16 +1,11 @@
 """Bootstrapping: one discount factor per pillar, for all curves and dates in one job.
 
 Pillars of a curve depend on each other, curves do not. So the work is spread over
-(curve, date) and each curve's pillars - a short array - are folded in order.
+(curve, date) and each curve's pillars - a short array - are folded in order (see `fold`).
 
 All par instruments of one curve pay on the same grid of dates, counted from spot. The fold
-therefore carries the running sum over the grid dates already known; a new pillar only looks
-at the grid dates in its own gap, and the cost of a curve is the number of grid dates, not
-pillars times payments. In the gap ln df is linear in the unknown, so every instrument ends as
-
-    const + sum_i  p_i * exp(a_i + b_i * y) = 0,      y = ln df(new) - ln df(last)
-
-which Newton's method solves from y = 0; with a single term it is solved outright.
+carries the running sum over the grid dates already known, so a new pillar only looks at the
+grid dates in its own gap: a curve costs its number of grid dates, not pillars times payments.
 """
 
 from __future__ import annotations
@@ -21,15 +16,13 @@ from pyspark.sql import functions as F
 from sparkcurves.functions import dates as D
 from sparkcurves.functions.accrual import year_fraction
 from sparkcurves.functions.exprs import let
+from sparkcurves.operators.fold import fold_sql
 from sparkcurves.operators.interpolation import gathered, log_df_at
 from sparkcurves.operators.joins import salted_join
 from sparkcurves.operators.pillars import CURVE_KEY, CurveRules, with_dates, with_simple_df
 
-NEWTON_STEPS = 8
 TOLERANCE = 1e-10
 
-_TERM = "array<struct<p:double,a:double,b:double>>"
-_GRID = "array<struct<k:int,d:int,tau:double,lp:double>>"
 _RESULT_FIELDS = (
     "pos", "tenor", "type_rate", "rate", "is_missing", "start_date", "end_date", "days", "payments", "target",
 )
@@ -50,7 +43,7 @@ def prepare(quotes: DataFrame, rules: CurveRules) -> DataFrame:
 def with_schedule(pillars: DataFrame, rules: CurveRules) -> DataFrame:
     """Grid dates up to each pillar, and the length of its own last period."""
     spot, end = F.col("spot_date"), F.col("end_date")
-    last_start = D.roll(D.shift(spot, rules.frequency, F.col("payments") - 1, rules.calendar))
+    last_start = D.payment_date(spot, rules.frequency, F.col("payments") - 1, rules.calendar)
     return pillars.withColumns({
         "grid_count": F.when(end < spot, -1).otherwise(D.periods_up_to(spot, end, rules.frequency, rules.calendar)),
         "last_fraction": year_fraction(rules.day_count, last_start, end),
@@ -58,159 +51,22 @@ def with_schedule(pillars: DataFrame, rules: CurveRules) -> DataFrame:
     })
 
 
-def _grid(known: Column, upto: Column, spot: Column, base: Column, rules: CurveRules, discount: Column | None) -> Column:
-    """Grid points k = known+1 .. upto: day, accrual since k-1, and ln P on the discount curve."""
+def _grid(spot: Column, base: Column, rules: CurveRules, discount: Column | None) -> Column:
+    """Payment dates k = 0, 1, ... up to the last pillar: day, accrual since k-1, ln P."""
 
     def point(k: Column) -> Column:
-        date = D.roll(D.shift(spot, rules.frequency, k, rules.calendar))
-        before = D.roll(D.shift(spot, rules.frequency, k - 1, rules.calendar))
-        tau = F.when(k == 0, 0.0).otherwise(year_fraction(rules.day_count, before, date))
-        day = F.datediff(date, base)
-        return F.struct(
-            k.cast("int").alias("k"), day.alias("d"), tau.cast("double").alias("tau"),
-            (F.lit(0.0) if discount is None else log_df_at(discount, day)).alias("lp"),
-        )
-
-    points = F.transform(F.sequence(known + 1, upto), point)
-    return F.when(upto > known, points.cast(_GRID)).otherwise(F.array().cast(_GRID))
-
-
-def _solve(const: Column, terms: Column) -> Column:
-    """y with const + sum p*exp(a + b*y) = 0, and the residual left there."""
-
-    def value_and_slope(y: Column) -> Column:
-        zero = F.struct(const.cast("double").alias("f"), F.lit(0.0).alias("df"))
-        return F.aggregate(
-            terms, zero,
-            lambda s, t: let(
-                t["p"] * F.exp(t["a"] + t["b"] * y),
-                lambda v: F.struct((s["f"] + v).alias("f"), (s["df"] + v * t["b"]).alias("df")),
-            ),
-        )
-
-    def newton(y: Column, _: Column) -> Column:
-        return let(value_and_slope(y), lambda s: y - F.try_divide(s["f"], s["df"]))
-
-    iterated = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), newton)
-    only = F.get(terms, F.lit(0))
-    outright = F.try_divide(F.ln(F.try_divide(-const, only["p"])) - only["a"], only["b"])
-    return let(
-        F.when(F.size(terms) == 1, outright).otherwise(iterated),
-        lambda y: F.struct(y.alias("y"), value_and_slope(y)["f"].alias("r")),
-    )
-
-
-def _weight(day: Column, t: Column, end: Column) -> Column:
-    return F.when(end > t, (day - t) / (end - t).cast("double")).otherwise(1.0)
-
-
-def _par_equation(acc: Column, p: Column, grid: Column) -> Column:
-    """Bond quoted at `target`: coupons at the known annuity, in the gap, and the last payment."""
-    known_k = F.least(p["payments"] - 1, acc["g"])
-    const = p["rate"] * F.when(known_k >= 0, F.get(acc["cum"], known_k)).otherwise(0.0) - p["target"]
-    coupons = F.transform(
-        F.filter(grid, lambda s: (s["k"] > 0) & (s["k"] < p["payments"])),
-        lambda s: F.struct(
-            (p["rate"] * s["tau"]).alias("p"), acc["l"].alias("a"), _weight(s["d"], acc["t"], p["days"]).alias("b"),
-        ),
-    ).cast(_TERM)
-    last = F.struct((1.0 + p["rate"] * p["last_fraction"]).alias("p"), acc["l"].alias("a"), F.lit(1.0).alias("b"))
-    return F.struct(const.alias("const"), F.concat(coupons, F.array(last).cast(_TERM)).alias("terms"))
-
-
-def _swap_equation(acc: Column, p: Column, grid: Column, discount: Column) -> Column:
-    """Floating leg worth `target`: each period pays the ratio of two projection factors less 1."""
-    known_k = F.least(p["payments"] - 1, acc["g"])
-    known = F.when(known_k >= 0, F.get(acc["cum"], known_k)).otherwise(0.0)
-    own = F.filter(grid, lambda s: s["k"] < p["payments"])
-
-    def period(s: Column, i: Column) -> Column:
-        w = _weight(s["d"], acc["t"], p["days"])
-        before = F.get(own, i - 1)
-        first = i == 0
-        known_start = F.get(acc["lf"], acc["g"]) - acc["l"]
-        return F.struct(
-            F.exp(s["lp"]).alias("p"),
-            F.when(first, known_start).otherwise(0.0).alias("a"),
-            (F.when(first, 0.0).otherwise(_weight(before["d"], acc["t"], p["days"])) - w).alias("b"),
-        )
-
-    last_known = p["payments"] - 1 <= acc["g"]
-    last_grid = F.get(own, F.size(own) - 1)
-    last = F.struct(
-        F.exp(log_df_at(discount, p["days"])).alias("p"),
-        F.when(last_known, F.get(acc["lf"], p["payments"] - 1) - acc["l"]).otherwise(0.0).alias("a"),
-        F.when(last_known, F.lit(-1.0)).otherwise(_weight(last_grid["d"], acc["t"], p["days"]) - 1.0).alias("b"),
-    )
-    # every period also pays -P(end), and the notional +P(last end): the last two cancel
-    terms = F.concat(F.transform(own, period).cast(_TERM), F.array(last).cast(_TERM))
-    paid = F.aggregate(own, F.lit(0.0), lambda total, s: total + F.exp(s["lp"]))
-    return F.struct((known - paid - p["target"]).alias("const"), terms.alias("terms"))
-
-
-def _fold(pillars: Column, spot: Column, rules: CurveRules, discount: Column | None) -> Column:
-    """Array of struct(t, x = ln df, r = residual), one per pillar in order."""
-    zero = F.struct(
-        F.lit(0).alias("t"), F.lit(0.0).alias("l"), F.lit(-1).alias("g"), F.lit(0.0).alias("anchor"),
-        F.array().cast("array<double>").alias("cum"), F.array().cast("array<double>").alias("lf"),
-        F.array().cast("array<struct<t:int,x:double,r:double>>").alias("out"),
-    )
-
-    def closed_form(acc: Column, p: Column) -> Column:
-        own = F.ln(p["simple_df"])
-        so_far = F.transform(acc["out"], lambda o: F.struct(o["t"].alias("t"), o["x"].alias("l")))
-        first_future = F.get(acc["out"], F.size(acc["out"]) - 1)["t"] != p["future_start"]
-        anchored = own if rules.base == "spot" else own + acc["anchor"]
-        return (
-            F.when(p["type_rate"] == "OverNight", own + acc["anchor"])
-            .when(p["type_rate"] == "Cash", anchored)
-            .otherwise(own + F.when(first_future, log_df_at(so_far, p["future_start"])).otherwise(acc["l"]))
+        ends = F.struct(
+            D.payment_date(spot, rules.frequency, k - 1, rules.calendar).alias("before"),
+            D.payment_date(spot, rules.frequency, k, rules.calendar).alias("date"),
         )
+        return let(ends, lambda e: F.struct(
+            k.alias("k"), F.datediff(e["date"], base).alias("d"),
+            F.when(k == 0, 0.0).otherwise(year_fraction(rules.day_count, e["before"], e["date"])).alias("tau"),
+            (F.lit(0.0) if discount is None else log_df_at(discount, F.datediff(e["date"], base))).alias("lp"),
+        ))
 
-    def solved(acc: Column, p: Column, grid: Column) -> Column:
-        equation = _par_equation(acc, p, grid) if discount is None else _swap_equation(acc, p, grid, discount)
-        return let(
-            equation,
-            lambda e: let(_solve(e["const"], e["terms"]), lambda s: F.struct((acc["l"] + s["y"]).alias("x"), s["r"].alias("r"))),
-        )
-
-    def advance(acc: Column, p: Column, grid: Column, x: Column, residual: Column) -> Column:
-        left = F.when(F.size(acc["out"]) == 0, x).otherwise(acc["l"])
-        log_factors = F.transform(grid, lambda s: left + (x - left) * _weight(s["d"], acc["t"], p["days"]))
-
-        def grow(c: Column, i: Column) -> Column:
-            s, lf = F.get(grid, i), F.get(log_factors, i)
-            if discount is None:
-                gain = s["tau"] * F.exp(lf)
-            else:
-                start = F.when(i > 0, F.get(log_factors, i - 1)).otherwise(F.get(acc["lf"], acc["g"]))
-                gain = F.when(s["k"] > 0, (F.exp(start - lf) - 1.0) * F.exp(s["lp"])).otherwise(0.0)
-            total = F.coalesce(F.get(c, F.size(c) - 1), F.lit(0.0)) + gain
-            return F.concat(c, F.array(total))
-
-        steps = F.transform(grid, lambda s, i: i)
-        night = p["type_rate"] == "OverNight"
-        return F.struct(
-            p["days"].alias("t"), x.alias("l"), F.greatest(acc["g"], p["grid_count"]).alias("g"),
-            F.when(night, x).otherwise(acc["anchor"]).alias("anchor"),
-            F.aggregate(steps, acc["cum"], grow).alias("cum"),
-            F.concat(acc["lf"], log_factors).alias("lf"),
-            F.concat(acc["out"], F.array(F.struct(p["days"].alias("t"), x.alias("x"), residual.alias("r")))).alias("out"),
-        )
-
-    def step(acc: Column, p: Column) -> Column:
-        base = spot if rules.base == "spot" else F.col("val_date")
-        return let(
-            _grid(acc["g"], p["grid_count"], spot, base, rules, discount),
-            lambda grid: let(
-                F.when(
-                    p["type_rate"].isin("Bond", "Swap"), solved(acc, p, grid)
-                ).otherwise(F.struct(closed_form(acc, p).alias("x"), F.lit(0.0).alias("r"))),
-                lambda s: advance(acc, p, grid, s["x"], s["r"]),
-            ),
-        )
-
-    return F.aggregate(pillars, zero, step, lambda acc: acc["out"])
+    last = F.greatest(F.array_max(F.transform("pillars", lambda p: p["grid_count"])), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), point)
 
 
 def bootstrap(pillars: DataFrame, rules: CurveRules) -> DataFrame:
@@ -246,7 +102,9 @@ def bootstrap_dual(
             p["rate"], p["end_date"], F.col("spot_date"), F.col("val_date"), F.col("discount"),
             fixed_frequency, fixed_day_count, rules,
         )
-        return p.withField("target", F.when(p["type_rate"] == "Swap", value).otherwise(p["target"]))
+        return p.withField("target", F.when(p["type_rate"] == "Swap", value).otherwise(p["target"])).withField(
+            "lp", log_df_at(F.col("discount"), p["days"])
+        )
 
     aimed = rows.withColumn("pillars", F.transform("pillars", aim))
     return _solve_rows(aimed, rules, F.col("discount"))
@@ -261,12 +119,12 @@ def fixed_leg_value(
     count = D.schedule_count(frequency, counted_from, end)
 
     def paid(k: Column, n: Column) -> Column:
-        before = D.roll(D.shift(spot, frequency, k - 1, rules.calendar))
-        date = F.when(k == n, end).otherwise(D.roll(D.shift(spot, frequency, k, rules.calendar)))
+        before = D.payment_date(spot, frequency, k - 1, rules.calendar)
+        date = F.when(k == n, end).otherwise(D.payment_date(spot, frequency, k, rules.calendar))
         return let(
-            date,
-            lambda at: (rate * year_fraction(day_count, before, at) + F.when(k == n, 1.0).otherwise(0.0))
-            * F.exp(log_df_at(discount, F.datediff(at, today))),
+            F.struct(before.alias("before"), date.alias("at")),
+            lambda e: (rate * year_fraction(day_count, e["before"], e["at"]) + F.when(k == n, 1.0).otherwise(0.0))
+            * F.exp(log_df_at(discount, F.datediff(e["at"], today))),
         )
 
     return let(
@@ -276,7 +134,10 @@ def fixed_leg_value(
 
 
 def _solve_rows(rows: DataFrame, rules: CurveRules, discount: Column | None) -> DataFrame:
-    folded = rows.withColumn("solved", _fold(F.col("pillars"), F.col("spot_date"), rules, discount))
+    base = F.col("spot_date") if rules.base == "spot" else F.col("val_date")
+    gridded = rows.withColumn("grid", _grid(F.col("spot_date"), base, rules, discount))
+    solve = fold_sql(dual=discount is not None, anchored=rules.base == "today")
+    folded = gridded.withColumn("solved", F.expr(solve))
     zipped = F.transform(
         "pillars",
         lambda p, i: F.struct(

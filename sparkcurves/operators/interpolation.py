@@ -6,16 +6,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurves.functions.exprs import let
+from sparkcurves.operators.joins import salted_join
 from sparkcurves.operators.pillars import CURVE_KEY
 
 DAY_MIN, DAY_MAX = -(2**31), 2**31 - 1
 
 
-def segments(curve: DataFrame) -> DataFrame:
+def segments(curve: DataFrame, keys: list[str] = CURVE_KEY) -> DataFrame:
     """Half-open day ranges between pillars; the ends reach out without bound and are flat."""
-    order = Window.partitionBy(*CURVE_KEY).orderBy("days")
+    order = Window.partitionBy(*keys).orderBy("days")
     return curve.select(
-        *CURVE_KEY,
+        *keys,
         F.when(F.lag("days").over(order).isNull(), DAY_MIN).otherwise(F.col("days")).alias("from_day"),
         F.coalesce(F.lead("days").over(order), F.lit(DAY_MAX)).alias("to_day"),
         F.col("days").alias("day_lo"),
@@ -25,28 +26,28 @@ def segments(curve: DataFrame) -> DataFrame:
     )
 
 
-def _weight(day: Column) -> Column:
-    inside = (F.col("day_hi").isNotNull()) & (day > F.col("day_lo"))
-    return F.when(inside, (day - F.col("day_lo")) / (F.col("day_hi") - F.col("day_lo"))).otherwise(0.0)
-
-
-def interpolate(points: DataFrame, curve: DataFrame, day: str = "day", linear: bool = False) -> DataFrame:
-    """Discount factor of every point: equality on (curve, date), then the day range.
+def interpolate(
+    points: DataFrame, curve: DataFrame, day: str = "day", name: str = "df",
+    keys: list[str] = CURVE_KEY, spread: str | None = None, linear: bool = False,
+) -> DataFrame:
+    """Add the discount factor at `day`: equality on the curve's key, then the day range.
 
     The equality keeps this a hash or merge join; only the few segments of one curve are
-    compared with each point. Factors are log-linear between pillars, flat outside.
+    compared with each point. Factors are log-linear between pillars and flat outside.
+    `spread` names a column to salt by, for when few curves serve very many points.
+    `linear` adds the factor interpolated linearly as well.
     """
-    d = F.col(day)
-    joined = points.join(segments(curve), CURVE_KEY).where((d >= F.col("from_day")) & (d < F.col("to_day")))
-    w = _weight(d)
-    log_linear = F.when(w == 0.0, F.col("df_lo")).otherwise(
-        F.exp(F.log("df_lo") + (F.log("df_hi") - F.log("df_lo")) * w)
-    )
-    out = joined.select(*points.columns, log_linear.alias("df"), *(
-        [F.when(w == 0.0, F.col("df_lo")).otherwise(w * F.col("df_hi") + (1.0 - w) * F.col("df_lo")).alias("df_linear")]
-        if linear else []
-    ))
-    return out
+    d, ranges = F.col(day), segments(curve, keys)
+    joined = salted_join(points, ranges, keys, spread) if spread else points.join(ranges, keys)
+    inside = F.col("day_hi").isNotNull() & (d > F.col("day_lo"))
+    w = (d - F.col("day_lo")) / (F.col("day_hi") - F.col("day_lo"))
+    results = [
+        F.when(inside, F.exp(F.log("df_lo") + (F.log("df_hi") - F.log("df_lo")) * w)).otherwise(F.col("df_lo")).alias(name)
+    ]
+    if linear:
+        straight = w * F.col("df_hi") + (F.col("day_hi") - d) / (F.col("day_hi") - F.col("day_lo")) * F.col("df_lo")
+        results.append(F.when(inside, straight).otherwise(F.col("df_lo")).alias(f"{name}_linear"))
+    return joined.where((d >= F.col("from_day")) & (d < F.col("to_day"))).select(*points.columns, *results)
 
 
 def gathered(curve: DataFrame, name: str = "points") -> DataFrame:

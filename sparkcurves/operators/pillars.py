@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkcurves.functions import dates as D
 from sparkcurves.functions.accrual import discount_factor, year_fraction
+from sparkcurves.functions.exprs import Convention
 
 CURVE_KEY = ["curve_id", "val_date"]
 
@@ -17,11 +18,11 @@ CURVE_KEY = ["curve_id", "val_date"]
 class CurveRules:
     """Conventions of a family of curves; every field is a literal name or a Column."""
 
-    calendar: str | Column = "USD"
-    settlement: str | Column = "after_overnight"
+    calendar: Convention = "USD"
+    settlement: Convention = "after_overnight"
     base: str = "spot"  # pillar days after the short end run from 'spot' or from 'today'
-    frequency: str | Column = "Annual"
-    day_count: str | Column = "ACT/360"
+    frequency: Convention = "Annual"
+    day_count: Convention = "ACT/360"
     count_from: str = "spot"  # payments are counted from 'spot' or from 'today'
 
 
@@ -149,22 +150,18 @@ def cash_block(pillars: DataFrame) -> DataFrame:
     })
 
 
-def to_today(curve: DataFrame) -> DataFrame:
-    """Today basis of a spot-based curve: days from today, factors times the spot factor.
-
-    The overnight pillars are from today already and stay as they are.
-    """
-    window = Window.partitionBy(*CURVE_KEY)
+def _today_view(curve: DataFrame) -> tuple[Column, Column]:
+    """Days and factor from today; the overnight pillars are from today already."""
     night = F.col("type_rate") == "OverNight"
-    last_night = F.max_by(F.col("df"), F.when(night, F.col("pos"))).over(window)
-    return (
-        curve.withColumn("spot_df", last_night)
-        .withColumns({
-            "days": F.when(night, F.col("days")).otherwise(F.datediff("end_date", "val_date")),
-            "df": F.when(night, F.col("df")).otherwise(F.col("df") * F.col("spot_df")),
-        })
-        .drop("spot_df")
-    )
+    spot_df = F.max_by(F.col("df"), F.when(night, F.col("pos"))).over(Window.partitionBy(*CURVE_KEY))
+    days = F.when(night, F.col("days")).otherwise(F.datediff("end_date", "val_date"))
+    return days, F.col("df") * F.when(night, 1.0).otherwise(spot_df)
+
+
+def to_today(curve: DataFrame) -> DataFrame:
+    """Today basis of a spot-based curve: days from today, factors times the spot factor."""
+    days, df = _today_view(curve)
+    return curve.withColumns({"days": days, "df": df})
 
 
 def two_bases(curve: DataFrame) -> DataFrame:
@@ -172,19 +169,13 @@ def two_bases(curve: DataFrame) -> DataFrame:
 
     Rows are widened and then split in place, so the solve before it is planned only once.
     """
-    window = Window.partitionBy(*CURVE_KEY)
-    night = F.col("type_rate") == "OverNight"
-    spot_df = F.max_by(F.col("df"), F.when(night, F.col("pos"))).over(window)
+    days, df = _today_view(curve)
+    rest = [c for c in curve.columns if c not in ("days", "df")]
     both = F.array(
         F.struct(F.lit("settlement").alias("basis"), F.col("days").alias("days"), F.col("df").alias("df")),
-        F.struct(
-            F.lit("t").alias("basis"),
-            F.when(night, F.col("days")).otherwise(F.datediff("end_date", "val_date")).alias("days"),
-            F.when(night, F.col("df")).otherwise(F.col("df") * F.col("spot_df")).alias("df"),
-        ),
+        F.struct(F.lit("t").alias("basis"), F.col("days_today").alias("days"), F.col("df_today").alias("df")),
     )
-    rest = [c for c in curve.columns if c not in ("days", "df")]
-    return curve.withColumn("spot_df", spot_df).select(*rest, F.inline(both))
+    return curve.withColumns({"days_today": days, "df_today": df}).select(*rest, F.inline(both))
 
 
 def type_blocks(quotes: DataFrame) -> DataFrame:

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUOTE_SCHEMA = "tenor STRING, type_rate STRING, bid DOUBLE, ask DOUBLE, mid DOUBLE"
 STORED_CURVE_SCHEMA = "start_date DATE, end_date DATE, days INT, df DOUBLE"
+STORED_PANEL_SCHEMA = f"{STORED_CURVE_SCHEMA}, curve_id BIGINT, val_date DATE"
 DEFINITION_SCHEMA = "curve_name STRING, tenor STRING, mkt_desc STRING"
 QUOTE_FILE_PATTERN = r"([^/]+)_(\d{8})\.csv$"
 
+# Tasks that share the rows of one valuation date when curves are written.
+WRITE_SLICES = 64
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,8 +34,6 @@ def read_quote_files(spark: SparkSession, path: str) -> DataFrame:
         .withColumn("_block", F.col("_metadata.file_block_start"))
         .withColumn("_row", F.monotonically_increasing_id())
     )
-    from pyspark.sql import Window
-
     order = Window.partitionBy("_file").orderBy("_block", "_row")
     return rows.select(
         F.regexp_extract("_file", QUOTE_FILE_PATTERN, 1).alias("curve_id"),
@@ -41,10 +43,10 @@ def read_quote_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_stored_curve(spark: SparkSession, path: str) -> DataFrame:
-    """Stored curve with day-month-year dates; partition folders add their own columns."""
+def read_stored_curve(spark: SparkSession, path: str, schema: str = STORED_CURVE_SCHEMA) -> DataFrame:
+    """Stored curves with day-month-year dates: one file, or the panel written below."""
     return (
-        spark.read.schema(STORED_CURVE_SCHEMA)
+        spark.read.schema(schema)
         .option("header", True).option("dateFormat", "dd-MM-yyyy").csv(path)
     )
 
@@ -59,27 +61,27 @@ def read_jdbc(spark: SparkSession, url: str, query_table: str, predicate: str, *
     return spark.read.format("jdbc").options(url=url, dbtable=query_table, **options).load().where(predicate)
 
 
-def write_curve(curve: DataFrame, path: str) -> None:
-    """Both bases of every curve, partitioned by valuation date.
+def _by_date(curve: DataFrame) -> DataFrame:
+    """Rows of one date in a bounded number of tasks and files.
 
-    Curves are many and small, so a folder per curve would make as many files as curves;
-    rows are clustered by curve inside each date instead.
+    Curves are many and small: a folder per curve would make as many files as curves.
     """
+    return curve.repartition("val_date", F.pmod(F.xxhash64("curve_id"), F.lit(WRITE_SLICES)))
+
+
+def write_curve(curve: DataFrame, path: str) -> None:
+    """Both bases of every curve, in folders by valuation date and sorted by curve inside."""
     (
-        curve.repartition("val_date", F.pmod(F.xxhash64("curve_id"), F.lit(WRITE_SLICES)))
-        .sortWithinPartitions("val_date", "curve_id", "days")
+        _by_date(curve).sortWithinPartitions("val_date", "curve_id", "basis", "days")
         .write.mode("overwrite").partitionBy("val_date").parquet(path)
     )
 
 
-# Tasks that share the rows of one valuation date when curves are written.
-WRITE_SLICES = 64
-
-
 def write_stored_curve(curve: DataFrame, path: str) -> None:
-    """Stored-curve text layout, one folder per valuation date."""
+    """Stored-curve text layout: start, end, days, df with day-month-year dates, by curve and date."""
+    rows = curve.select("start_date", "end_date", "days", "df", "curve_id", "val_date")
     (
-        curve.write.mode("overwrite").partitionBy("val_date")
+        _by_date(rows).write.mode("overwrite").partitionBy("val_date")
         .option("header", True).option("dateFormat", "dd-MM-yyyy").csv(path)
     )
 

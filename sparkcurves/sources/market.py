@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkcurves.functions.dates import tenor_number, tenor_unit
 from sparkcurves.functions.exprs import choose
 from sparkcurves.sources.files import read_table
 
@@ -41,6 +42,15 @@ def pillar_type(pos: Column, pillars: tuple = PAR_PILLARS) -> Column:
     return choose(pos, {p: F.lit(kind) for p, _, kind in pillars})
 
 
+def pillar_columns(pos: Column, pillars: tuple = PAR_PILLARS) -> list[Column]:
+    """Tenor with its parsed parts. The parts are constants per pillar, not matched per row."""
+    return [
+        pillar_tenor(pos, pillars).alias("tenor"),
+        choose(pos, {p: tenor_number(F.lit(tenor)) for p, tenor, _ in pillars}).alias("tenor_number"),
+        choose(pos, {p: tenor_unit(F.lit(tenor)) for p, tenor, _ in pillars}).alias("tenor_unit"),
+    ]
+
+
 def quarter(ts: Column) -> Column:
     return F.trunc(F.to_date(ts), "quarter")
 
@@ -79,6 +89,25 @@ def quotes(spark: SparkSession, sf_dir: str, pillars: tuple = PAR_PILLARS) -> Da
     )
 
 
+def loan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loans by (start, tenor, rate) whatever the curve: 9 rates x 7 tenors a day at most."""
+    grouped = (
+        read_table(spark, sf_dir, "lineitem")
+        .groupBy(
+            F.to_date("l_shipdate").alias("start_date"),
+            F.col("l_linenumber").alias("pos"),
+            percent_points(F.col("l_tax")).alias("points"),
+        )
+        .agg(F.sum(cents(F.col("l_extendedprice"))).alias("cents"))
+    )
+    return grouped.select(
+        "start_date",
+        *pillar_columns(F.col("pos")),
+        (F.col("points") / 100.0).alias("rate"),
+        (F.col("cents") / 100.0).alias("notional"),
+    )
+
+
 def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans by (curve, start, tenor, rate) with their notional.
 
@@ -97,7 +126,7 @@ def loans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return grouped.select(
         "curve_id", F.trunc("start_date", "quarter").alias("val_date"), "start_date",
-        pillar_tenor(F.col("pos")).alias("tenor"),
+        *pillar_columns(F.col("pos")),
         (F.col("points") / 100.0).alias("rate"),
         (F.col("cents") / 100.0).alias("notional"),
     )
