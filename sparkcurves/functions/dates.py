@@ -26,6 +26,12 @@ def roll(date: Column) -> Column:
     return F.date_add(date, F.when(weekday == 5, 2).when(weekday == 6, 1).otherwise(0))
 
 
+def roll_back(date: Column) -> Column:
+    """Business day on or before a date."""
+    weekday = F.weekday(date)
+    return F.date_sub(date, F.when(weekday == 5, 1).when(weekday == 6, 2).otherwise(0))
+
+
 def tenor_number(tenor: Column) -> Column:
     """Number of a tenor such as '18M' or '32.5Y'; NULL for 'ON', 'TN', 'ED1'."""
     return F.regexp_extract(tenor, TENOR_PATTERN, 1).try_cast("double")
@@ -132,23 +138,29 @@ def day_count_ratio(start: Column, end: Column, period_fraction: Column) -> Colu
 
 
 def periods_up_to(start: Column, end: Column, frequency: Convention, calendar: Convention) -> Column:
-    """Largest k with shift(start, k) <= end; `end` must be a business day."""
+    """Largest k whose payment date is not after `end`; 0 for the start itself.
+
+    A rolled date is not after `end` exactly when the unrolled one is not after the business
+    day on or before `end`.
+    """
+    reach = roll_back(end)
 
     def by_days(table: dict) -> dict:
         return {
-            name: lambda days=days: F.floor(F.datediff(end, start) / days).cast("int") for name, days in table.items()
+            name: lambda days=days: F.floor(F.datediff(reach, start) / days).cast("int") for name, days in table.items()
         }
 
     def by_months(months: int) -> Column:
-        reached = F.floor(month_span(start, end) / months).cast("int")
-        return reached - F.when(F.add_months(start, reached * months) > end, 1).otherwise(0)
+        reached = F.floor(month_span(start, reach) / months).cast("int")
+        return reached - F.when(F.add_months(start, reached * months) > reach, 1).otherwise(0)
 
     plain = by_days(PERIOD_DAYS_ANY)
     calendar_months = {name: lambda months=months: by_months(months) for name, months in PERIOD_MONTHS_USD.items()}
-    return by_convention(calendar, {
+    passed = by_convention(calendar, {
         "USD": lambda: by_convention(frequency, plain | calendar_months),
         "MXN": lambda: by_convention(frequency, plain | by_days(PERIOD_DAYS_MXN)),
     })
+    return F.greatest(passed, F.lit(0))
 
 
 def third_wednesday(month_start: Column) -> Column:
