@@ -5,6 +5,8 @@ Every function returns a Column and works the same in a projection and in a lamb
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +24,7 @@ TENOR_PATTERN = r"^([0-9]+(?:\.[0-9]+)?)([DWMQSY])$"
 
 def roll(date: Column) -> Column:
     """Following business day; weekends only, holidays are not known here."""
-    weekday = F.weekday(date)
-    return F.date_add(date, F.when(weekday == 5, 2).when(weekday == 6, 1).otherwise(0))
+    return F.when(F.weekday(date) < 5, date).otherwise(F.next_day(date, "Mon"))
 
 
 def roll_back(date: Column) -> Column:
@@ -41,14 +42,51 @@ def tenor_unit(tenor: Column) -> Column:
     return F.nullif(F.regexp_extract(tenor, TENOR_PATTERN, 2), F.lit(""))
 
 
+# Columns a tenor is read into: its parts, and the steps it stands for in each calendar.
+TENOR_FIELDS = {"tenor_number": "double", "tenor_unit": "string", "usd_months": "int", "usd_days": "int", "mxn_days": "int"}
+
+
+def tenor_parts(tenor: str) -> dict[str, Column]:
+    """`TENOR_FIELDS` of a tenor known when the plan is made, as constants."""
+    match = re.fullmatch(TENOR_PATTERN, tenor)
+    values = dict.fromkeys(TENOR_FIELDS)
+    if match:
+        number, unit = float(match[1]), match[2]
+        plain = number * {"D": 1, "W": 7}.get(unit, 0)
+        steps = {
+            "usd_months": number * TENOR_MONTHS_USD.get(unit, 0),
+            "usd_days": plain,
+            "mxn_days": plain + number * TENOR_DAYS_MXN.get(unit, 0),
+        }
+        values = {"tenor_number": number, "tenor_unit": unit}
+        values |= {name: int(step) if step == int(step) else None for name, step in steps.items()}
+    return {name: F.lit(values[name]).cast(kind) for name, kind in TENOR_FIELDS.items()}
+
+
 def with_parsed_tenor(df: DataFrame) -> DataFrame:
-    """Add `tenor_number` and `tenor_unit`, unless the rows carry them from their definition.
+    """Add `TENOR_FIELDS`, unless the rows carry them from their definition.
 
-    The pattern is matched once per row here; date expressions mention both many times.
+    The pattern is matched once per row; a tenor that does not parse, or is no whole number of
+    steps in a calendar, gets NULL there.
     """
     if "tenor_unit" in df.columns:
         return df
-    return df.withColumns({"tenor_number": tenor_number(F.col("tenor")), "tenor_unit": tenor_unit(F.col("tenor"))})
+    parsed = df.withColumns({"tenor_number": tenor_number(F.col("tenor")), "tenor_unit": tenor_unit(F.col("tenor"))})
+    number, unit = F.col("tenor_number"), F.col("tenor_unit")
+    plain = choose(unit, {"D": 1, "W": 7})
+    return parsed.withColumns({
+        "usd_months": _whole(number * F.coalesce(choose(unit, TENOR_MONTHS_USD), F.lit(0))),
+        "usd_days": _whole(number * F.coalesce(plain, F.lit(0))),
+        "mxn_days": _whole(number * F.coalesce(plain, choose(unit, TENOR_DAYS_MXN))),
+    })
+
+
+def tenor_end(date: Column, calendar: Convention) -> Column:
+    """Unrolled end of the row's tenor, for rows with `TENOR_FIELDS`."""
+    return by_convention(calendar, {
+        "USD": lambda: F.add_months(F.date_add(date, F.col("usd_days")), F.col("usd_months")),
+        "MXN": lambda: F.date_add(date, F.col("mxn_days")),
+    })
 
 
 def tenor_months(number: Column, unit: Column) -> Column:
@@ -64,16 +102,6 @@ def _whole(value: Column) -> Column:
     return F.when(value == F.floor(value), value.cast("int"))
 
 
-def add_tenor(date: Column, number: Column, unit: Column, calendar: Convention) -> Column:
-    """Unrolled end date; NULL when the tenor does not parse or is no whole number of steps."""
-    days = _whole(number * F.when(unit == "W", 7).otherwise(1))
-    long_end = by_convention(calendar, {
-        "USD": lambda: F.add_months(date, _whole(number * choose(unit, TENOR_MONTHS_USD))),
-        "MXN": lambda: F.date_add(date, _whole(number * choose(unit, TENOR_DAYS_MXN))),
-    })
-    return F.when(unit.isin("D", "W"), F.date_add(date, days)).otherwise(long_end)
-
-
 def shift(date: Column, frequency: Convention, count: Column, calendar: Convention) -> Column:
     """Move an anchor date by `count` coupon periods, always from the anchor itself."""
 

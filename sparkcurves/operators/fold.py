@@ -143,6 +143,7 @@ def fold_sql(dual: bool, anchored: bool) -> str:
     solved = _let("e", equation, _solution())
     pillar = f"""if(p.type_rate IN ('Bond', 'Swap'), {solved},
         named_struct('x', {_closed_form(anchored)}, 'r', 0D))"""
-    gap = "slice(grid, acc.g + 2, greatest(p.grid_count - acc.g, 0))"
+    gap = "slice(dates, acc.g + 2, greatest(p.grid_count - acc.g, 0))"
     step = _let("gap", gap, _let("s", pillar, _advance(dual)))
-    return f"aggregate(pillars, {_START}, (acc, p) -> {step}, acc -> acc.out)"
+    # bound out here: projections are merged, and the grid would be built anew for every pillar
+    return _let("dates", "grid", f"aggregate(pillars, {_START}, (acc, p) -> {step}, acc -> acc.out)")

@@ -38,7 +38,7 @@ def interpolate(
     `linear` adds the factor interpolated linearly as well.
     """
     d, ranges = F.col(day), segments(curve, keys)
-    joined = salted_join(points, ranges, keys, spread) if spread else points.join(ranges, keys)
+    joined = salted_join(points, ranges, keys, spread) if spread else points.join(ranges.hint("merge"), keys)
     inside = F.col("day_hi").isNotNull() & (d > F.col("day_lo"))
     w = (d - F.col("day_lo")) / (F.col("day_hi") - F.col("day_lo"))
     results = [

@@ -58,7 +58,7 @@ def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> Dat
     definition = F.array(*[
         F.struct(
             F.lit(pos).alias("pos"), F.lit(tenor).alias("tenor"), F.lit(kind).alias("type_rate"),
-            D.tenor_number(F.lit(tenor)).alias("tenor_number"), D.tenor_unit(F.lit(tenor)).alias("tenor_unit"),
+            *[value.alias(name) for name, value in D.tenor_parts(tenor).items()],
         )
         for pos, tenor, kind in pillars
     ])
@@ -68,14 +68,14 @@ def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> Dat
     filled = F.transform(
         definition,
         lambda d: F.struct(
-            *[d[c].alias(c) for c in ("pos", "tenor", "type_rate", "tenor_number", "tenor_unit")],
+            *[d[c].alias(c) for c in ("pos", "tenor", "type_rate", *D.TENOR_FIELDS)],
             F.try_element_at(F.col("quoted"), d["tenor"]).alias("quote"),
         ),
     )
     return (
         gathered.select(*CURVE_KEY, F.inline(filled))
         .select(
-            *CURVE_KEY, "pos", "tenor", "type_rate", "tenor_number", "tenor_unit",
+            *CURVE_KEY, "pos", "tenor", "type_rate", *D.TENOR_FIELDS,
             F.coalesce("quote", F.lit(0.0)).alias("rate"),
             F.col("quote").isNull().alias("is_missing"),
         )
@@ -100,7 +100,7 @@ def with_dates(quotes: DataFrame, rules: CurveRules) -> DataFrame:
         F.when(first_night, F.col("overnight_date"))
         .when(kind == "OverNight", F.col("spot_date"))
         .when(kind == "Future", D.futures_date(today, strip))
-        .otherwise(D.roll(D.add_tenor(F.col("spot_date"), F.col("tenor_number"), F.col("tenor_unit"), rules.calendar)))
+        .otherwise(D.roll(D.tenor_end(F.col("spot_date"), rules.calendar)))
     )
     long_base = F.col("spot_date") if rules.base == "spot" else today
     dated = dated.withColumns({

@@ -13,8 +13,7 @@ from sparkcurves.functions.exprs import Convention
 def with_maturity(instruments: DataFrame, calendar: Convention = "USD", start: str = "start_date") -> DataFrame:
     """Rolled maturity of every instrument from its tenor."""
     parsed = D.with_parsed_tenor(instruments)
-    maturity = D.roll(D.add_tenor(F.col(start), F.col("tenor_number"), F.col("tenor_unit"), calendar))
-    return parsed.withColumn("maturity", maturity)
+    return parsed.withColumn("due", D.tenor_end(F.col(start), calendar)).withColumn("maturity", D.roll(F.col("due")))
 
 
 def bond_schedule(

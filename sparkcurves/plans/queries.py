@@ -62,8 +62,13 @@ def today_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discount_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few curves that discount all others; the filter reaches the scan."""
-    return today_curve(spark, sf_dir).where(F.col("curve_id").between(1, M.DISCOUNT_CURVES))
+    """The few curves that discount all others, stored; the filter reaches the scan.
+
+    Ten curves by quarters of the calendar: joins see the true size of the stored table and
+    broadcast it while it is small. Beyond that they fall back to a salted shuffle.
+    """
+    few = today_curve(spark, sf_dir).where(F.col("curve_id").between(1, M.DISCOUNT_CURVES))
+    return IO.landed(few)
 
 
 def closed_pillars(spark: SparkSession, sf_dir: str, pillars: tuple = M.PAR_PILLARS, rules: P.CurveRules = P.OIS) -> DataFrame:
@@ -265,7 +270,7 @@ def tenor_end_dates(spark, sf_dir):
     ).distinct()
     parsed = D.with_parsed_tenor(pairs)
     ends = [
-        D.add_tenor(F.col("start_date"), F.col("tenor_number"), F.col("tenor_unit"), calendar).alias(f"end_{calendar.lower()}")
+        D.tenor_end(F.col("start_date"), calendar).alias(f"end_{calendar.lower()}")
         for calendar in ("USD", "MXN")
     ]
     rows = parsed.select("start_date", "tenor", *ends)
@@ -401,21 +406,22 @@ def swap_dual_curve_pv(spark, sf_dir):
     )
 
 
-def _bond_pillars(curve: DataFrame) -> DataFrame:
+def _flow_points(curve: DataFrame) -> DataFrame:
     bonds = curve.where(F.col("type_rate") == "Bond").select(*CURVE_KEY, "spot_date", "tenor", "rate")
-    return S.flow_table(bonds, payments_in_year=2)
+    rows = S.flow_table(bonds, payments_in_year=2)
+    return rows.select(*CURVE_KEY, "tenor", "rate", "n", "k", "day", "yfc", "yf")
 
 
 @query
 def fixed_flow_table(spark, sf_dir):
     """Older layout of the par bonds' flows, discounted on their own curve."""
-    curve = par_curve(spark, sf_dir)
-    rows = _bond_pillars(closed_pillars(spark, sf_dir))
+    curve = IO.landed(par_curve(spark, sf_dir))
     coupon = F.col("rate") * F.col("yfc")
-    flows = rows.withColumn("amount", F.when(F.col("k") == F.col("n"), coupon + 1.0).otherwise(coupon))
-    points = flows.select(*CURVE_KEY, "tenor", "k", "day", "yfc", "yf", "amount")
-    valued = interpolate(points, curve.select(*CURVE_KEY, "days", "df"))
-    return valued.select(*CURVE_KEY, "tenor", "k", "day", rounded("yfc"), rounded("yf"), rounded("df"), rounded("amount", 12))
+    flows = _flow_points(curve).withColumn("amount", F.when(F.col("k") == F.col("n"), coupon + 1.0).otherwise(coupon))
+    valued = interpolate(flows, curve.select(*CURVE_KEY, "days", "df"))
+    return valued.select(
+        *CURVE_KEY, "tenor", "k", "day", rounded("yfc"), rounded("yf"), rounded("df"), rounded("amount", 12)
+    )
 
 
 @query
@@ -424,11 +430,10 @@ def float_flow_table(spark, sf_dir):
 
     The first factor is 1; later ones come from the row before.
     """
-    rows = _bond_pillars(closed_pillars(spark, sf_dir)).select(*CURVE_KEY, "tenor", "n", "k", "day", "yfc", "yf")
-    projected = interpolate(rows, par_curve(spark, sf_dir).select(*CURVE_KEY, "days", "df"), name="df_fwd")
-    other = (
-        par_curve(spark, sf_dir).where(F.col("curve_id").between(1, M.DISCOUNT_CURVES))
-        .select(F.col("curve_id").alias("discount_id"), "val_date", "days", "df")
+    curve = IO.landed(par_curve(spark, sf_dir))
+    projected = interpolate(_flow_points(curve), curve.select(*CURVE_KEY, "days", "df"), name="df_fwd")
+    other = curve.where(F.col("curve_id").between(1, M.DISCOUNT_CURVES)).select(
+        F.col("curve_id").alias("discount_id"), "val_date", "days", "df"
     )
     order = Window.partitionBy(*CURVE_KEY, "tenor").orderBy("k")
     growth = F.lag("df_fwd", 1, 1.0).over(order) / F.col("df_fwd") - 1.0
@@ -514,40 +519,45 @@ def bootstrap_price_target(spark, sf_dir):
     return _solved(price_curve(spark, sf_dir))
 
 
-def projection_curve(spark, sf_dir) -> DataFrame:
+def projection_curve(spark, sf_dir, discount: DataFrame) -> DataFrame:
     pillars = B.prepare(par_quotes(spark, sf_dir, M.PROJECTION_PILLARS), P.PROJECTION)
-    return B.bootstrap_dual(pillars, P.PROJECTION, discount_curves(spark, sf_dir), discount_id())
+    return B.bootstrap_dual(pillars, P.PROJECTION, discount, discount_id())
 
 
 @query
 def bootstrap_dual_curve(spark, sf_dir):
-    return _solved(projection_curve(spark, sf_dir))
+    return _solved(projection_curve(spark, sf_dir, discount_curves(spark, sf_dir)))
+
+
+def _bond_check(curve: DataFrame, rules: P.CurveRules) -> DataFrame:
+    """Residuals of stored curves: the check reads what was written, and solves nothing again."""
+    return K.residual_summary(K.bond_residuals(IO.landed(curve), rules))
 
 
 @query
 def par_residual(spark, sf_dir):
-    curve = par_curve(spark, sf_dir, M.GAP_PILLARS)
-    return K.residual_summary(K.bond_residuals(curve, P.OIS))
+    return _bond_check(par_curve(spark, sf_dir, M.GAP_PILLARS), P.OIS)
 
 
 @query
 def par_residual_semiannual(spark, sf_dir):
-    curve = par_curve(spark, sf_dir, M.SEMIANNUAL_PILLARS, P.CAMARA_SEMIANNUAL)
-    return K.residual_summary(K.bond_residuals(curve, P.CAMARA_SEMIANNUAL))
+    rules = P.CAMARA_SEMIANNUAL
+    return _bond_check(par_curve(spark, sf_dir, M.SEMIANNUAL_PILLARS, rules), rules)
 
 
 @query
 def par_residual_mxn(spark, sf_dir):
-    curve = par_curve(spark, sf_dir, M.MXN_PILLARS, P.GOVERNMENT_MXN)
-    return K.residual_summary(K.bond_residuals(curve, P.GOVERNMENT_MXN))
+    rules = P.GOVERNMENT_MXN
+    return _bond_check(par_curve(spark, sf_dir, M.MXN_PILLARS, rules), rules)
 
 
 @query
 def par_residual_price_target(spark, sf_dir):
-    return K.residual_summary(K.bond_residuals(price_curve(spark, sf_dir), V.ZERO_CURVE))
+    return _bond_check(price_curve(spark, sf_dir), V.ZERO_CURVE)
 
 
 @query
 def par_residual_dual_curve(spark, sf_dir):
-    residuals = K.swap_residuals(projection_curve(spark, sf_dir), discount_curves(spark, sf_dir), discount_id())
-    return K.residual_summary(residuals)
+    discount = discount_curves(spark, sf_dir)
+    curve = IO.landed(projection_curve(spark, sf_dir, discount))
+    return K.residual_summary(K.swap_residuals(curve, discount, discount_id()))

@@ -99,3 +99,14 @@ def shared_folder(spark: SparkSession) -> str:
 
         base = tempfile.mkdtemp(prefix="sparkcurves-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame) -> DataFrame:
+    """Write a frame to shared storage and read it back.
+
+    For results that several later steps use: they are computed once, survive the loss of
+    executors, and come back with a known size, so that joins can be chosen by it.
+    """
+    folder = shared_folder(df.sparkSession)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

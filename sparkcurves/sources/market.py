@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkcurves.functions.dates import tenor_number, tenor_unit
+from sparkcurves.functions.dates import TENOR_FIELDS, tenor_parts
 from sparkcurves.functions.exprs import choose
 from sparkcurves.sources.files import read_table
 
@@ -43,11 +43,11 @@ def pillar_type(pos: Column, pillars: tuple = PAR_PILLARS) -> Column:
 
 
 def pillar_columns(pos: Column, pillars: tuple = PAR_PILLARS) -> list[Column]:
-    """Tenor with its parsed parts. The parts are constants per pillar, not matched per row."""
+    """Tenor with its parsed fields, which are constants per pillar and not matched per row."""
+    parts = {p: tenor_parts(tenor) for p, tenor, _ in pillars}
     return [
         pillar_tenor(pos, pillars).alias("tenor"),
-        choose(pos, {p: tenor_number(F.lit(tenor)) for p, tenor, _ in pillars}).alias("tenor_number"),
-        choose(pos, {p: tenor_unit(F.lit(tenor)) for p, tenor, _ in pillars}).alias("tenor_unit"),
+        *[choose(pos, {p: fields[name] for p, fields in parts.items()}).alias(name) for name in TENOR_FIELDS],
     ]
 
 
@@ -56,11 +56,11 @@ def quarter(ts: Column) -> Column:
 
 
 def percent_points(rate: Column) -> Column:
-    return F.round(rate * 100).cast("long")
+    return F.rint(rate * 100).cast("long")
 
 
 def cents(amount: Column) -> Column:
-    return F.round(amount * 100).cast("long")
+    return F.rint(amount * 100).cast("long")
 
 
 def quotes(spark: SparkSession, sf_dir: str, pillars: tuple = PAR_PILLARS) -> DataFrame:
