@@ -69,14 +69,17 @@ def _grid(spot: Column, base: Column, rules: CurveRules, discount: Column | None
     return F.transform(F.sequence(F.lit(0), last), point)
 
 
-def bootstrap(pillars: DataFrame, rules: CurveRules) -> DataFrame:
-    """Curve rows with `df`, the solver's own `residual` and `converged`."""
-    return _solve_rows(gather_pillars(pillars), rules, None)
+def bootstrap(pillars: DataFrame, rules: CurveRules, settings: list[str] | None = None) -> DataFrame:
+    """Curve rows with `df`, the solver's own `residual` and `converged`.
+
+    `settings` names the columns that rules given as columns read; they are fixed per curve.
+    """
+    return _solve_rows(gather_pillars(pillars, settings or []), rules, None)
 
 
-def gather_pillars(pillars: DataFrame) -> DataFrame:
+def gather_pillars(pillars: DataFrame, settings: list[str] = ()) -> DataFrame:
     """One row per curve with its pillars in order. No shuffle after `definition_join`."""
-    return pillars.groupBy(*CURVE_KEY, "spot_date").agg(
+    return pillars.groupBy(*CURVE_KEY, "spot_date", *settings).agg(
         F.array_sort(F.collect_list(F.struct(*_PILLAR_FIELDS))).alias("pillars")
     )
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurves.cluster import partition_count
 from sparkcurves.functions import dates as D
 from sparkcurves.functions.accrual import discount_factor, year_fraction
 from sparkcurves.functions.exprs import Convention
@@ -39,8 +40,7 @@ def by_curve(df: DataFrame) -> DataFrame:
     Solving is heavy for its few bytes. A plain grouping would let adaptive execution merge
     small partitions by size and leave most cores idle; a partition count it must keep does not.
     """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *CURVE_KEY)
+    return df.repartition(partition_count(df.sparkSession), *CURVE_KEY)
 
 
 def choose_side(quotes: DataFrame, side: Column, scale: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurves.functions import dates as D
@@ -16,26 +16,30 @@ BILL_DAYS = 360  # fixed value: longest maturity taken from bills, shortest beyo
 def price_universe(prices: DataFrame) -> DataFrame:
     """Overnight fund, bills and bonds of each date as one list of distinct pillars.
 
-    `maturity_rank` keeps the order by days to maturity. It is taken over the distinct
-    maturities of a date, not over its securities, so no task has to sort a whole date.
+    The three lists are one UNION ALL; a row yields each of the entries it qualifies for, so the
+    prices are read once and not three times. `maturity_rank` keeps the order by days to
+    maturity. It is taken over the distinct maturities of a date, not over its securities, so
+    no task has to sort a whole date.
     """
-    fund = prices.where((F.col("emisora") == "PROMO") & (F.col("tipo_valor") == "SP")).select(
-        "fecha", F.lit("Cash").alias("type_rate"), F.lit(1).alias("plazo"),
-        (F.col("precio_sucio") / 100.0).alias("yield"), F.lit(0.0).alias("tasa_cupon"), F.lit(0.0).alias("precio_sucio"),
-    )
-    bills = prices.where(
-        (F.col("emisora") == "SMALL") & (F.col("tipo_valor") == "S") & (F.col("dias_venc") <= BILL_DAYS)
-    ).select(
-        "fecha", F.lit("Cash").alias("type_rate"), F.col("dias_venc").alias("plazo"),
-        (F.col("rendimiento") / 100.0).alias("yield"), F.lit(0.0).alias("tasa_cupon"), F.lit(0.0).alias("precio_sucio"),
-    )
-    bonds = prices.where(
-        (F.left("instrumento", F.lit(4)) == "blue") & (F.col("brand") != "Brand#23") & (F.col("dias_venc") > BILL_DAYS)
-    ).select(
-        "fecha", F.lit("Bond").alias("type_rate"), F.col("dias_venc").alias("plazo"),
-        (F.col("rendimiento") / 100.0).alias("yield"), "tasa_cupon", "precio_sucio",
+
+    def entry(applies: Column, kind: str, days: Column, rate: Column, coupon: Column, price: Column) -> Column:
+        listed = F.struct(
+            F.lit(kind).alias("type_rate"), days.alias("plazo"), rate.alias("yield"),
+            coupon.alias("tasa_cupon"), price.alias("precio_sucio"),
+        )
+        return F.when(applies, listed)
+
+    days, rate, zero = F.col("dias_venc"), F.col("rendimiento") / 100.0, F.lit(0.0)
+    is_fund = (F.col("emisora") == "PROMO") & (F.col("tipo_valor") == "SP")
+    is_bill = (F.col("emisora") == "SMALL") & (F.col("tipo_valor") == "S") & (days <= BILL_DAYS)
+    is_bond = (F.left("instrumento", F.lit(4)) == "blue") & (F.col("brand") != "Brand#23") & (days > BILL_DAYS)
+    entries = F.array(
+        entry(is_fund, "Cash", F.lit(1), F.col("precio_sucio") / 100.0, zero, zero),
+        entry(is_bill, "Cash", days, rate, zero, zero),
+        entry(is_bond, "Bond", days, rate, F.col("tasa_cupon"), F.col("precio_sucio")),
     )
-    listed = fund.unionByName(bills).unionByName(bonds).distinct()
+    wanted = prices.where(is_fund | is_bill | is_bond)
+    listed = wanted.select("fecha", F.inline(F.array_compact(entries))).distinct()
     ranks = (
         listed.select("fecha", "plazo").distinct()
         .withColumn("maturity_rank", F.row_number().over(Window.partitionBy("fecha").orderBy("plazo")))

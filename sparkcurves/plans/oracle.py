@@ -114,6 +114,9 @@ def month_diff(a: str, b: str) -> tuple[str, str]:
 
 def count_of(frequency: str, a: str, b: str) -> str:
     y, m = month_diff(a, b)
+    if frequency == "pay_freq":
+        cases = " ".join(f"WHEN '{name}' THEN {count_of(name, a, b)}" for name in MONTHS)
+        return f"(CASE pay_freq {cases} END)"
     text = {
         "Annual": f"{y} + ceil({m} / 12.0::DOUBLE)",
         "SemiAnnual": f"{y} * 2 + ceil({m} / 6.0::DOUBLE)",
@@ -127,7 +130,8 @@ def pay_date(start: str, end: str, k: str, n: str, frequency: str, calendar: str
     if calendar == "MXN":
         shifted = f"({start} + CAST(({k}) * {MXN_DAYS[frequency]} AS INTEGER))"
     else:
-        shifted = add_months(start, f"({k}) * {MONTHS[frequency]}")
+        months = f"(CASE pay_freq {' '.join(f'WHEN {chr(39)}{n}{chr(39)} THEN {m}' for n, m in MONTHS.items())} END)"
+        shifted = add_months(start, f"({k}) * {MONTHS.get(frequency, months)}")
     return f"(CASE WHEN ({k}) <= 0 THEN {start} WHEN ({k}) = {n} THEN {end} ELSE {roll(shifted)} END)"
 
 
@@ -141,9 +145,19 @@ def thirty_360(a: str, b: str) -> str:
 def accrual(a: str, b: str, day_count: str = "ACT/360") -> str:
     if day_count == "30/360":
         return thirty_360(a, b)
+    if day_count == "day_count":
+        return day_fraction("day_count", a, b)
     return f"((({b}) - ({a})) / 360.0::DOUBLE)"
 
 
+def day_fraction(name: str, a: str, b: str) -> str:
+    """Year fraction by a day count named in a column."""
+    y, m = month_diff(a, b)
+    return f"""(CASE {name} WHEN 'ACT/360' THEN ({b} - {a}) / 360.0::DOUBLE WHEN 'ACT/365F' THEN ({b} - {a}) / 365.0::DOUBLE
+        WHEN '30/360' THEN {thirty_360(a, b)}
+        ELSE ({y} * 360 + {m} * 30 + least(day({b}), 30) - least(day({a}), 30)) / 360.0::DOUBLE END)"""
+
+
 def log_df(ts: str, ls: str, d: str) -> str:
     """ln df on the lists of days and logs, log-linear with flat ends."""
     at = f"len(list_filter({ts}, lambda q: q <= {d}))"
@@ -152,7 +166,8 @@ def log_df(ts: str, ls: str, d: str) -> str:
 
 
 def bond_solve(
-    frequency: str = "Annual", calendar: str = "USD", source: str = "dated", count_end: str = "end_date", out: str = "solved"
+    frequency: str = "Annual", calendar: str = "USD", source: str = "dated", count_end: str = "end_date",
+    day_count: str = "ACT/360",
 ) -> str:
     """Pillars in order; each bond is repriced in full at every Newton step."""
     n = count_of(frequency, "spot_date", count_end)
@@ -164,7 +179,7 @@ def bond_solve(
 flow AS (
     SELECT curve_id, val_date, pos,
         list(struct_pack(d := {days_between('base_date', at)},
-            cf := rate * {accrual(before, at)} + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) ORDER BY k) AS flows
+            cf := rate * {accrual(before, at, day_count)} + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) ORDER BY k) AS flows
     FROM (SELECT *, unnest(generate_series(1, n)) AS k FROM counted WHERE type_rate = 'Bond')
     GROUP BY ALL),
 ladder AS (SELECT c.*, f.flows FROM counted c LEFT JOIN flow f USING (curve_id, val_date, pos)),
@@ -184,7 +199,7 @@ steps AS (
                     s.l)
             END AS x
         FROM steps s JOIN ladder p ON p.curve_id = s.curve_id AND p.val_date = s.val_date AND p.pos = s.pos + 1)),
-{out} AS (
+solved AS (
     SELECT p.*, exp(s.l) AS df FROM steps s JOIN ladder p USING (curve_id, val_date, pos))"""
 
 
@@ -376,8 +391,12 @@ select("discount_factors", LINES, f"""
 SELECT l_orderkey, l_linenumber, start_date, round(l_tax, 8) AS l_tax,
     round(1.0::DOUBLE / (1.0::DOUBLE + l_tax * {accrual('start_date', 'end_date')}), 8) AS df_linear,
     round(1.0::DOUBLE / pow(1.0::DOUBLE + l_tax, {accrual('start_date', 'end_date')}), 8) AS df_compound,
-    round(exp(-l_tax * {accrual('start_date', 'end_date')}), 8) AS df_continuous
-FROM lines""")
+    round(exp(-l_tax * {accrual('start_date', 'end_date')}), 8) AS df_continuous, day_count, compounding,
+    round(CASE compounding WHEN 'Linear' THEN 1.0::DOUBLE / (1.0::DOUBLE + l_tax * own)
+        WHEN 'Compound' THEN 1.0::DOUBLE / pow(1.0::DOUBLE + l_tax, own) ELSE exp(-l_tax * own) END, 8) AS df_own
+FROM (SELECT *, {day_fraction('day_count', 'start_date', 'end_date')} AS own FROM (
+    SELECT *, ['ACT/360', 'ACT/365F', '30/360', '30E/360'][l_linenumber % 4 + 1] AS day_count,
+        ['Linear', 'Compound', 'Continuous'][l_linenumber % 3 + 1] AS compounding FROM lines))""")
 
 SUFFIX_LIST = "['D', 'W', 'M', 'Q', 'S', 'Y', '.5Y', 'N']"
 select("tenor_parsed", f"tenors AS (SELECT p_partkey, CAST(p_size AS VARCHAR) || {SUFFIX_LIST}[p_partkey % 8 + 1] AS tenor FROM part)", f"""
@@ -385,11 +404,13 @@ SELECT p_partkey, tenor, {TENOR_N} AS tenor_number, {TENOR_U} AS tenor_unit,
     CASE {TENOR_U} WHEN 'Y' THEN {TENOR_N} * 12 WHEN 'M' THEN {TENOR_N} WHEN 'W' THEN {TENOR_N} ELSE 0.0::DOUBLE END AS months
 FROM tenors""")
 
-select("tenor_end_dates", f"""pairs AS (
-    SELECT DISTINCT CAST(l_shipdate AS DATE) AS start_date, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || {SUFFIX_LIST}[l_linenumber] AS tenor
+select("tenor_end_dates", f"""tenors AS (
+    SELECT DISTINCT CAST(l_shipdate AS DATE) AS start_date, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || {SUFFIX_LIST}[l_linenumber] AS tenor,
+        CASE WHEN l_linestatus = 'F' THEN 'MXN' ELSE 'USD' END AS calendar
     FROM lineitem),
-ends AS (SELECT *, {add_tenor('start_date')} AS end_usd, {add_tenor('start_date', 'MXN')} AS end_mxn FROM pairs)""", f"""
-SELECT start_date, tenor, end_usd, end_mxn, {roll('end_usd')} AS rolled_usd, {roll('end_mxn')} AS rolled_mxn FROM ends""")
+ends AS (SELECT *, {add_tenor('start_date')} AS end_usd, {add_tenor('start_date', 'MXN')} AS end_mxn FROM tenors),
+owns AS (SELECT *, CASE calendar WHEN 'USD' THEN end_usd ELSE end_mxn END AS end_own FROM ends)""", f"""
+SELECT start_date, tenor, calendar, end_usd, end_mxn, end_own, {roll('end_own')} AS rolled_own FROM owns""")
 
 select("business_day_roll", "", f"""
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, {roll('CAST(o_orderdate AS DATE)')} AS rolled FROM orders""")
@@ -549,7 +570,8 @@ select("futures_chain", FUTURES, f"SELECT curve_id, val_date, pos, tenor, start_
 
 select("curve_zero_basis", f"{par_curve()},\n{TODAY}", f"SELECT curve_id, val_date, pos, tenor, days, {r8('df')} FROM today")
 
-select("curve_two_basis", f"{par_curve()},\n{TODAY}", f"""
+for _name in ("curve_two_basis", "curve_store"):
+    select(_name, f"{par_curve()},\n{TODAY}", f"""
 SELECT curve_id, val_date, 't' AS basis, pos, days, {r8('df')} FROM today
 UNION ALL
 SELECT curve_id, val_date, 'settlement', pos, days, {r8('df')} FROM solved""")
@@ -586,6 +608,11 @@ select("bootstrap_par_gap", par_curve(M.GAP_PILLARS), SOLVED)
 select("bootstrap_semiannual", par_curve(M.SEMIANNUAL_PILLARS, "SemiAnnual", settlement="two_days"), SOLVED)
 select("bootstrap_mxn", par_curve(M.MXN_PILLARS, "SemiAnnual", "MXN", "same_day"), SOLVED)
 
+select("bootstrap_by_definition", f"""{dated(M.GAP_PILLARS)},
+{INFO},
+defined AS (SELECT d.*, i.pay_freq, i.day_count FROM dated d JOIN info i ON i.id_curve = d.curve_id),
+{bond_solve('pay_freq', source='defined', day_count='day_count')}""", SOLVED)
+
 PRICE_PILLARS = f"""{PRICES},
 firsts AS (
     SELECT * FROM prices QUALIFY row_number() OVER (PARTITION BY brand, fecha, dias_venc ORDER BY p_partkey) = 1),

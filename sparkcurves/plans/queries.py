@@ -11,8 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkcurves.cluster import landed, shared_folder
 from sparkcurves.functions import dates as D
 from sparkcurves.functions.accrual import discount_factor, frequency_fraction, year_fraction
+from sparkcurves.functions.exprs import choose
 from sparkcurves.operators import bootstrap as B
 from sparkcurves.operators import checks as K
 from sparkcurves.operators import pillars as P
@@ -68,7 +70,7 @@ def discount_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcast it while it is small. Beyond that they fall back to a salted shuffle.
     """
     few = today_curve(spark, sf_dir).where(F.col("curve_id").between(1, M.DISCOUNT_CURVES))
-    return IO.landed(few)
+    return landed(few)
 
 
 def closed_pillars(spark: SparkSession, sf_dir: str, pillars: tuple = M.PAR_PILLARS, rules: P.CurveRules = P.OIS) -> DataFrame:
@@ -134,7 +136,7 @@ def definition_audit(spark, sf_dir):
 @query
 def curve_reload(spark, sf_dir):
     """Stored-curve round trip: write the text layout to shared storage and read it back."""
-    folder = IO.shared_folder(spark)
+    folder = shared_folder(spark)
     curve = P.to_today(par_curve(spark, sf_dir))
     IO.write_stored_curve(curve, folder)
     stored = IO.read_stored_curve(spark, folder, IO.STORED_PANEL_SCHEMA)
@@ -239,13 +241,19 @@ def accrual_day_counts(spark, sf_dir):
 
 @query
 def discount_factors(spark, sf_dir):
-    fraction = year_fraction("ACT/360", F.col("start_date"), F.col("maturity"))
-    return _dated_lines(spark, sf_dir).select(
+    """Each compounding on ACT/360, and the one the line's own conventions ask for."""
+    start, end, rate = F.col("start_date"), F.col("maturity"), F.col("l_tax")
+    names = ("Linear", "Compound", "Continuous")
+    fraction = year_fraction("ACT/360", start, end)
+    line = F.col("l_linenumber")
+    own_count = choose(line % 4, {i: F.lit(name) for i, name in enumerate(M.DAY_COUNTS)})
+    own_compounding = choose(line % 3, {i: F.lit(name) for i, name in enumerate(names)})
+    lines = _dated_lines(spark, sf_dir).withColumns({"day_count": own_count, "compounding": own_compounding})
+    own = discount_factor(F.col("compounding"), rate, year_fraction(F.col("day_count"), start, end))
+    return lines.select(
         "l_orderkey", "l_linenumber", "start_date", rounded("l_tax"),
-        *[
-            F.round(discount_factor(name, F.col("l_tax"), fraction), 8).alias(f"df_{name.lower()}")
-            for name in ("Linear", "Compound", "Continuous")
-        ],
+        *[F.round(discount_factor(name, rate, fraction), 8).alias(f"df_{name.lower()}") for name in names],
+        "day_count", "compounding", F.round(own, 8).alias("df_own"),
     )
 
 
@@ -262,19 +270,22 @@ def tenor_parsed(spark, sf_dir):
 
 @query
 def tenor_end_dates(spark, sf_dir):
+    """End of each tenor in both calendars, and in the one the row names."""
     lines = IO.read_table(spark, sf_dir, "lineitem")
     suffix = F.element_at(F.array(*[F.lit(s) for s in TENOR_SUFFIXES]), F.col("l_linenumber"))
-    pairs = lines.select(
+    tenors = lines.select(
         F.to_date("l_shipdate").alias("start_date"),
         F.concat(F.col("l_quantity").cast("int").cast("string"), suffix).alias("tenor"),
+        F.when(F.col("l_linestatus") == "F", "MXN").otherwise("USD").alias("calendar"),
     ).distinct()
-    parsed = D.with_parsed_tenor(pairs)
-    ends = [
-        D.tenor_end(F.col("start_date"), calendar).alias(f"end_{calendar.lower()}")
-        for calendar in ("USD", "MXN")
-    ]
-    rows = parsed.select("start_date", "tenor", *ends)
-    return rows.withColumns({"rolled_usd": D.roll(F.col("end_usd")), "rolled_mxn": D.roll(F.col("end_mxn"))})
+    parsed = D.with_parsed_tenor(tenors)
+    start = F.col("start_date")
+    rows = parsed.select(
+        "start_date", "tenor", "calendar",
+        D.tenor_end(start, "USD").alias("end_usd"), D.tenor_end(start, "MXN").alias("end_mxn"),
+        D.tenor_end(start, F.col("calendar")).alias("end_own"),
+    )
+    return rows.withColumn("rolled_own", D.roll(F.col("end_own")))
 
 
 @query
@@ -312,7 +323,7 @@ def payment_counts(spark, sf_dir):
 @query
 def settlement_dates(spark, sf_dir):
     """Overnight and spot dates of each curve and date under every rule, and the output label."""
-    days = M.quotes(spark, sf_dir).select(*CURVE_KEY).distinct()
+    days = M.curve_dates(spark, sf_dir)
     info = M.curve_info(spark, sf_dir).select(F.col("id_curve").alias("curve_id"), "name", "settlement")
     rows = days.join(info, "curve_id").withColumn("stamp", F.date_format("val_date", "yyyyMMdd"))
     today = F.to_date("stamp", "yyyyMMdd")
@@ -415,7 +426,7 @@ def _flow_points(curve: DataFrame) -> DataFrame:
 @query
 def fixed_flow_table(spark, sf_dir):
     """Older layout of the par bonds' flows, discounted on their own curve."""
-    curve = IO.landed(par_curve(spark, sf_dir))
+    curve = landed(par_curve(spark, sf_dir))
     coupon = F.col("rate") * F.col("yfc")
     flows = _flow_points(curve).withColumn("amount", F.when(F.col("k") == F.col("n"), coupon + 1.0).otherwise(coupon))
     valued = interpolate(flows, curve.select(*CURVE_KEY, "days", "df"))
@@ -430,7 +441,7 @@ def float_flow_table(spark, sf_dir):
 
     The first factor is 1; later ones come from the row before.
     """
-    curve = IO.landed(par_curve(spark, sf_dir))
+    curve = landed(par_curve(spark, sf_dir))
     projected = interpolate(_flow_points(curve), curve.select(*CURVE_KEY, "days", "df"), name="df_fwd")
     other = curve.where(F.col("curve_id").between(1, M.DISCOUNT_CURVES)).select(
         F.col("curve_id").alias("discount_id"), "val_date", "days", "df"
@@ -480,6 +491,16 @@ def curve_two_basis(spark, sf_dir):
     return rows.select(*CURVE_KEY, "basis", "pos", "days", rounded("df"))
 
 
+@query
+def curve_store(spark, sf_dir):
+    """Curve sink: both bases written by valuation date, and read back."""
+    folder = shared_folder(spark)
+    curve = P.two_bases(par_curve(spark, sf_dir)).select(*CURVE_KEY, "basis", "pos", "days", "df")
+    IO.write_curve(curve, folder)
+    stored = spark.read.schema(curve.schema).parquet(folder)
+    return stored.select(*CURVE_KEY, "basis", "pos", "days", rounded("df"))
+
+
 @query
 def curve_initial(spark, sf_dir):
     rows = P.definition_curve(par_quotes(spark, sf_dir), M.curve_info(spark, sf_dir))
@@ -510,6 +531,15 @@ def bootstrap_mxn(spark, sf_dir):
     return _solved(par_curve(spark, sf_dir, M.MXN_PILLARS, P.GOVERNMENT_MXN))
 
 
+@query
+def bootstrap_by_definition(spark, sf_dir):
+    """Every curve by its own settings: payment frequency and day count come from a table."""
+    info = M.curve_info(spark, sf_dir).select(F.col("id_curve").alias("curve_id"), "pay_freq", "day_count")
+    rules = P.CurveRules(frequency=F.col("pay_freq"), day_count=F.col("day_count"))
+    quotes = par_quotes(spark, sf_dir, M.GAP_PILLARS).join(info, "curve_id")
+    return _solved(B.bootstrap(B.prepare(quotes, rules), rules, settings=["pay_freq", "day_count"]))
+
+
 def price_curve(spark, sf_dir) -> DataFrame:
     return B.bootstrap(V.zero_curve_pillars(M.prices(spark, sf_dir)), V.ZERO_CURVE)
 
@@ -531,7 +561,7 @@ def bootstrap_dual_curve(spark, sf_dir):
 
 def _bond_check(curve: DataFrame, rules: P.CurveRules) -> DataFrame:
     """Residuals of stored curves: the check reads what was written, and solves nothing again."""
-    return K.residual_summary(K.bond_residuals(IO.landed(curve), rules))
+    return K.residual_summary(K.bond_residuals(landed(curve), rules))
 
 
 @query
@@ -559,5 +589,5 @@ def par_residual_price_target(spark, sf_dir):
 @query
 def par_residual_dual_curve(spark, sf_dir):
     discount = discount_curves(spark, sf_dir)
-    curve = IO.landed(projection_curve(spark, sf_dir, discount))
+    curve = landed(projection_curve(spark, sf_dir, discount))
     return K.residual_summary(K.swap_residuals(curve, discount, discount_id()))

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sparkcurves.cluster import partition_count
+
 QUOTE_SCHEMA = "tenor STRING, type_rate STRING, bid DOUBLE, ask DOUBLE, mid DOUBLE"
 STORED_CURVE_SCHEMA = "start_date DATE, end_date DATE, days INT, df DOUBLE"
 STORED_PANEL_SCHEMA = f"{STORED_CURVE_SCHEMA}, curve_id BIGINT, val_date DATE"
 DEFINITION_SCHEMA = "curve_name STRING, tenor STRING, mkt_desc STRING"
 QUOTE_FILE_PATTERN = r"([^/]+)_(\d{8})\.csv$"
 
-# Tasks that share the rows of one valuation date when curves are written.
-WRITE_SLICES = 64
+# Partitions that hold rows of several dates when curves are written, per slice of a date.
+PARTITIONS_PER_SLICE = 8
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,13 @@ def read_jdbc(spark: SparkSession, url: str, query_table: str, predicate: str, *
 
 
 def _by_date(curve: DataFrame) -> DataFrame:
-    """Rows of one date in a bounded number of tasks and files.
+    """Rows of a date in slices, so that a date has several writers but not one file per curve.
 
     Curves are many and small: a folder per curve would make as many files as curves.
     """
-    return curve.repartition("val_date", F.pmod(F.xxhash64("curve_id"), F.lit(WRITE_SLICES)))
+    partitions = partition_count(curve.sparkSession)
+    slices = -(-partitions // PARTITIONS_PER_SLICE)
+    return curve.repartition(partitions, "val_date", F.pmod(F.xxhash64("curve_id"), F.lit(slices)))
 
 
 def write_curve(curve: DataFrame, path: str) -> None:
@@ -86,27 +88,14 @@ def write_stored_curve(curve: DataFrame, path: str) -> None:
     )
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint location.
-
-    Only where none is configured (tests on one machine) a folder of this machine is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        import tempfile
+def select_definition(spark: SparkSession, definitions: DataFrame, curve_name: str) -> DataFrame:
+    """Definition rows of one curve by a parameterised statement; the filter reaches the source."""
+    return spark.sql("SELECT * FROM {definitions} WHERE curve_name = :name", args={"name": curve_name}, definitions=definitions)
 
-        base = tempfile.mkdtemp(prefix="sparkcurves-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
-
-def landed(df: DataFrame) -> DataFrame:
-    """Write a frame to shared storage and read it back.
-
-    For results that several later steps use: they are computed once, survive the loss of
-    executors, and come back with a known size, so that joins can be chosen by it.
-    """
-    folder = shared_folder(df.sparkSession)
-    df.write.parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+def write_definition_table(definitions: DataFrame, violations: DataFrame, table: str) -> None:
+    """Save a definition table unless its audit found violations."""
+    broken = [r["check_name"] for r in violations.where(F.col("violations") > 0).collect()]
+    if broken:
+        raise ValueError(f"{table}: {', '.join(sorted(broken))}")
+    definitions.write.mode("overwrite").saveAsTable(table)

@@ -89,6 +89,13 @@ def quotes(spark: SparkSession, sf_dir: str, pillars: tuple = PAR_PILLARS) -> Da
     )
 
 
+def curve_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every curve and date that has a quote."""
+    return read_table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("curve_id"), quarter(F.col("l_shipdate")).alias("val_date")
+    ).distinct()
+
+
 def loan_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loans by (start, tenor, rate) whatever the curve: 9 rates x 7 tenors a day at most."""
     grouped = (

@@ -5,11 +5,17 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def checkpoint_dir(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("checkpoints"))
+
+
+@pytest.fixture(scope="session")
+def spark(checkpoint_dir):
     session = (
         SparkSession.builder.master("local[4]")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "6g")
+        .config("spark.checkpoint.dir", checkpoint_dir)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
@@ -19,7 +25,3 @@ def spark():
     yield session
     session.stop()
 
-
-@pytest.fixture
-def sf_dir():
-    return SF_DIR
