@@ -52,7 +52,7 @@ def with_schedule(pillars: DataFrame, rules: CurveRules) -> DataFrame:
 
 
 def _grid(spot: Column, base: Column, rules: CurveRules, discount: Column | None) -> Column:
-    """Payment dates k = 0, 1, ... up to the last pillar: day, accrual since k-1, ln P."""
+    """Payment dates k = 0, 1, ... up to the last pillar: day, accrual since k-1, factor P."""
 
     def point(k: Column) -> Column:
         ends = F.struct(
@@ -62,7 +62,7 @@ def _grid(spot: Column, base: Column, rules: CurveRules, discount: Column | None
         return let(ends, lambda e: F.struct(
             k.alias("k"), F.datediff(e["date"], base).alias("d"),
             F.when(k == 0, 0.0).otherwise(year_fraction(rules.day_count, e["before"], e["date"])).alias("tau"),
-            (F.lit(0.0) if discount is None else log_df_at(discount, F.datediff(e["date"], base))).alias("lp"),
+            (F.lit(0.0) if discount is None else F.exp(log_df_at(discount, F.datediff(e["date"], base)))).alias("discount"),
         ))
 
     last = F.greatest(F.array_max(F.transform("pillars", lambda p: p["grid_count"])), F.lit(0))
@@ -106,7 +106,7 @@ def bootstrap_dual(
             fixed_frequency, fixed_day_count, rules,
         )
         return p.withField("target", F.when(p["type_rate"] == "Swap", value).otherwise(p["target"])).withField(
-            "lp", log_df_at(F.col("discount"), p["days"])
+            "discount", F.exp(log_df_at(F.col("discount"), p["days"]))
         )
 
     aimed = rows.withColumn("pillars", F.transform("pillars", aim))

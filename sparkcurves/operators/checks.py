@@ -62,15 +62,18 @@ def residual_summary(residuals: DataFrame) -> DataFrame:
 
 
 def definition_audit(table: DataFrame, key: list[str], name: str) -> DataFrame:
-    """Violations of NOT NULL on every column and of uniqueness on the key."""
-    nulls = table.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in table.columns]).select(
-        F.inline(F.array(*[
-            F.struct(F.lit(f"{name}.{c} not null").alias("check_name"), F.col(c).alias("violations"))
-            for c in table.columns
-        ]))
+    """Violations of NOT NULL on every column and of uniqueness on the key, in one pass."""
+    others = [c for c in table.columns if c not in key]
+    per_key = table.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(c).isNull()).alias(c) for c in others]
     )
-    repeated = table.groupBy(*key).count().where(F.col("count") > 1)
-    unique = repeated.agg(F.count(F.lit(1)).alias("violations")).select(
-        F.lit(f"{name} unique {', '.join(key)}").alias("check_name"), "violations"
+    nulls = {c: F.sum(F.when(F.col(c).isNull(), F.col("_n")).otherwise(0)) for c in key} | {c: F.sum(c) for c in others}
+    totals = per_key.agg(
+        F.count_if(F.col("_n") > 1).alias("_repeated"),
+        *[F.coalesce(nulls[c], F.lit(0)).alias(c) for c in table.columns],
     )
-    return nulls.unionByName(unique)
+    checks = [(f"{name}.{c} not null", F.col(c)) for c in table.columns]
+    checks.append((f"{name} unique {', '.join(key)}", F.col("_repeated")))
+    return totals.select(F.inline(F.array(*[
+        F.struct(F.lit(check).alias("check_name"), violations.alias("violations")) for check, violations in checks
+    ])))

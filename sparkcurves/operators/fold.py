@@ -82,13 +82,13 @@ def _swap_equation() -> str:
     """
     start = "if(i = 0, get(acc.lf, acc.g) - acc.l, 0D)"
     slope = f"if(i = 0, 0D, {_weight('get(own, i - 1).d')}) - {_weight('s.d')}"
-    periods = f"transform(own, (s, i) -> named_struct('p', exp(s.lp), 'a', {start}, 'b', {slope}))"
+    periods = f"transform(own, (s, i) -> named_struct('p', s.discount, 'a', {start}, 'b', {slope}))"
     known_start = "p.payments - 1 <= acc.g"
     last = f"""named_struct(
-        'p', exp(p.lp),
+        'p', p.discount,
         'a', if({known_start}, get(acc.lf, p.payments - 1) - acc.l, 0D),
         'b', if({known_start}, -1D, {_weight('get(own, size(own) - 1).d')} - 1D))"""
-    paid = "aggregate(own, 0D, (total, s) -> total + exp(s.lp))"
+    paid = "aggregate(own, 0D, (total, s) -> total + s.discount)"
     equation = f"""named_struct(
         'const', {_known()} - {paid} - p.target,
         'terms', concat({periods}, array({last})))"""
@@ -97,13 +97,12 @@ def _swap_equation() -> str:
 
 def _log_df_so_far(day: str) -> str:
     """ln df on the pillars solved so far: log-linear, flat outside."""
-    lo = f"get(filter(acc.out, o -> o.t <= {day}), size(filter(acc.out, o -> o.t <= {day})) - 1)"
-    hi = f"get(filter(acc.out, o -> o.t > {day}), 0)"
     inside = f"b.lo.x + (b.hi.x - b.lo.x) * ({day} - b.lo.t) / (b.hi.t - b.lo.t)"
-    return _let(
-        "b", f"named_struct('lo', {lo}, 'hi', {hi})",
-        f"if(b.lo IS NULL, b.hi.x, if(b.hi IS NULL, b.lo.x, {inside}))",
+    between = _let(
+        "b", "named_struct('lo', get(acc.out, n - 1), 'hi', get(acc.out, n))",
+        f"if(n = 0, b.hi.x, if(b.hi IS NULL, b.lo.x, {inside}))",
     )
+    return _let("n", f"size(filter(acc.out, o -> o.t <= {day}))", between)
 
 
 def _closed_form(anchored: bool) -> str:
@@ -121,7 +120,7 @@ def _advance(dual: bool) -> str:
     factors = _let("q", left, f"transform(gap, c -> q + (s.x - q) * {_weight('c.d')})")
     if dual:
         start = "if(i > 0, get(f, i - 1), get(acc.lf, acc.g))"
-        gains = f"transform(gap, (c, i) -> if(c.k > 0, (exp({start} - f[i]) - 1D) * exp(c.lp), 0D))"
+        gains = f"transform(gap, (c, i) -> if(c.k > 0, (exp({start} - f[i]) - 1D) * c.discount, 0D))"
     else:
         gains = "transform(gap, (c, i) -> c.tau * exp(f[i]))"
     running = f"aggregate({gains}, acc.cum, (c, v) -> concat(c, array(coalesce(get(c, size(c) - 1), 0D) + v)))"
@@ -136,7 +135,7 @@ def _advance(dual: bool) -> str:
 def fold_sql(dual: bool, anchored: bool) -> str:
     """Array of struct(t, x = ln df, r = residual), one per pillar in order.
 
-    `dual` solves swaps on another discount curve, given as ln P on grid and pillars (`lp`).
+    `dual` solves swaps on another discount curve, given as its factor P on grid and pillars.
     `anchored` is for curves in today basis, whose cash pillars start at spot.
     """
     equation = _swap_equation() if dual else _bond_equation()

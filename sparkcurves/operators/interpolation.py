@@ -58,11 +58,13 @@ def gathered(curve: DataFrame, name: str = "points") -> DataFrame:
 
 def log_df_at(points: Column, day: Column) -> Column:
     """ln df at a day on a gathered curve: log-linear inside, flat outside."""
-    below = F.filter(points, lambda p: p["t"] <= day)
-    above = F.get(F.filter(points, lambda p: p["t"] > day), F.lit(0))
+    passed = F.size(F.filter(points, lambda p: p["t"] <= day))
     return let(
-        F.struct(F.get(below, F.size(below) - 1).alias("lo"), above.alias("hi")),
-        lambda s: F.when(s["lo"].isNull(), s["hi"]["l"])
-        .when(s["hi"].isNull(), s["lo"]["l"])
-        .otherwise(s["lo"]["l"] + (s["hi"]["l"] - s["lo"]["l"]) * (day - s["lo"]["t"]) / (s["hi"]["t"] - s["lo"]["t"])),
+        passed,
+        lambda n: let(
+            F.struct(F.get(points, n - 1).alias("lo"), F.get(points, n).alias("hi")),
+            lambda s: F.when(n == 0, s["hi"]["l"])
+            .when(s["hi"].isNull(), s["lo"]["l"])
+            .otherwise(s["lo"]["l"] + (s["hi"]["l"] - s["lo"]["l"]) * (day - s["lo"]["t"]) / (s["hi"]["t"] - s["lo"]["t"])),
+        ),
     )
