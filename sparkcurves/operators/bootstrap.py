@@ -100,40 +100,47 @@ def bootstrap_dual(
     )
     rows = salted_join(rows, other, ["discount_id", "val_date"], spread="curve_id")
 
-    def aim(p: Column) -> Column:
-        value = fixed_leg_value(
-            p["rate"], p["end_date"], F.col("spot_date"), F.col("val_date"), F.col("discount"),
-            fixed_frequency, fixed_day_count, rules,
-        )
-        return p.withField("target", F.when(p["type_rate"] == "Swap", value).otherwise(p["target"])).withField(
-            "discount", F.exp(log_df_at(F.col("discount"), p["days"]))
-        )
-
-    aimed = rows.withColumn("pillars", F.transform("pillars", aim))
+    aimed = rows.withColumn("pillars", _aimed(rules, fixed_frequency, fixed_day_count))
     return _solve_rows(aimed, rules, F.col("discount"))
 
 
-def fixed_leg_value(
-    rate: Column, end: Column, spot: Column, today: Column, discount: Column,
-    frequency: str, day_count: str, rules: CurveRules,
-) -> Column:
-    """Coupons and notional of a fixed leg on a gathered discount curve."""
+def _aimed(rules: CurveRules, frequency: str, day_count: str) -> Column:
+    """Pillars with the discount factor at their end, and for swaps the fixed leg's value.
+
+    The fixed legs of one curve share their payment dates too: the discounted annuity is run up
+    once and every swap takes its part of it, plus its own last payment.
+    """
+    spot, today, discount = F.col("spot_date"), F.col("val_date"), F.col("discount")
     counted_from = spot if rules.count_from == "spot" else today
-    count = D.schedule_count(frequency, counted_from, end)
-
-    def paid(k: Column, n: Column) -> Column:
-        before = D.payment_date(spot, frequency, k - 1, rules.calendar)
-        date = F.when(k == n, end).otherwise(D.payment_date(spot, frequency, k, rules.calendar))
-        return let(
-            F.struct(before.alias("before"), date.alias("at")),
-            lambda e: (rate * year_fraction(day_count, e["before"], e["at"]) + F.when(k == n, 1.0).otherwise(0.0))
-            * F.exp(log_df_at(discount, F.datediff(e["at"], today))),
-        )
 
-    return let(
-        count,
-        lambda n: F.aggregate(F.transform(F.sequence(F.lit(1), n), lambda k: paid(k, n)), F.lit(0.0), lambda a, b: a + b),
+    def paid(k: Column) -> Column:
+        ends = F.struct(
+            D.payment_date(spot, frequency, k - 1, rules.calendar).alias("before"),
+            D.payment_date(spot, frequency, k, rules.calendar).alias("date"),
+        )
+        return let(ends, lambda e: year_fraction(day_count, e["before"], e["date"])
+                   * F.exp(log_df_at(discount, F.datediff(e["date"], today))))
+
+    def aim(p: Column, annuity: Column) -> Column:
+        factor = F.exp(log_df_at(discount, p["days"]))
+        count = D.schedule_count(frequency, counted_from, p["end_date"])
+
+        def value(n: Column) -> Column:
+            last = year_fraction(day_count, D.payment_date(spot, frequency, n - 1, rules.calendar), p["end_date"])
+            return let(factor, lambda f: p.withField("discount", f).withField(
+                "target",
+                F.when(p["type_rate"] == "Swap", p["rate"] * F.get(annuity, n - 1) + (1.0 + p["rate"] * last) * f)
+                .otherwise(p["target"]),
+            ))
+
+        return let(count, value)
+
+    longest = F.array_max(F.transform("pillars", lambda p: D.schedule_count(frequency, counted_from, p["end_date"])))
+    steps = F.when(longest > 1, F.transform(F.sequence(F.lit(1), longest - 1), paid)).otherwise(F.array().cast("array<double>"))
+    running = F.aggregate(
+        steps, F.array(F.lit(0.0)), lambda c, v: F.concat(c, F.array(F.get(c, F.size(c) - 1) + v))
     )
+    return let(running, lambda annuity: F.transform("pillars", lambda p: aim(p, annuity)))
 
 
 def _solve_rows(rows: DataFrame, rules: CurveRules, discount: Column | None) -> DataFrame:

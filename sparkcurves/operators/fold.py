@@ -20,6 +20,8 @@ It is SQL text because the same tree made of Column objects takes seconds to bui
 from __future__ import annotations
 
 NEWTON_STEPS = 8
+# A step this small leaves an error of about its square; the steps left over are skipped.
+CLOSE_ENOUGH = "1e-10D"
 
 _START = """named_struct(
     't', 0, 'l', 0D, 'g', -1, 'anchor', 0D,
@@ -47,8 +49,14 @@ def _value(y: str) -> str:
 
 def _solution() -> str:
     """x = ln df of the new pillar and the residual r left by the equation `e`."""
-    newton = _let("n", _value("y"), "y - try_divide(n.f, n.df)")
-    iterated = f"aggregate(sequence(1, {NEWTON_STEPS}), 0D, (y, i) -> {newton})"
+    move = _let(
+        "n", _value("at.y"),
+        _let("h", "try_divide(n.f, n.df)", f"named_struct('y', at.y - h, 'near', abs(h) <= {CLOSE_ENOUGH})"),
+    )
+    iterated = (
+        f"aggregate(sequence(1, {NEWTON_STEPS}), named_struct('y', 0D, 'near', false), "
+        f"(at, i) -> if(at.near, at, {move}), at -> at.y)"
+    )
     only = "e.terms[0]"
     outright = f"try_divide(ln(try_divide(-e.const, {only}.p)) - {only}.a, {only}.b)"
     return _let(
@@ -123,7 +131,9 @@ def _advance(dual: bool) -> str:
         gains = f"transform(gap, (c, i) -> if(c.k > 0, (exp({start} - f[i]) - 1D) * c.discount, 0D))"
     else:
         gains = "transform(gap, (c, i) -> c.tau * exp(f[i]))"
-    running = f"aggregate({gains}, acc.cum, (c, v) -> concat(c, array(coalesce(get(c, size(c) - 1), 0D) + v)))"
+    carried = "coalesce(get(acc.cum, size(acc.cum) - 1), 0D)"
+    added = f"array(coalesce(get(c, size(c) - 1), {carried}) + v)"
+    running = f"concat(acc.cum, aggregate({gains}, cast(array() AS array<double>), (c, v) -> concat(c, {added})))"
     state = f"""named_struct(
         't', p.days, 'l', s.x, 'g', greatest(acc.g, p.grid_count),
         'anchor', if(p.type_rate = 'OverNight', s.x, acc.anchor),
