@@ -49,11 +49,22 @@ def choose_side(quotes: DataFrame, side: Column, scale: Column) -> DataFrame:
     return quotes.withColumn("rate", picked / scale)
 
 
+def first_quotes(quotes: DataFrame) -> DataFrame:
+    """First quote of every tenor of a curve and date, by position, for sources that repeat tenors.
+
+    A minimum combined on the map side; afterwards a curve has one row per tenor, which is what
+    `definition_join` and the bootstrap gather.
+    """
+    rest = [c for c in quotes.columns if c not in (*CURVE_KEY, "tenor")]
+    first = F.min_by(F.struct(*rest), F.col("pos")).alias("first")
+    return quotes.groupBy(*CURVE_KEY, "tenor").agg(first).select(*CURVE_KEY, "tenor", "first.*").select(*quotes.columns)
+
+
 def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> DataFrame:
     """Every defined pillar of every curve and date, with rate 0 where there is no quote.
 
-    Quotes are unique per pillar, so the list gathered for a curve is no longer than its
-    definition. One shuffle by (curve, date) serves this and the whole bootstrap after it.
+    Quotes are unique per tenor (see `first_quotes`), so the list gathered for a curve is no
+    longer than its definition. One shuffle by (curve, date) serves this and the whole bootstrap after it.
     """
     definition = F.array(*[
         F.struct(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkcurves.functions import dates as D
 from sparkcurves.operators.bootstrap import with_schedule
+from sparkcurves.operators.joins import salted_join
 from sparkcurves.operators.pillars import CurveRules, by_curve, with_simple_df
 
 ZERO_CURVE = CurveRules(calendar="MXN", settlement="same_day", base="spot", frequency="SemiAnnual")
@@ -44,10 +45,9 @@ def price_universe(prices: DataFrame) -> DataFrame:
         listed.select("fecha", "plazo").distinct()
         .withColumn("maturity_rank", F.row_number().over(Window.partitionBy("fecha").orderBy("plazo")))
     )
-    # one row per date and maturity: both come from short fixed domains, not from the data's size
-    return listed.join(F.broadcast(ranks), ["fecha", "plazo"]).withColumn(
-        "maturity", F.date_add("fecha", F.col("plazo"))
-    )
+    # few dates and maturities serve all securities, so their keys are hot
+    ranked = salted_join(listed, ranks, ["fecha", "plazo"], spread="yield")
+    return ranked.withColumn("maturity", F.date_add("fecha", F.col("plazo")))
 
 
 def classified(prices: DataFrame) -> DataFrame:

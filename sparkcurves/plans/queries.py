@@ -70,7 +70,7 @@ def discount_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     broadcast it while it is small. Beyond that they fall back to a salted shuffle.
     """
     few = today_curve(spark, sf_dir).where(F.col("curve_id").between(1, M.DISCOUNT_CURVES))
-    return landed(few)
+    return landed(few.hint("rebalance"))  # a few rows: no need for a file per partition
 
 
 def closed_pillars(spark: SparkSession, sf_dir: str, pillars: tuple = M.PAR_PILLARS, rules: P.CurveRules = P.OIS) -> DataFrame:

@@ -114,6 +114,18 @@ def test_missing_quotes_become_zero_rates(spark):
     assert rows["2Y"]["converged"] and rows["2Y"]["df"] < 1
 
 
+def test_repeated_tenor_keeps_the_first_quote(spark):
+    """Thousands of later quotes of the same tenor change nothing and are combined before the shuffle."""
+    date = dt.date(2020, 1, 31)
+    once = [("c", date, i, t, k, 0.02, False) for i, (t, k) in enumerate(PILLARS, start=1)]
+    again = [("c", date, 100 + i, PILLARS[i % len(PILLARS)][0], PILLARS[i % len(PILLARS)][1], 0.5, False) for i in range(3000)]
+    quotes = P.first_quotes(spark.createDataFrame(again + once, QUOTE_SCHEMA))
+    assert sorted(map(tuple, quotes.collect()), key=lambda r: r[2]) == once
+    solved = B.bootstrap(B.prepare(quotes, P.OIS), P.OIS)
+    alone = B.bootstrap(B.prepare(spark.createDataFrame(once, QUOTE_SCHEMA), P.OIS), P.OIS)
+    assert [r["df"] for r in solved.orderBy("pos").collect()] == [r["df"] for r in alone.orderBy("pos").collect()]
+
+
 def test_unsolvable_pillar_is_flagged(spark):
     """Coupons already worth more than the target leave no positive factor: NULL, not a crash."""
     date = dt.date(2020, 1, 31)
