@@ -2,7 +2,8 @@
 
 Written from the definitions and on purpose in another shape than the Spark jobs: pillars are
 solved one after another by a recursive query that reprices the whole instrument, factors are
-found by range joins over all segments, schedules come from generate_series.
+found by range joins over all segments, schedules come from generate_series. Adding 0.0 after a
+rounding turns a negative zero into zero.
 """
 
 from __future__ import annotations
@@ -475,7 +476,7 @@ pairs AS (
     SELECT curve_id, val_date, days, df, lag(days) OVER w AS from_day, lag(df) OVER w AS df_from
     FROM today WINDOW w AS (PARTITION BY curve_id, val_date ORDER BY days))""", """
 SELECT curve_id, val_date, from_day, days,
-    round((df_from / df - 1.0::DOUBLE) / ((days - from_day) / 360.0::DOUBLE), 8) AS forward_rate
+    round((df_from / df - 1.0::DOUBLE) / ((days - from_day) / 360.0::DOUBLE), 8) + 0.0::DOUBLE AS forward_rate
 FROM pairs WHERE from_day IS NOT NULL""")
 
 FLOATING = f"""{par_curve()},
@@ -494,7 +495,7 @@ paid AS (
 
 select("float_leg", FLOATING, f"""
 SELECT curve_id, val_date, start_date, tenor, {r8('rate')}, k, period_start, period_end, day,
-    round(CASE WHEN accrual <> 0 THEN growth / accrual END, 8) AS forward_rate, round(amount, 4) AS amount
+    round(CASE WHEN accrual <> 0 THEN growth / accrual END, 8) + 0.0::DOUBLE AS forward_rate, round(amount, 4) + 0.0::DOUBLE AS amount
 FROM paid""")
 
 select("swap_dual_curve_pv", FLOATING, f"""
@@ -532,7 +533,7 @@ grown AS (
     SELECT *, coalesce(lag(df_fwd) OVER (PARTITION BY curve_id, val_date, tenor ORDER BY k), 1.0::DOUBLE) / df_fwd - 1.0::DOUBLE AS growth
     FROM projected)""", f"""
 SELECT grown.curve_id, grown.val_date, tenor, k, day, {r8('yfc')}, {r8('yf')}, round({factor('day')}, 8) AS df,
-    round(growth + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 8) AS amount
+    round(growth + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 8) + 0.0::DOUBLE AS amount
 FROM grown JOIN segments ON {on_segment('grown', 'day', 'segments', 'discount_id')}""")
 
 # --- curves ------------------------------------------------------------------------------------
