@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-from __spark_entry__ import oracle_sql, queries
+from sparkcurves.plans.oracle import SQL
+from sparkcurves.plans.queries import REGISTRY
 from tests.conftest import SF_DIR
 
 SPARK_TYPES = {
@@ -24,13 +25,13 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(REGISTRY) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(REGISTRY))
 def test_same_rows(spark, duck, name):
-    frame = queries()[name](spark, SF_DIR)
-    cursor = duck.execute(oracle_sql()[name])
+    frame = REGISTRY[name](spark, SF_DIR)
+    cursor = duck.execute(SQL[name])
     names = [d[0] for d in cursor.description]
     types = {d[0]: str(d[1]) for d in cursor.description}
     columns = sorted(frame.columns)
