@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkcurves.llm import blocks, packing
+from sparkcurves.llm import blocks, chat, forest_dedup, mixing, packing
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,6 +27,25 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.pack(table(spark, sf_dir, "documents")))
 
 
+@registered
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return chat.conversation_digest(rows.unionByName(extra))
+
+
+@registered
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forest_dedup.near_duplicates(table(spark, sf_dir, "documents"), width=2).drop("text_key")
+
+
+@registered
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_by_source(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "passes", "source")
+
+
 @registered
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.exact_duplicates(table(spark, sf_dir, "documents")).drop("row")
