@@ -33,7 +33,7 @@ def unescape(text: Column) -> Column:
     return text
 
 
-def branches(messages: DataFrame, best: int | None = None, most_rounds: int = 40) -> DataFrame:
+def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
     """messages(tree, node, parent, role, text, score) -> tree, leaf, score, branch, turns: one row per chosen root-to-leaf path.
 
     `turns` is array<struct<depth, role, text>> from the root down; `score` the sum over the path (null counts 0); `branch` the rank by score
@@ -50,19 +50,19 @@ def branches(messages: DataFrame, best: int | None = None, most_rounds: int = 40
         F.min(F.struct("role", "text", "id"))["id"].alias("up"))
     links = rows.where("parent is not null").join(heads, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("n")))
     links = links.select("id", "up")
-    state = S.store(rows.join(links, "id", "left").select("id", "up", F.col("score").alias("total"), F.lit(1).alias("depth")), "pointers")
-    jumps = []
-    for _ in range(most_rounds):
+    state = S.store(rows.join(links, "id", "left").select("id", "up", F.col("score").alias("total"), F.lit(1).cast("long").alias("depth")), "pointers")
+    jumps, total = [], rows.count()
+    while True:
         jump = state.where("up is not null").select("id", "up")
         if jump.isEmpty():
             break
+        if 1 << len(jumps) > total:  # no thread is longer than all messages
+            raise ValueError("messages reply to each other in a ring")
         jumps.append(jump)
         over = state.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
         state = S.store(state.join(over, "up", "left").select(
             "id", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("deeper", F.lit(0))).alias("depth")), "pointers")
-    else:
-        raise ValueError("messages reply to each other in a ring")
+            (F.col("depth") + F.coalesce("deeper", F.lit(0).cast("long"))).alias("depth")), "pointers")
     leaves = rows.join(links.select(F.col("up").alias("id")), "id", "left_anti").select("id", "tree", "node")
     leaves = leaves.join(state.select("id", "total", "depth"), "id")
     ranked = leaves.withColumn("branch", F.row_number().over(
