@@ -1,7 +1,7 @@
 """License texts in documents by conditional compression.
 
 1. Candidates: the lines of every document that share a telling word with a template. The telling words come from the templates; a native filter
-   drops all other lines before any Python runs.
+   drops all other lines before any Python runs. Long lines are read in overlapping blocks, each longer than any template.
 2. A candidate is compressed once by itself and once with each template as a raw Zstandard dictionary. The template that makes it smallest, relative to
    its size alone, ranks first.
 3. The winner is confirmed by exact wording: the words of candidate and template are aligned, and the differences counted. Blanks in a template
@@ -57,7 +57,7 @@ def telling_words(templates: Mapping[str, str]) -> list[str]:
 def differences(candidate: list[str], template: list[str]) -> tuple[int, int, int]:
     """(missing, added, replaced) words of the cheapest alignment of a template with a stretch of the candidate.
 
-    Words before and after the stretch are free, so a notice may stand inside a longer line.
+    Words before and after the stretch are free, so a notice may stand inside a longer line. A blank stands for one word or more.
     """
     n = len(candidate)
     row = [(0, 0, 0, 0)] * (n + 1)  # total, missing, added, replaced; free start anywhere
@@ -67,7 +67,7 @@ def differences(candidate: list[str], template: list[str]) -> tuple[int, int, in
         for j, c in enumerate(candidate, 1):
             a, b, d = previous[j - 1], previous[j], row[j - 1]
             same = blank or c == t
-            row.append(min((a[0] + (not same), a[1], a[2], a[3] + (not same)), (b[0] + 1, b[1] + 1, b[2], b[3]), (d[0] + 1, d[1], d[2] + 1, d[3])))
+            row.append(min((a[0] + (not same), a[1], a[2], a[3] + (not same)), (b[0] + 1, b[1] + 1, b[2], b[3]), (d[0] + (not blank), d[1], d[2] + (not blank), d[3])))
     return min(row)[1:]
 
 
@@ -82,38 +82,54 @@ def _compressors(templates: tuple[tuple[str, str], ...], level: int):
     return plain, each
 
 
-def judge(line: str, templates: tuple[tuple[str, str], ...], level: int, most_changed: float, least_saved: int) -> tuple:
-    """(license, bytes alone, bytes given, reduction, missing, added, replaced, confirmed) of a line.
+def blocks(line: str, templates: tuple[tuple[str, str], ...]) -> list[str]:
+    """The line, or if it is long, stretches of its words that overlap by more than the longest template."""
+    longest = max(len(text.split()) for _, text in templates) + 8
+    own = line.split()
+    if len(own) <= 3 * longest:
+        return [line]
+    return [" ".join(own[i : i + 2 * longest]) for i in range(0, len(own) - longest, longest)]
 
-    Templates rank by the size they leave. Those that save `least_saved` bytes are winners, compared by wording; the first with the fewest
-    differences counts. Without a winner the first template by size is named, with no differences and not confirmed.
+
+def judge(line: str, templates: tuple[tuple[str, str], ...], level: int, most_changed: float, least_saved: int) -> list[tuple]:
+    """(license, bytes alone, bytes given, reduction, missing, added, replaced, confirmed) for each license confirmed in a line.
+
+    For every block, templates rank by the size they leave. Those that save `least_saved` bytes are winners, compared by wording; of a block's
+    winners that with the fewest differences counts. A line without a confirmed license has one row, for its most reduced block.
     """
     plain, each = _compressors(templates, level)
-    data = line.lower().encode()
-    alone = len(plain.compress(data))
-    given = [len(c.compress(data)) for c in each]
-    order = sorted(range(len(each)), key=lambda i: (given[i], abs(len(templates[i][1]) - len(line)), i))
-    own, best = words(line), None
-    for i in order:
-        if alone - given[i] < least_saved:
-            break
-        aim = words(templates[i][1])
-        changed = differences(own, aim)
-        key = (sum(changed) > most_changed * len(aim), sum(changed), -len(aim))
-        if best is None or key < best[0]:
-            best = key, i, changed
-    if best is None:
-        i = order[0]
-        return templates[i][0], alone, given[i], 1 - given[i] / alone, None, None, None, False
-    key, i, changed = best
-    return templates[i][0], alone, given[i], 1 - given[i] / alone, *changed, not key[0]
+    confirmed: dict[str, tuple] = {}
+    rest = None
+    for block in blocks(line, templates):
+        data = block.lower().encode()
+        alone = len(plain.compress(data))
+        given = [len(c.compress(data)) for c in each]
+        order = sorted(range(len(each)), key=lambda i: (given[i], abs(len(templates[i][1]) - len(block)), i))
+        own, best = words(block), None
+        for i in order:
+            if alone - given[i] < least_saved:
+                break
+            aim = words(templates[i][1])
+            changed = differences(own, aim)
+            key = (sum(changed) > most_changed * len(aim), sum(changed), -len(aim))
+            if best is None or key < best[0]:
+                best = key, i, changed
+        i, changed = (best[1], best[2]) if best else (order[0], (None, None, None))
+        row = (templates[i][0], alone, given[i], 1 - given[i] / alone, *changed, bool(best and not best[0][0]))
+        if row[-1]:
+            if row[0] not in confirmed or sum(changed) < sum(confirmed[row[0]][4:7]):
+                confirmed[row[0]] = row
+        elif rest is None or row[3] > rest[3]:
+            rest = row
+    return list(confirmed.values()) or [rest]
 
 
 def scan(documents: DataFrame, templates: Mapping[str, str] | None = None, level: int = 9, most_changed: float = 0.2, least_saved: int = 6) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, line, license, bytes_alone, bytes_given, reduction, missing, added, replaced, confirmed: one row per candidate line.
+    """documents(doc_id, text) -> doc_id, line, license, bytes_alone, bytes_given, reduction, missing, added, replaced, confirmed.
 
-    `line` counts the text's lines from 0. `license` is, of the templates that save at least `least_saved` bytes, the one whose wording is nearest, ties
-    by size; it is confirmed when no more than `most_changed` of its words differ. Null and empty texts have no candidates; equal lines have a row each; a null doc_id stays null; lines may be
+    A row for each license confirmed in a candidate line, or one row, not confirmed. `line` counts the text's lines from 0. `license` is, of the
+    templates that save at least `least_saved` bytes of a block, the one whose wording is nearest, ties by size; it is confirmed when no more than
+    `most_changed` of its words differ. Null and empty texts have no candidates; equal lines have a row each; a null doc_id stays null; lines may be
     of any length. An empty table gives an empty result; other columns are ignored.
     """
     chosen = tuple(sorted((templates or TEMPLATES).items()))
@@ -122,16 +138,18 @@ def scan(documents: DataFrame, templates: Mapping[str, str] | None = None, level
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block")).where(F.col("block").rlike(pattern))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        known: dict[str, tuple] = {}
-        found = []
-        for block in batch.column("block").to_pylist():
+        known: dict[str, list[tuple]] = {}
+        at, found = [], []
+        for i, block in enumerate(batch.column("block").to_pylist()):
             if block not in known:
                 known[block] = judge(block, chosen, level, most_changed, least_saved)
-            found.append(known[block])
+            found += known[block]
+            at += [i] * len(known[block])
+        at = pa.array(at, pa.int64())
         names = ("license", "bytes_alone", "bytes_given", "reduction", "missing", "added", "replaced", "confirmed")
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         columns = {name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}
-        return pa.record_batch({"doc_id": batch.column("doc_id"), "line": batch.column("line").cast(pa.int64()), **columns})
+        return pa.record_batch({"doc_id": batch.column("doc_id").take(at), "line": batch.column("line").take(at).cast(pa.int64()), **columns})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
     return S.map_arrow(lines, S.arrow_map(run), f"doc_id {kind}, line long, license string, bytes_alone long, bytes_given long, reduction double, "

@@ -150,7 +150,7 @@ def _folded(span: str) -> str:
 
 _TRIM = re.compile(r"^[\"'(\[{<«“‘]+|[.,;:?…\"')\]}>»”’]+$")
 _TAIL = re.compile(r"([^\w\s])\1+$")
-_SKIP = re.compile(r"^\d[\d.,:%€$/-]*$|[@=:/].*[.:=/]|^[A-Z0-9]{16,}$|[0-9a-f]{16,}")
+_SKIP = re.compile(r"^\d[\d.,:%€$/-]*[a-zA-Z]{0,2}$|=|://|@.*\.|^[A-Z0-9]{16,}$|[0-9a-f]{16,}")
 
 
 def readable(word: str, model: CharacterModel, known: dict[str, str]) -> str:
