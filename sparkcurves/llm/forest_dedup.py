@@ -6,9 +6,9 @@ value 4 * t on (and around), which makes neighbours of classes whose signatures
 
 * Regions. Classes that share the first 4 values in a tree are a region of it. Two sets of similarity 0.8 share none of 32 regions with
   probability 5e-8. Classes alone in all their regions are done.
-* Neighbours. In each sorted order neighbours in a region (longest common prefix first) and the region's smallest class are candidates. Each
-  class offers one of them for confirmation on full sets, twice over: first the smallest, then the most alike of another component.
-  Links join classes to components, which settles large groups of copies with about one confirmation each.
+* Neighbours. In each sorted order neighbours in a region (those with the longest common prefix) and the region's smallest class are candidates.
+  Each class first offers its smallest for confirmation on full sets, then, in a few rounds, the most alike of other components. Links join
+  classes to components, which settles large groups of copies with a few confirmations each.
 * Regions again, by depth. Only pairs of different components in a region are left. A region with more such pairs than `pairs_per_class` times
   its classes reads further values and falls apart into deeper regions; regions of full signatures keep all pairs. All pairs whose
   signatures allow a similarity near the threshold are confirmed on full sets.
@@ -24,15 +24,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from sparkcurves.llm import shared as S
 
 TREES = 32
 ROOT = 4  # values that make a region
 DEPTHS = (4, 6, 8, 12, 16, 24, 128)
-PAIRS_PER_CLASS = 400
-SIGMAS = 5  # a pair whose signatures agree on fewer values than this allows is no candidate
+PAIRS_PER_CLASS = 16
+ROUNDS, OFFERS = 2, 3  # rounds of confirmation among neighbours after the first, and how many a class offers in each
+SIGMAS = 4.5  # a pair whose signatures agree on fewer values than this allows is no candidate
 
 
 def _signatures(hashes: np.ndarray, at: np.ndarray, values: int) -> np.ndarray:
@@ -103,7 +104,7 @@ def _unpack(column: pa.Array, values: int) -> np.ndarray:
 
 
 def _regions(classes: DataFrame, depth: int, trees: int, values: int) -> DataFrame:
-    """class -> (class, tree, key) for all its trees, or for those in its `trees` column."""
+    """class -> (class, tree, key) for all its trees, or (class, root, tree, key) for those in its `trees` column."""
     partial = "trees" in classes.columns
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -115,10 +116,11 @@ def _regions(classes: DataFrame, depth: int, trees: int, values: int) -> DataFra
             row, tree = np.repeat(np.arange(len(ids)), sizes), np.asarray(own.flatten().to_numpy(zero_copy_only=False), np.int64)
         else:
             row, tree = np.repeat(np.arange(len(ids)), trees), np.tile(np.arange(trees), len(ids))
-        return pa.record_batch({"class": pa.array(ids[row]), "tree": pa.array(tree.astype(np.int32)), "key": pa.array(keys[row, tree])})
+        root = {"root": batch.column("root").take(pa.array(row))} if partial else {}
+        return pa.record_batch({"class": pa.array(ids[row]), **root, "tree": pa.array(tree.astype(np.int32)), "key": pa.array(keys[row, tree])})
 
-    columns = ["class", "signature", *(["trees"] if partial else [])]
-    return S.map_arrow(classes.select(*columns), S.arrow_map(run), "class long, tree int, key long")
+    columns = ["class", "signature", *(["trees", "root"] if partial else [])]
+    return S.map_arrow(classes.select(*columns), S.arrow_map(run), "class long, " + "root long, " * partial + "tree int, key long")
 
 
 def _neighbours(active: DataFrame, trees: int, values: int, parts: int) -> DataFrame:
@@ -156,12 +158,26 @@ def _neighbours(active: DataFrame, trees: int, values: int, parts: int) -> DataF
     return S.map_arrow(rows, pairs, "a long, b long, shared int")
 
 
+def _least_same(values: int, percent: int) -> int:
+    """Values on which the signatures of two sets at the threshold agree, but for the few cases beyond SIGMAS deviations."""
+    share = percent / 100
+    return int(np.floor(values * share - SIGMAS * np.sqrt(values * share * (1 - share))))
+
+
+def _shown(active: DataFrame, values: int) -> DataFrame:
+    """(class, shown): signatures as arrays, for comparison inside a join."""
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        flat = _unpack(batch.column("signature"), values).astype(np.int32).ravel()
+        return pa.record_batch({"class": batch.column("class"), "shown": pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, values, dtype=np.int32), flat)})
+
+    return S.map_arrow(active.select("class", "signature"), S.arrow_map(run), "class long, shown array<int>")
+
+
 def _likely(pairs: DataFrame, active: DataFrame, values: int, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and signatures allow the threshold, with the number of values on which they agree."""
     one = active.select(F.col("class").alias("a"), F.col("n_shingles").alias("na"), F.col("signature").alias("sa"))
     two = active.select(F.col("class").alias("b"), F.col("n_shingles").alias("nb"), F.col("signature").alias("sb"))
-    share = percent / 100
-    least = int(np.floor(values * share - SIGMAS * np.sqrt(values * share * (1 - share))))
+    least = _least_same(values, percent)
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
 
     def agree(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -170,8 +186,7 @@ def _likely(pairs: DataFrame, active: DataFrame, values: int, percent: int) -> D
         return pa.record_batch({"a": pa.array(batch.column("a").to_numpy()[keep]), "b": pa.array(batch.column("b").to_numpy()[keep]),
                                 "same": pa.array(same[keep].astype(np.int32))})
 
-    sized = pairs.join(one.drop("sa"), "a").join(two.drop("sb"), "b").where(fits).select("a", "b")
-    sized = sized.join(one.select("a", "sa"), "a").join(two.select("b", "sb"), "b")
+    sized = pairs.join(one, "a").join(two, (pairs["b"] == two["b"]) & fits).drop(two["b"])
     return S.map_arrow(sized.select("a", "b", "sa", "sb"), S.arrow_map(agree), "a long, b long, same int")
 
 
@@ -187,9 +202,10 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         keep = pa.array(keep, pa.bool_())
         return pa.record_batch({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
 
-    one = sets.select(F.col("class").alias("a"), F.col("shingles").alias("sa"))
-    two = sets.select(F.col("class").alias("b"), F.col("shingles").alias("sb"))
-    return S.map_arrow(pairs.select("a", "b").join(one, "a").join(two, "b"), S.arrow_map(check), "a long, b long")
+    one = sets.select(F.col("class").alias("first"), F.col("shingles").alias("sa"))
+    two = sets.select(F.col("class").alias("second"), F.col("shingles").alias("sb"))
+    paired = pairs.join(one, pairs["a"] == one["first"]).join(two, pairs["b"] == two["second"])
+    return S.map_arrow(paired.select("a", "b", "sa", "sb"), S.arrow_map(check), "a long, b long")
 
 
 def _class_sets(documents: DataFrame, active: DataFrame, width: int) -> DataFrame:
@@ -231,39 +247,51 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     heads = crowded.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     near = _neighbours(active, trees, values, parts).select("a", "b").union(heads).distinct()
     likely = S.store(_likely(near, active, values, percent), "candidates")
-    first = likely.groupBy("a").agg(F.min("b").alias("b"))
-    links = S.store(_confirmed(first, sets, percent), "links")
+    tried = likely.groupBy("a").agg(F.min("b").alias("b"))
+    links = S.store(_confirmed(tried, sets, percent), "links")
     of = S.store(S.components(links), "components")
-
     both = likely.select("a", "b", "same").union(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
-    second = _apart(both, of).groupBy("a").agg(F.max(F.struct("same", "b"))["b"].alias("b"))
-    second = second.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    links = S.store(links.union(_confirmed(second, sets, percent)), "links")
-    of = S.store(S.components(links), "components")
+    best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
+    for _ in range(ROUNDS):
+        apart = _apart(both, of).select("a", "b", "same")
+        open_ = apart.join(tried.union(tried.select(F.col("b"), F.col("a"))), ["a", "b"], "left_anti")
+        chosen = open_.withColumn("place", best).where(F.col("place") <= OFFERS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        chosen = S.store(chosen, "offers")
+        if chosen.isEmpty():
+            break
+        tried = tried.union(chosen)
+        links = S.store(links.union(_confirmed(chosen, sets, percent)), "links")
+        of = S.store(S.components(links), "components")
 
-    tried = first.union(second)
     members = _with_root(crowded, of, "class", "root").select("class", "root", "tree", "key")
     found = []
     for i, depth in enumerate(DEPTHS):
         depth = min(depth, values)
         if i:
-            again = active.select("class", "signature").join(members.groupBy("class").agg(F.collect_list("tree").alias("trees")), "class")
-            members = _regions(again, depth, trees, values).join(members.select("class", "root").distinct(), "class")
+            again = active.select("class", "signature").join(members.groupBy("class", "root").agg(F.collect_list("tree").alias("trees")), "class")
+            members = _regions(again, depth, trees, values)
         by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
         cost = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
         cost = cost.withColumn("small", (F.col("n") - F.col("largest") <= pairs_per_class) | F.lit(depth == values))
         members = S.store(members.join(cost.select("key", "small"), "key"), "mixed-regions")
         small = members.where("small")
-        x = small.select("key", F.col("class").alias("a"), F.col("root").alias("ra"))
-        y = small.select("key", F.col("class").alias("b"), F.col("root").alias("rb"))
-        found.append(x.join(y, "key").where("a > b and ra <> rb").select("a", "b"))
+        # a pair that shares several of these regions is made in the first of them alone
+        small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class
+        small = small.select("class", "root", "key", "keys").join(_shown(active, values), "class")
+        x = small.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("shown").alias("sa"))
+        y = small.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("shown").alias("sb"))
+        pair = (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
+        pair &= F.get(F.array_intersect("ka", "kb"), 0) == x["key"]
+        same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+        pair &= same >= _least_same(values, percent)
+        found.append(x.join(y, pair).select("a", "b"))
         members = members.where("not small").drop("small")
         if depth == values or members.isEmpty():
             break
     rest = found[0]
     for more in found[1:]:
         rest = rest.union(more)
-    rest = S.store(_likely(rest.distinct().join(tried, ["a", "b"], "left_anti"), active, values, percent), "last-candidates")
+    rest = S.store(rest.distinct().join(tried, ["a", "b"], "left_anti"), "last-candidates")
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, sets, percent))
         of = S.store(S.components(links), "components")
