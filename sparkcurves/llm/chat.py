@@ -71,7 +71,7 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
         ranked = ranked.where(F.col("branch") <= best)
     chosen = S.store(ranked.select(F.col("id").alias("leaf_id"), "tree", F.col("node").alias("leaf"), F.col("total").alias("score"), "branch"), "leaves")
     members = chosen.select("leaf_id", F.col("leaf_id").alias("id"))
-    for jump in jumps:
+    for jump in reversed(jumps):  # far jumps first: a path doubles only once its own length is reached
         members = members.join(jump, "id", "left").select("leaf_id", F.explode(F.array("id", "up")).alias("id")).where("id is not null")
     turns = members.join(rows.select("id", "role", "text"), "id").join(state.select("id", "depth"), "id")
     paths = turns.groupBy("leaf_id").agg(F.sort_array(F.collect_list(F.struct("depth", "role", "text"))).alias("turns"))
