@@ -28,6 +28,7 @@ from sparkcurves.llm import shared as S
 from sparkcurves.llm import tokens as K
 
 CAPACITY = 1024
+BUCKETS = 64  # tasks that share the ranking of one length; the offsets of all lengths' buckets are broadcast
 CUT_PENALTY = 2 / 1024  # of a sequence, for cutting one document
 
 
@@ -242,7 +243,7 @@ def _intervals(plan: Plan) -> tuple[list[tuple], int]:
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, closing_id: int = 0,
-         penalty: float = CUT_PENALTY, buckets: int | None = None) -> DataFrame:
+         penalty: float = CUT_PENALTY, buckets: int = BUCKETS) -> DataFrame:
     """documents(doc_id, text) -> pieces: doc_id, start, length, ids (binary, little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, pattern.
 
     `start` is the place of a piece in its document's ids, `offset` its place in its sequence; pieces fill a sequence from 0 without gaps.
@@ -252,8 +253,6 @@ def pack(documents: DataFrame, capacity: int = CAPACITY, vocabulary: str | None
     """
     spark = documents.sparkSession
     path = vocabulary or K.vocabulary_path()
-    parts = S.partitions(spark)
-    buckets = buckets or parts
     encoded = S.store(_encoded(documents, capacity, path, closing_id), "encoded")
     histogram = encoded.where("not full").groupBy("length").count().collect()  # at most capacity - 1 rows
     demand = np.zeros(capacity, np.int64)
