@@ -88,7 +88,8 @@ def exact_duplicates(documents: DataFrame, block_bytes: int = BLOCK_BYTES, key_b
     named = S.store(identities(rows, block_bytes, key_bits), "block-identities")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), (F.col("doc_id") if keep == "largest" else -F.col("doc_id")).alias("rank"), "row", "doc_id")
     identity = ["n_bytes", "level", "name"]
-    groups = named.groupBy(*identity).agg(F.count("*").alias("group_size"), F.max(order).alias("best"))
+    # stored, so that the join below has plain exchanges on both sides and can split a group that a third of all rows are in
+    groups = S.store(named.groupBy(*identity).agg(F.count("*").alias("group_size"), F.max(order).alias("best")), "block-groups")
     return named.join(groups, identity).select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256", "row")
 
