@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +15,23 @@ def partition_count(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint location.
+    """A new folder in the cluster's shared checkpoint location, or in the warehouse where none is set.
 
-    Only where none is configured (tests on one machine) a folder of this machine is used.
+    The folder goes when the driver's Python ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="sparkcurves-")
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
+    folder = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    """Best effort: a session that is already stopped leaves its folders to their owner."""
+    context = spark.sparkContext
+    if context._jsc is None:
+        return
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def landed(df: DataFrame) -> DataFrame:

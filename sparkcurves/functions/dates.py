@@ -146,13 +146,17 @@ def payment_count(frequency: Convention, start: Column, end: Column) -> Column:
 
 
 def schedule_count(frequency: Convention, start: Column, end: Column) -> Column:
-    """Payments of a schedule: as `payment_count`, but a quarter has three months; at least one."""
+    """Payments of a schedule: as `payment_count`, but a quarter has three months; at least one.
+
+    NULL for a frequency without a rule.
+    """
 
     def quarterly() -> Column:
         return ((F.year(end) - F.year(start)) * 4 + F.bround((F.month(end) - F.month(start)) / 3.0)).cast("int")
 
     counts = {name: lambda name=name: payment_count(name, start, end) for name in PERIOD_MONTHS_USD}
-    return F.greatest(by_convention(frequency, counts | {"Quarterly": quarterly}), F.lit(1))
+    count = by_convention(frequency, counts | {"Quarterly": quarterly})
+    return F.when(count.isNotNull(), F.greatest(count, F.lit(1)))
 
 
 def ratio_count(start: Column, end: Column, period_end: Column) -> Column:

@@ -92,13 +92,13 @@ def bootstrap_dual(
 
     `discount` holds finished curves in today basis and `discount_id` names the one each
     projection curve uses. The fixed leg's value there is the target of the floating leg.
-    Curves without a discount curve on their date drop out.
+    The swaps of a curve without a discount curve on its date stay unsolved.
     """
     rows = gather_pillars(pillars).withColumn("discount_id", discount_id)
     other = gathered(discount, "discount").select(
         F.col("curve_id").alias("discount_id"), "val_date", "discount"
     )
-    rows = salted_join(rows, other, ["discount_id", "val_date"], spread="curve_id")
+    rows = salted_join(rows, other, ["discount_id", "val_date"], spread="curve_id", how="left")
 
     aimed = rows.withColumn("pillars", _aimed(rules, fixed_frequency, fixed_day_count))
     return _solve_rows(aimed, rules, F.col("discount"))

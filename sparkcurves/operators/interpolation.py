@@ -35,10 +35,11 @@ def interpolate(
     The equality keeps this a hash or merge join; only the few segments of one curve are
     compared with each point. Factors are log-linear between pillars and flat outside.
     `spread` names a column to salt by, for when few curves serve very many points.
-    `linear` adds the factor interpolated linearly as well.
+    `linear` adds the factor interpolated linearly as well. A point whose curve is missing keeps
+    its row, with a NULL factor.
     """
     d, ranges = F.col(day), segments(curve, keys)
-    joined = salted_join(points, ranges, keys, spread) if spread else points.join(ranges.hint("merge"), keys)
+    joined = salted_join(points, ranges, keys, spread, "left") if spread else points.join(ranges.hint("merge"), keys, "left")
     inside = F.col("day_hi").isNotNull() & (d > F.col("day_lo"))
     w = (d - F.col("day_lo")) / (F.col("day_hi") - F.col("day_lo"))
     results = [
@@ -47,7 +48,8 @@ def interpolate(
     if linear:
         straight = w * F.col("df_hi") + (F.col("day_hi") - d) / (F.col("day_hi") - F.col("day_lo")) * F.col("df_lo")
         results.append(F.when(inside, straight).otherwise(F.col("df_lo")).alias(f"{name}_linear"))
-    return joined.where((d >= F.col("from_day")) & (d < F.col("to_day"))).select(*points.columns, *results)
+    here = F.col("from_day").isNull() | ((d >= F.col("from_day")) & (d < F.col("to_day")))
+    return joined.where(here).select(*points.columns, *results)
 
 
 def gathered(curve: DataFrame, name: str = "points") -> DataFrame:

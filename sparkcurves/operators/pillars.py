@@ -63,8 +63,9 @@ def first_quotes(quotes: DataFrame) -> DataFrame:
 def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> DataFrame:
     """Every defined pillar of every curve and date, with rate 0 where there is no quote.
 
-    Quotes are unique per tenor (see `first_quotes`), so the list gathered for a curve is no
-    longer than its definition. One shuffle by (curve, date) serves this and the whole bootstrap after it.
+    Of quotes that repeat a tenor the first by position counts. Sources that repeat tenors many
+    times go through `first_quotes` before, so that the list gathered for a curve is no longer
+    than its definition. One shuffle by (curve, date) serves this and the whole bootstrap after it.
     """
     definition = F.array(*[
         F.struct(
@@ -73,8 +74,12 @@ def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> Dat
         )
         for pos, tenor, kind in pillars
     ])
-    gathered = by_curve(quotes).groupBy(*CURVE_KEY).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("tenor"), F.col(rate)))).alias("quoted")
+    place = F.col("pos") if "pos" in quotes.columns else F.lit(0).alias("pos")  # a source that repeats no tenor needs none
+    listed = F.array_sort(F.collect_list(F.struct(place, "tenor", F.col(rate).alias("quote"))))
+    gathered = by_curve(quotes).groupBy(*CURVE_KEY).agg(listed.alias("listed"))
+    first = F.filter("listed", lambda q, i: F.array_position(F.col("listed.tenor"), q["tenor"]) == i + 1)
+    gathered = gathered.select(
+        *CURVE_KEY, F.map_from_entries(F.transform(first, lambda q: F.struct(q["tenor"], q["quote"]))).alias("quoted")
     )
     filled = F.transform(
         definition,

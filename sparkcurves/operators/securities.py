@@ -59,8 +59,9 @@ def deflated(prices: DataFrame, index_levels: DataFrame) -> DataFrame:
 
     The index has one row per quarter of the calendar, a bound that does not depend on the
     number of prices; broadcasting it also keeps a date with very many prices from becoming hot.
+    A date without an index keeps its rows, with a NULL price.
     """
-    return prices.join(F.broadcast(index_levels), "fecha").withColumns({
+    return prices.join(F.broadcast(index_levels), "fecha", "left").withColumns({
         "psucio": F.col("precio_sucio") / F.col("index_level"),
         "yield": F.col("rendimiento") / 100.0,
     })

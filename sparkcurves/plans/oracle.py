@@ -343,7 +343,7 @@ levels AS (
 SELECT p_partkey, fecha, precio_sucio,
     round(precio_sucio / (SELECT index_level FROM levels WHERE levels.fecha = prices.fecha), 8) AS psucio,
     round(rendimiento / 100.0::DOUBLE, 8) AS yield, dias_venc
-FROM prices WHERE fecha IN (SELECT fecha FROM levels)""")
+FROM prices""")
 
 # --- joins -------------------------------------------------------------------------------------
 
@@ -423,7 +423,7 @@ SELECT id_curve, pay_freq,
 FROM info""")
 
 select("payment_counts", f"""{LINES},
-ranges AS (SELECT DISTINCT start_date, tenor, end_date FROM lines WHERE {TENOR_U} IN ('M', 'Y'))""", f"""
+ranges AS (SELECT DISTINCT start_date, tenor, end_date FROM lines)""", f"""
 SELECT start_date, tenor, end_date,
     CAST({_Y} * 2 + ceil({_MO} / 6.0::DOUBLE) AS INTEGER) AS n_semiannual, CAST({_Y} * 12 + {_MO} AS INTEGER) AS n_monthly,
     CAST({_Y} * 4 + round_even({_MO} / 4.0::DOUBLE, 0) AS INTEGER) AS n_quarterly, CAST({_Y} + ceil({_MO} / 12.0::DOUBLE) AS INTEGER) AS n_annual,
@@ -483,8 +483,7 @@ FLOATING = f"""{par_curve()},
 {TODAY},
 {segments('today')},
 {loans()},
-long_loans AS (SELECT * FROM loans WHERE {TENOR_U} = 'Y'),
-{schedule('long_loans', 'Quarterly')},
+{schedule('loans', 'Quarterly')},
 ends AS (
     SELECT *, {days_between('val_date', 'period_start')} AS day0, {days_between('val_date', 'period_end')} AS day FROM schedule),
 floats AS (
@@ -660,7 +659,7 @@ dcurve AS (SELECT curve_id, val_date, list(days ORDER BY days) AS dts, list(ln(d
 {dated(M.PROJECTION_PILLARS, base='today')},
 joined AS (
     SELECT d.*, c.dts, c.dls, {count_of('SemiAnnual', 'd.val_date', 'd.end_date')} AS nx, {count_of('Quarterly', 'd.val_date', 'd.end_date')} AS nf
-    FROM dated d JOIN dcurve c ON c.curve_id = 1 + d.curve_id % 10 AND c.val_date = d.val_date),
+    FROM dated d LEFT JOIN dcurve c ON c.curve_id = 1 + d.curve_id % 10 AND c.val_date = d.val_date),
 fixed AS (
     SELECT curve_id, val_date, pos,
         list_sum(list((rate * {accrual(fixed_from, fixed_at, '30/360')} + CASE WHEN k = nx THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)
@@ -693,7 +692,7 @@ steps AS (
 solved AS (SELECT p.*, exp(s.l) AS df FROM steps s JOIN ladder p USING (curve_id, val_date, pos))"""
 
 
-select("bootstrap_dual_curve", dual_solve(), SOLVED)
+select("bootstrap_dual_curve", dual_solve(), SOLVED.replace("true AS", "df IS NOT NULL AS"))
 
 select("par_residual", dated(M.GAP_PILLARS), REPRICED.format(source="dated", kind="Bond"))
 select("par_residual_semiannual", dated(M.SEMIANNUAL_PILLARS, settlement="two_days"), REPRICED.format(source="dated", kind="Bond"))

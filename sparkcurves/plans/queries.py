@@ -77,9 +77,9 @@ def closed_pillars(spark: SparkSession, sf_dir: str, pillars: tuple = M.PAR_PILL
     return P.with_simple_df(P.with_dates(par_quotes(spark, sf_dir, pillars), rules))
 
 
-def long_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loans of a year or longer, with maturity: the ones that pay more than once."""
-    return S.with_maturity(M.loans(spark, sf_dir).where(F.col("tenor_unit") == "Y"))
+def dated_loans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All loans with their maturity; a short one pays once."""
+    return S.with_maturity(M.loans(spark, sf_dir))
 
 
 # --- sources, projections, filters -------------------------------------------------------------
@@ -170,8 +170,7 @@ def price_deflated(spark, sf_dir):
 def rate_lookup(spark, sf_dir):
     """First quote of each wanted tenor, 0 when there is none; several rows may quote a tenor.
 
-    First is the lowest order key, then the lowest rate. Both are packed into one number so
-    that the pick is a plain minimum, combined on the map side.
+    First is the lowest order key, then the lowest rate: a minimum over both, combined on the map side.
     """
     points = M.percent_points(F.col("l_discount")) + M.percent_points(F.col("l_tax"))
     first = (
@@ -180,7 +179,7 @@ def rate_lookup(spark, sf_dir):
             F.col("l_suppkey").alias("curve_id"), M.quarter(F.col("l_shipdate")).alias("val_date"),
             F.col("l_linenumber").alias("pos"),
         )
-        .agg((F.min(F.col("l_orderkey") * 1000 + points) % 1000 / 200.0).alias("mid"))
+        .agg((F.min(F.struct(F.col("l_orderkey"), points.alias("points")))["points"] / 200.0).alias("mid"))
         .withColumn("tenor", M.pillar_tenor(F.col("pos")))
     )
     rows = P.definition_join(first, M.PAR_PILLARS)
@@ -307,7 +306,7 @@ def frequency_yf(spark, sf_dir):
 @query
 def payment_counts(spark, sf_dir):
     start, end = F.col("start_date"), F.col("maturity")
-    ranges = _dated_lines(spark, sf_dir).where(F.col("tenor_unit").isin("M", "Y")).select("start_date", "tenor", "maturity").distinct()
+    ranges = _dated_lines(spark, sf_dir).select("start_date", "tenor", "maturity").distinct()
     half_year = D.roll(F.add_months(start, 6))
     return ranges.select(
         "start_date", "tenor", F.col("maturity").alias("end_date"),
@@ -400,7 +399,7 @@ def forward_rates(spark, sf_dir):
 
 @query
 def float_leg(spark, sf_dir):
-    rows = R.floating_flows(long_loans(spark, sf_dir), today_curve(spark, sf_dir))
+    rows = R.floating_flows(dated_loans(spark, sf_dir), today_curve(spark, sf_dir))
     return rows.select(
         *CURVE_KEY, "start_date", "tenor", rounded("rate"), "k", "period_start", "period_end", "day",
         rounded("forward_rate"), rounded("amount", 4),
@@ -410,7 +409,7 @@ def float_leg(spark, sf_dir):
 @query
 def swap_dual_curve_pv(spark, sf_dir):
     values = R.floating_values(
-        long_loans(spark, sf_dir), today_curve(spark, sf_dir), discount_curves(spark, sf_dir), discount_id()
+        dated_loans(spark, sf_dir), today_curve(spark, sf_dir), discount_curves(spark, sf_dir), discount_id()
     )
     return values.select(
         *CURVE_KEY, "discount_id", "start_date", "tenor", rounded("rate"), "payments", rounded("pv", 4)

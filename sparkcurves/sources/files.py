@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkcurves.cluster import partition_count
+from sparkcurves.cluster import landed, partition_count
 
 QUOTE_SCHEMA = "tenor STRING, type_rate STRING, bid DOUBLE, ask DOUBLE, mid DOUBLE"
 STORED_CURVE_SCHEMA = "start_date DATE, end_date DATE, days INT, df DOUBLE"
@@ -71,19 +73,40 @@ def _by_date(curve: DataFrame) -> DataFrame:
     return curve.repartition(partitions, "val_date", F.pmod(F.xxhash64("curve_id"), F.lit(slices)))
 
 
+def _with_stored(curve: DataFrame, path: str, stored: Callable[[], DataFrame]) -> DataFrame:
+    """The new rows and those of other curves that the folders of their dates hold already.
+
+    A date's folder is replaced as a whole, so what stays in it is read first and kept aside.
+    """
+    spark = curve.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return curve
+    dates, curves = curve.select("val_date").distinct(), curve.select("curve_id", "val_date").distinct()
+    old = stored().select(*curve.columns)
+    others = old.join(dates, "val_date", "left_semi").join(curves, ["curve_id", "val_date"], "left_anti").select(*curve.columns)
+    return landed(curve.unionByName(others))
+
+
 def write_curve(curve: DataFrame, path: str) -> None:
-    """Both bases of every curve, in folders by valuation date and sorted by curve inside."""
+    """Both bases of every curve, in folders by valuation date and sorted by curve inside.
+
+    Replaces the curves it is given on their dates; other dates and curves stay.
+    """
+    rows = _with_stored(curve, path, lambda: curve.sparkSession.read.parquet(path))
     (
-        _by_date(curve).sortWithinPartitions("val_date", "curve_id", "basis", "days")
-        .write.mode("overwrite").partitionBy("val_date").parquet(path)
+        _by_date(rows).sortWithinPartitions("val_date", "curve_id", "basis", "days")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("val_date").parquet(path)
     )
 
 
 def write_stored_curve(curve: DataFrame, path: str) -> None:
     """Stored-curve text layout: start, end, days, df with day-month-year dates, by curve and date."""
     rows = curve.select("start_date", "end_date", "days", "df", "curve_id", "val_date")
+    schema = ", ".join(f"{name} {kind}" for name, kind in rows.dtypes)
+    rows = _with_stored(rows, path, lambda: read_stored_curve(curve.sparkSession, path, schema))
     (
-        _by_date(rows).write.mode("overwrite").partitionBy("val_date")
+        _by_date(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("val_date")
         .option("header", True).option("dateFormat", "dd-MM-yyyy").csv(path)
     )
 

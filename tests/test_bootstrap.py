@@ -185,3 +185,29 @@ def test_schedule_chains(spark):
             for r in rows.collect():
                 assert (r["chained_start"] or r["start_date"]) == r["period_start"]
                 assert r["k"] < r["n"] or r["period_end"] == r["maturity"]
+
+
+@pytest.mark.parametrize("rate", [-0.02, 0.5, 0.8, 1.2])
+def test_long_gaps_at_high_rates(spark, rate):
+    date = dt.date(2020, 1, 31)
+    pillars = [("1D", "OverNight"), ("2D", "OverNight"), ("1Y", "Bond"), ("30Y", "Bond"), ("50Y", "Bond")]
+    rows = [("x", date, i, tenor, kind, rate, False) for i, (tenor, kind) in enumerate(pillars, 1)]
+    got = B.bootstrap(B.prepare(spark.createDataFrame(rows, QUOTE_SCHEMA), P.OIS), P.OIS).orderBy("pos").collect()
+    assert all(r["converged"] and abs(r["residual"]) <= 1e-10 for r in got)
+    assert all(a["df"] > b["df"] > 0 for a, b in zip(got, got[1:])) == (rate > 0)
+
+
+def test_definition_join_takes_the_first_of_repeated_tenors(spark):
+    rows = [("x", dt.date(2020, 1, 31), pos, tenor, "Cash", rate, False) for pos, tenor, rate in [(3, "1M", 0.3), (1, "1M", 0.1), (2, "3M", 0.2)]]
+    quotes = spark.createDataFrame(rows, QUOTE_SCHEMA)
+    got = P.definition_join(quotes, ((1, "1M", "Cash"), (2, "3M", "Cash"), (3, "6M", "Cash")), "rate").collect()
+    assert {r["tenor"]: (r["rate"], r["is_missing"]) for r in got} == {"1M": (0.1, False), "3M": (0.2, False), "6M": (0.0, True)}
+
+
+def test_points_without_a_curve_keep_their_row(spark):
+    date = dt.date(2020, 1, 31)
+    curve = spark.createDataFrame([(1, date, 10, 0.9), (1, date, 20, 0.8)], "curve_id int, val_date date, days int, df double")
+    points = spark.createDataFrame([(1, date, 15), (2, date, 15)], "curve_id int, val_date date, day int")
+    for spread in (None, "day"):
+        got = {r["curve_id"]: r["df"] for r in interpolate(points, curve, spread=spread).collect()}
+        assert got[2] is None and got[1] == pytest.approx(math.sqrt(0.72))

@@ -142,3 +142,10 @@ def test_settlement(spark):
     ).first()
     june = [dt.date(2020, 6, n) for n in range(1, 4)]
     assert list(row) == [june[0], june[1], june[0], dt.date(2020, 5, 30), dt.date(2020, 5, 29), june[0], june[0], june[0], dt.date(2020, 5, 29)]
+
+
+def test_a_frequency_without_a_rule_has_no_payment_count(spark):
+    rows = spark.createDataFrame([(f,) for f in ("Annual", "Weekly", None)], "f string")
+    start, end = F.lit("2020-01-01").cast("date"), F.lit("2025-01-01").cast("date")
+    got = {r["f"]: r["n"] for r in rows.select("f", D.schedule_count(F.col("f"), start, end).alias("n")).collect()}
+    assert got == {"Annual": 5, "Weekly": None, None: None}

@@ -74,3 +74,22 @@ def test_shared_folder_follows_the_cluster(spark, checkpoint_dir):
     assert folder.startswith(checkpoint_dir) and cluster.shared_folder(spark) != folder
     kept = cluster.landed(spark.range(10))
     assert kept.count() == 10 and all(checkpoint_dir in f for f in kept.inputFiles())
+
+
+def test_other_dates_and_curves_stay_when_a_curve_is_written(spark, tmp_path):
+    import datetime as dt
+
+    from sparkcurves.sources import files
+
+    first, second = dt.date(2020, 1, 1), dt.date(2020, 1, 2)
+    panel, text = str(tmp_path / "panel"), str(tmp_path / "text")
+    for curve, date, df in ((1, first, 0.9), (1, second, 0.8), (2, first, 0.7), (1, first, 0.95)):
+        rows = spark.createDataFrame(
+            [(curve, date, "t", date, date, 30, df)],
+            "curve_id long, val_date date, basis string, start_date date, end_date date, days int, df double")
+        files.write_curve(rows, panel)
+        files.write_stored_curve(rows, text)
+    want = {(1, first, 0.95), (1, second, 0.8), (2, first, 0.7)}
+    assert {(r["curve_id"], r["val_date"], r["df"]) for r in spark.read.parquet(panel).collect()} == want
+    stored = files.read_stored_curve(spark, text, files.STORED_PANEL_SCHEMA)
+    assert {(r["curve_id"], r["val_date"], r["df"]) for r in stored.collect()} == want
