@@ -500,7 +500,7 @@ FROM paid""")
 select("swap_dual_curve_pv", FLOATING, f"""
 SELECT paid.curve_id, paid.val_date, discount_id, start_date, tenor, round(rate, 8) AS rate, count(*) AS payments,
     round(sum(amount * {factor('day', 'segments')}), 4) AS pv
-FROM paid JOIN segments ON {on_segment('paid', 'day', 'segments', 'discount_id')}
+FROM paid LEFT JOIN segments ON {on_segment('paid', 'day', 'segments', 'discount_id')}
 GROUP BY paid.curve_id, paid.val_date, discount_id, start_date, tenor, rate""")
 
 _CAPPED = add_months("spot_date", "least(k * 6, months)")
@@ -533,7 +533,7 @@ grown AS (
     FROM projected)""", f"""
 SELECT grown.curve_id, grown.val_date, tenor, k, day, {r8('yfc')}, {r8('yf')}, round({factor('day')}, 8) AS df,
     round(growth + CASE WHEN k = n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END, 8) + 0.0::DOUBLE AS amount
-FROM grown JOIN segments ON {on_segment('grown', 'day', 'segments', 'discount_id')}""")
+FROM grown LEFT JOIN segments ON {on_segment('grown', 'day', 'segments', 'discount_id')}""")
 
 # --- curves ------------------------------------------------------------------------------------
 
@@ -699,5 +699,6 @@ select("par_residual_semiannual", dated(M.SEMIANNUAL_PILLARS, settlement="two_da
 select("par_residual_mxn", dated(M.MXN_PILLARS, "MXN", "same_day"), REPRICED.format(source="dated", kind="Bond"))
 select("par_residual_price_target", PRICE_PILLARS, REPRICED.format(source="dated", kind="Bond"))
 select("par_residual_dual_curve", f"""{dated(M.PROJECTION_PILLARS, base='today')},
-served AS (SELECT d.* FROM dated d WHERE EXISTS (SELECT 1 FROM quotes q WHERE q.curve_id = 1 + d.curve_id % 10 AND q.val_date = d.val_date))""",
-    REPRICED.format(source="served", kind="Swap"))
+served AS (SELECT d.*, EXISTS (SELECT 1 FROM quotes q WHERE q.curve_id = 1 + d.curve_id % 10 AND q.val_date = d.val_date) AS has_discount FROM dated d)""", """
+SELECT curve_id, val_date, count(*) AS pillars, count(*) FILTER (WHERE has_discount) AS repriced FROM served
+WHERE type_rate = 'Swap' GROUP BY ALL""")
