@@ -30,9 +30,9 @@ from sparkcurves.llm import shared as S
 
 TREES = 32
 ROOT = 4  # values that make a region
-DEPTHS = (4, 6, 8, 12, 16, 24, 128)
+DEPTHS = (4, 6, 10, 18, 128)
 PAIRS_PER_CLASS = 16
-ROUNDS, OFFERS = 2, 3  # rounds of confirmation among neighbours after the first, and how many a class offers in each
+ROUNDS, OFFERS = 1, 3  # rounds of confirmation among neighbours after the first, and how many a class offers in each
 SIGMAS = 4.5  # a pair whose signatures agree on fewer values than this allows is no candidate
 
 
