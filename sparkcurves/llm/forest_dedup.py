@@ -65,6 +65,13 @@ def _digests(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out[0], out[1]
 
 
+def _store(df: DataFrame, label: str) -> DataFrame:
+    """S.store() for one of many steps: what the steps before have shuffled can go."""
+    stored = S.store(df, label)
+    S.tidy(df.sparkSession)
+    return stored
+
+
 _DOCUMENT = "doc_id long, text_key long, n_shingles long, d0 long, d1 long, signature binary"
 
 
@@ -232,36 +239,36 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     """(documents with d0, d1, n_shingles; classes with d0, d1, class, smallest and root), the steps of the module's head."""
     spark = documents.sparkSession
     values, parts = ROOT * trees, S.partitions(spark)
-    docs = S.store(_documents(documents, width, values), "signatures")
+    docs = _store(_documents(documents, width, values), "signatures")
     classes = docs.where("n_shingles > 0").groupBy("d0", "d1").agg(
         F.min(F.struct("text_key", "signature", "n_shingles")).alias("s"), F.min("doc_id").alias("smallest"))
-    classes = S.store(classes.select(F.monotonically_increasing_id().alias("class"), "d0", "d1", "smallest", "s.text_key", "s.signature", "s.n_shingles"), "classes")
+    classes = _store(classes.select(F.monotonically_increasing_id().alias("class"), "d0", "d1", "smallest", "s.text_key", "s.signature", "s.n_shingles"), "classes")
 
     regions = _regions(classes, ROOT, trees, values)
     crowded = regions.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("head")).where("n > 1")
-    crowded = S.store(regions.join(crowded, "key").select("class", "tree", "key", "head"), "regions")
+    crowded = _store(regions.join(crowded, "key").select("class", "tree", "key", "head"), "regions")
     own = crowded.groupBy("class").agg(F.collect_list("tree").alias("trees"))  # at most `trees` numbers
-    active = S.store(classes.join(own, "class"), "active")
-    sets = S.store(_class_sets(documents, active, width), "sets")
+    active = _store(classes.join(own, "class"), "active")
+    sets = _store(_class_sets(documents, active, width), "sets")
 
     heads = crowded.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     near = _neighbours(active, trees, values, parts).select("a", "b").union(heads).distinct()
-    likely = S.store(_likely(near, active, values, percent), "candidates")
+    likely = _store(_likely(near, active, values, percent), "candidates")
     tried = likely.groupBy("a").agg(F.min("b").alias("b"))
-    links = S.store(_confirmed(tried, sets, percent), "links")
-    of = S.store(S.components(links), "components")
+    links = _store(_confirmed(tried, sets, percent), "links")
+    of = _store(S.components(links), "components")
     both = likely.select("a", "b", "same").union(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
     for _ in range(ROUNDS):
         apart = _apart(both, of).select("a", "b", "same")
         open_ = apart.join(tried.union(tried.select(F.col("b"), F.col("a"))), ["a", "b"], "left_anti")
         chosen = open_.withColumn("place", best).where(F.col("place") <= OFFERS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        chosen = S.store(chosen, "offers")
+        chosen = _store(chosen, "offers")
         if chosen.isEmpty():
             break
         tried = tried.union(chosen)
-        links = S.store(links.union(_confirmed(chosen, sets, percent)), "links")
-        of = S.store(S.components(links), "components")
+        links = _store(links.union(_confirmed(chosen, sets, percent)), "links")
+        of = _store(S.components(links), "components")
 
     members = _with_root(crowded, of, "class", "root").select("class", "root", "tree", "key")
     found = []
@@ -273,7 +280,7 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
         by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
         cost = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
         cost = cost.withColumn("small", (F.col("n") - F.col("largest") <= pairs_per_class) | F.lit(depth == values))
-        members = S.store(members.join(cost.select("key", "small"), "key"), "mixed-regions")
+        members = _store(members.join(cost.select("key", "small"), "key"), "mixed-regions")
         small = members.where("small")
         # a pair that shares several of these regions is made in the first of them alone
         small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class
@@ -291,10 +298,10 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     rest = found[0]
     for more in found[1:]:
         rest = rest.union(more)
-    rest = S.store(rest.distinct().join(tried, ["a", "b"], "left_anti"), "last-candidates")
+    rest = _store(rest.distinct().join(tried, ["a", "b"], "left_anti"), "last-candidates")
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, sets, percent))
-        of = S.store(S.components(links), "components")
+        of = _store(S.components(links), "components")
     return docs, _with_root(classes.drop("signature"), of, "class", "root")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -53,6 +54,15 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove shuffle and checkpoint files of frames that are gone.
+
+    It works on garbage collections of the driver, which are rare; a driver that runs many jobs in a row says when.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
@@ -263,6 +273,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
         small = large.join(low, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         state = small.where("u <> v").distinct().checkpoint()
+        tidy(spark)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
