@@ -7,8 +7,8 @@ value 4 * t on (and around), which makes neighbours of classes whose signatures
 * Regions. Classes that share the first 4 values in a tree are a region of it. Two sets of similarity 0.8 share none of 32 regions with
   probability 5e-8. Classes alone in all their regions are done.
 * Neighbours. In each sorted order neighbours in a region (those with the longest common prefix) and the region's smallest class are candidates.
-  Each class first offers its smallest for confirmation on full sets, then, in a few rounds, the most alike of other components. Links join
-  classes to components, which settles large groups of copies with a few confirmations each.
+  Each class offers its smallest and its most alike ones for confirmation on full sets. Links join classes to components, which settles large
+  groups of copies with a few confirmations each.
 * Regions again, by depth. Only pairs of different components in a region are left. A region with more such pairs than `pairs_per_class` times
   its classes reads further values and falls apart into deeper regions; regions of full signatures keep all pairs. All pairs whose
   signatures allow a similarity near the threshold are confirmed on full sets.
@@ -32,7 +32,7 @@ TREES = 32
 ROOT = 4  # values that make a region
 DEPTHS = (4, 6, 10, 18, 128)
 PAIRS_PER_CLASS = 16
-ROUNDS, OFFERS = 1, 3  # rounds of confirmation among neighbours after the first, and how many a class offers in each
+OFFERS = 2  # neighbours that a class offers for confirmation beside its smallest
 SIGMAS = 4.5  # a pair whose signatures agree on fewer values than this allows is no candidate
 
 
@@ -254,21 +254,12 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     heads = crowded.where("class <> head").select(F.col("class").alias("a"), F.col("head").alias("b"))
     near = _neighbours(active, trees, values, parts).select("a", "b").union(heads).distinct()
     likely = _store(_likely(near, active, values, percent), "candidates")
-    tried = likely.groupBy("a").agg(F.min("b").alias("b"))
-    links = _store(_confirmed(tried, sets, percent), "links")
-    of = _store(S.components(links), "components")
     both = likely.select("a", "b", "same").union(likely.select(F.col("b").alias("a"), F.col("a").alias("b"), "same"))
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
-    for _ in range(ROUNDS):
-        apart = _apart(both, of).select("a", "b", "same")
-        open_ = apart.join(tried.union(tried.select(F.col("b"), F.col("a"))), ["a", "b"], "left_anti")
-        chosen = open_.withColumn("place", best).where(F.col("place") <= OFFERS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-        chosen = _store(chosen, "offers")
-        if chosen.isEmpty():
-            break
-        tried = tried.union(chosen)
-        links = _store(links.union(_confirmed(chosen, sets, percent)), "links")
-        of = _store(S.components(links), "components")
+    alike = both.withColumn("place", best).where(F.col("place") <= OFFERS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = _store(likely.groupBy("a").agg(F.min("b").alias("b")).union(alike).distinct(), "offers")
+    links = _store(_confirmed(tried, sets, percent), "links")
+    of = _store(S.components(links), "components")
 
     members = _with_root(crowded, of, "class", "root").select("class", "root", "tree", "key")
     found = []
@@ -310,10 +301,6 @@ def _with_root(rows: DataFrame, of: DataFrame, column: str, name: str) -> DataFr
     return rows.join(known, column, "left").withColumn(name, F.coalesce(name, column))
 
 
-def _apart(pairs: DataFrame, of: DataFrame) -> DataFrame:
-    return _with_root(_with_root(pairs, of, "a", "ra"), of, "b", "rb").where("ra <> rb").drop("ra", "rb")
-
-
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES, pairs_per_class: int = PAIRS_PER_CLASS) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_shingles, component_id, kept, text_key, one row per row.
 
