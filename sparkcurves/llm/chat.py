@@ -60,9 +60,9 @@ def branches(messages: DataFrame, best: int | None = None) -> DataFrame:
             raise ValueError("messages reply to each other in a ring")
         jumps.append(jump)
         over = state.select(F.col("id").alias("up"), F.col("up").alias("far"), F.col("total").alias("more"), F.col("depth").alias("deeper"))
-        state = S.store(state.join(over, "up", "left").select(
-            "id", F.col("far").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"),
-            (F.col("depth") + F.coalesce("deeper", F.lit(0).cast("long"))).alias("depth")), "pointers")
+        further = state.where("up is not null").join(over, "up").select(
+            "id", F.col("far").alias("up"), (F.col("total") + F.col("more")).alias("total"), (F.col("depth") + F.col("deeper")).alias("depth"))
+        state = S.store(further.union(state.where("up is null")), "pointers")  # who has reached the root stays out of the join
     leaves = rows.join(links.select(F.col("up").alias("id")), "id", "left_anti").select("id", "tree", "node")
     leaves = leaves.join(state.select("id", "total", "depth"), "id")
     ranked = leaves.withColumn("branch", F.row_number().over(
