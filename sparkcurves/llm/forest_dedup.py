@@ -9,11 +9,13 @@ value 4 * t on (and around), which makes neighbours of classes whose signatures
 * Neighbours. In each sorted order neighbours in a region (those with the longest common prefix) and the region's smallest class are candidates.
   Each class offers its smallest and its most alike ones for confirmation on full sets. Links join classes to components, which settles large
   groups of copies with a few confirmations each.
-* Regions again, by depth. Only pairs of different components in a region are left. A region with more such pairs than `pairs_per_class` times
-  its classes reads further values and falls apart into deeper regions; regions of full signatures keep all pairs. All pairs whose
-  signatures allow a similarity near the threshold are confirmed on full sets.
+* Regions again. Only pairs of different components in a region are left. Where the classes outside a region's largest component are few, all
+  such pairs whose signatures allow a similarity near the threshold are confirmed on full sets.
+* Full regions. The classes of all other regions meet in one exact join of their full sets: shingles are ordered from rare to frequent, and two
+  sets that reach the threshold share one among the first few of each (prefix filter), early enough for what follows to suffice. Frequent shingles
+  are dealt over several tasks.
 
-Classes that share no region, or that parted in a region too full to compare, are missed; nothing else is. Candidates are never capped.
+Classes that share no region are missed; nothing else is. Candidates are never capped.
 """
 
 from __future__ import annotations
@@ -30,8 +32,8 @@ from sparkcurves.llm import shared as S
 
 TREES = 32
 ROOT = 4  # values that make a region
-DEPTHS = (4, 6, 10, 18, 128)
-PAIRS_PER_CLASS = 16
+PAIRS_PER_CLASS = 16  # classes outside a region's largest component that are compared in the region itself
+PER_TASK = 512  # sets with one shingle that a task compares with all others that have it
 OFFERS = 2  # neighbours that a class offers for confirmation beside its smallest
 SIGMAS = 4.5  # a pair whose signatures agree on fewer values than this allows is no candidate
 
@@ -111,23 +113,14 @@ def _unpack(column: pa.Array, values: int) -> np.ndarray:
 
 
 def _regions(classes: DataFrame, depth: int, trees: int, values: int) -> DataFrame:
-    """class -> (class, tree, key) for all its trees, or (class, root, tree, key) for those in its `trees` column."""
-    partial = "trees" in classes.columns
-
+    """class -> (class, tree, key) for all trees."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys = _region_keys(_unpack(batch.column("signature"), values), depth, trees)
         ids = batch.column("class").to_numpy()
-        if partial:
-            own = batch.column("trees")
-            sizes = np.array([len(x) for x in own.to_pylist()])
-            row, tree = np.repeat(np.arange(len(ids)), sizes), np.asarray(own.flatten().to_numpy(zero_copy_only=False), np.int64)
-        else:
-            row, tree = np.repeat(np.arange(len(ids)), trees), np.tile(np.arange(trees), len(ids))
-        root = {"root": batch.column("root").take(pa.array(row))} if partial else {}
-        return pa.record_batch({"class": pa.array(ids[row]), **root, "tree": pa.array(tree.astype(np.int32)), "key": pa.array(keys[row, tree])})
+        return pa.record_batch({"class": pa.array(np.repeat(ids, trees)), "tree": pa.array(np.tile(np.arange(trees, dtype=np.int32), len(ids))),
+                                "key": pa.array(keys.ravel())})
 
-    columns = ["class", "signature", *(["trees", "root"] if partial else [])]
-    return S.map_arrow(classes.select(*columns), S.arrow_map(run), "class long, " + "root long, " * partial + "tree int, key long")
+    return S.map_arrow(classes.select("class", "signature"), S.arrow_map(run), "class long, tree int, key long")
 
 
 def _neighbours(active: DataFrame, trees: int, values: int, parts: int) -> DataFrame:
@@ -234,6 +227,39 @@ def _class_sets(documents: DataFrame, active: DataFrame, width: int) -> DataFram
     return found.dropDuplicates(["class"])
 
 
+def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of crowd(class, root, n) with different roots, among them all that reach the threshold, by an exact prefix filter.
+
+    Shingles of one root alone come first in the order, then the others from rare to frequent. `place` counts from 1 in it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column("n").to_numpy()
+            for a, b in S.chunks_of(sizes, 1 << 20):
+                row = pa.array(np.repeat(np.arange(a, b), sizes[a:b]))
+                flat = np.frombuffer(b"".join(batch.column("shingles").slice(a, b - a).to_pylist()), np.int64)
+                yield pa.record_batch({**{c: batch.column(c).take(row) for c in ("class", "root", "n")}, "shingle": pa.array(flat)})
+
+    own = S.map_arrow(crowd.join(sets, "class").select("class", "root", "n", "shingles"), run, "class long, root long, n long, shingle long")
+    times = own.groupBy("shingle").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high"))
+    across = own.join(times.where("low < high").select("shingle", "times"), "shingle")
+    by_class = Window.partitionBy("class")
+    place = F.col("n") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("times", "shingle"))
+    # of two sets the larger shows the longer prefix, the smaller the shorter one
+    first = across.withColumn("place", place).where(f"place <= n - (n * {percent} + 99) div 100 + 1").drop("times")
+    first = _store(first.withColumn("short", F.expr(f"place <= n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")), "prefixes")
+    salts = first.groupBy("shingle").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"), F.min("root").alias("low"), F.max("root").alias("high"))
+    first = first.join(salts.where("low < high").select("shingle", "salts"), "shingle")
+    x = first.where("short").select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("class").alias("x"),
+                                    F.col("root").alias("rx"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = first.select("shingle", F.pmod(F.xxhash64("class"), F.col("salts")).cast("int").alias("salt"), F.col("class").alias("y"),
+                     F.col("root").alias("ry"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    pair = (x["shingle"] == y["shingle"]) & (x["salt"] == y["salt"]) & F.expr(
+        f"rx <> ry and (nx < ny or nx = ny and x < y) and nx * 100 >= ny * {percent}"
+        f" and least(nx - px, ny - py) + 1 >= ({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
+    return x.join(y, pair).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+
+
 def classes_and_components(documents: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES,
                            pairs_per_class: int = PAIRS_PER_CLASS) -> tuple[DataFrame, DataFrame]:
     """(documents with d0, d1, n_shingles; classes with d0, d1, class, smallest and root), the steps of the module's head."""
@@ -261,34 +287,25 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     links = _store(_confirmed(tried, sets, percent), "links")
     of = _store(S.components(links), "components")
 
-    members = _with_root(crowded, of, "class", "root").select("class", "root", "tree", "key")
-    found = []
-    for i, depth in enumerate(DEPTHS):
-        depth = min(depth, values)
-        if i:
-            again = active.select("class", "signature").join(members.groupBy("class", "root").agg(F.collect_list("tree").alias("trees")), "class")
-            members = _regions(again, depth, trees, values)
-        by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
-        cost = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
-        cost = cost.withColumn("small", (F.col("n") - F.col("largest") <= pairs_per_class) | F.lit(depth == values))
-        members = _store(members.join(cost.select("key", "small"), "key"), "mixed-regions")
-        small = members.where("small")
-        # a pair that shares several of these regions is made in the first of them alone
-        small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class
-        small = small.select("class", "root", "key", "keys").join(_shown(active, values), "class")
-        x = small.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("shown").alias("sa"))
-        y = small.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("shown").alias("sb"))
-        pair = (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
-        pair &= F.get(F.array_intersect("ka", "kb"), 0) == x["key"]
-        same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
-        pair &= same >= _least_same(values, percent)
-        found.append(x.join(y, pair).select("a", "b"))
-        members = members.where("not small").drop("small")
-        if depth == values or members.isEmpty():
-            break
-    rest = found[0]
-    for more in found[1:]:
-        rest = rest.union(more)
+    members = _with_root(crowded, of, "class", "root").select("class", "root", "key")
+    by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
+    mixed = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
+    mixed = mixed.select("key", (F.col("n") - F.col("largest") <= pairs_per_class).alias("small"))
+    members = _store(members.join(mixed, "key"), "mixed-regions")
+    small = members.where("small")
+    # a pair that shares several of these regions is made in the first of them alone
+    small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class
+    small = small.select("class", "root", "key", "keys").join(_shown(active, values), "class")
+    x = small.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("shown").alias("sa"))
+    y = small.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("shown").alias("sb"))
+    pair = (x["key"] == y["key"]) & (F.col("a") > F.col("b")) & (F.col("ra") != F.col("rb"))
+    pair &= F.get(F.array_intersect("ka", "kb"), 0) == x["key"]
+    same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
+    pair &= same >= _least_same(values, percent)
+    rest = x.join(y, pair).select("a", "b")
+    crowd = members.where("not small").select("class", "root").distinct()
+    if not crowd.isEmpty():
+        rest = rest.union(_prefix_pairs(crowd.join(active.select("class", F.col("n_shingles").alias("n")), "class"), sets, percent))
     rest = _store(rest.distinct().join(tried, ["a", "b"], "left_anti"), "last-candidates")
     if not rest.isEmpty():
         links = links.union(_confirmed(rest, sets, percent))

@@ -71,6 +71,39 @@ def test_full_regions_split_by_depth(spark):
     assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 2)
 
 
+def templated(seed=3, texts=1000, pairs=60):
+    """Texts from one template, mutual similarity about 0.7 in shingles of two words, with pairs above 0.8 among them."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+
+    def changed(text, n):
+        text = list(text)
+        for at in rng.sample(range(len(text)), n):
+            text[at] = word()
+        return text
+
+    template = [word() for _ in range(200)]
+    rows = [changed(template, rng.randrange(8, 12)) for _ in range(texts)]
+    rows += [changed(rows[i], 10) for i in range(pairs)]
+    rng.shuffle(rows)
+    return [(i + 1, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def test_pairs_among_texts_of_one_template(spark):
+    rows = templated()
+    want = brute(rows, 2)
+    assert 900 < sum(r[3] for r in want) < len(rows) - 30  # most texts are alone
+    got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).drop("text_key").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == want
+
+
+def test_frequent_shingles_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(D, "PER_TASK", 5)
+    rows = made(11)
+    got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2, pairs_per_class=0).drop("text_key").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 2)
+
+
 def test_one_row_of_each_component_stays(spark):
     rows = [*made(9)[:60], (1, "same id other text"), (1, "same id other text")]
     left = D.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
