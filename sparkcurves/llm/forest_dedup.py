@@ -8,7 +8,7 @@ value 4 * t on (and around), which makes neighbours of classes whose signatures
   probability 5e-8. Classes alone in all their regions are done.
 * Neighbours. In each sorted order neighbours in a region (those with the longest common prefix) and the region's smallest class are candidates.
   Each class offers its smallest and its most alike ones for confirmation on full sets. Links join classes to components, which settles large
-  groups of copies with a few confirmations each.
+  groups of copies with a few confirmations each. Candidates that are not offered come again below, unless their classes have been joined by then.
 * Regions again. Only pairs of different components in a region are left. Where the classes outside a region's largest component are few, all
   such pairs whose signatures allow a similarity near the threshold are confirmed on full sets.
 * Full regions. The classes of all other regions meet in one exact join of their full sets: shingles are ordered from rare to frequent, and two

@@ -97,6 +97,13 @@ def test_pairs_among_texts_of_one_template(spark):
     assert sorted((tuple(r) for r in got), key=repr) == want
 
 
+def test_offers_decide_nothing(spark, monkeypatch):
+    monkeypatch.setattr(D, "OFFERS", 0)
+    rows = templated(4, texts=300, pairs=30)
+    got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2).drop("text_key").collect()
+    assert sorted((tuple(r) for r in got), key=repr) == brute(rows, 2)
+
+
 def test_frequent_shingles_are_dealt_over_tasks(spark, monkeypatch):
     monkeypatch.setattr(D, "PER_TASK", 5)
     rows = made(11)
