@@ -4,7 +4,7 @@
    tasks and then by code; their number is fixed by the alphabet.
 2. Deobfuscation: a word is suspicious when it has digits or marks where letters belong, a letter three or more times in a row, or is a
    single letter in a row of single letters. Each suspicious span becomes a lattice: every character is kept, read as one of the letters it may
-   stand for, or dropped as a separator or repetition, each at a price. A Viterbi search under the character model picks the cheapest reading.
+   stand for, or dropped as a separator or repetition, each at a price; a separator may also end a word, so a span can become several words. A Viterbi search under the character model picks the cheapest reading.
    All other words are their own reading.
 3. The restored text is scored by its words and their first four and five letters: each such feature has a weight, the lower bound of its log odds
    in labelled texts, kept in a table of fixed size by hash. A text's evidence is the sum of its three largest weights; logistic regression
@@ -103,10 +103,14 @@ STANDS_FOR = {  # marks and digits that are read as letters
 }
 SEPARATORS = " .-_*~'`^,:;/\\"
 READ, DROP_SEPARATOR, DROP_DOUBLE, DROP_REPEAT, DROP_MARK, KEEP_OTHER = 0.5, 0.2, 4.0, 0.2, 9.0, 6.0
+DROP_OPENING = 3.0  # "¡" is a letter in hiding or opens a sentence
 
 
 def decode(span: str, model: CharacterModel, beam: int = 64) -> str:
-    """The most likely word behind a span: Viterbi over its character lattice, the last two letters being the state."""
+    """The most likely words behind a span: Viterbi over its character lattice, the last two letters being the state.
+
+    A separator is dropped or read as the gap after a word, at the price the character model gives to a word's end and the next one's start.
+    """
     cost = model.cost
     states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
     run, previous = 0, ""
@@ -128,13 +132,15 @@ def decode(span: str, model: CharacterModel, beam: int = 64) -> str:
                     offer((a, b, last), price + (DROP_REPEAT if run > 2 else DROP_DOUBLE), text)
             if ch in SEPARATORS:
                 offer((a, b, last), price + DROP_SEPARATOR, text)
+                if b:
+                    offer((0, 0, ""), price + cost[a, b, 0], text + " ")
             elif not readings:
                 offer((b, 27, ""), price + KEEP_OTHER + cost[a, b, 27], text + ch)
                 offer((a, b, last), price + DROP_MARK, text)
             elif not "a" <= ch <= "z":
-                offer((a, b, last), price + DROP_MARK, text)
+                offer((a, b, last), price + (DROP_OPENING if ch == "¡" and not b else DROP_MARK), text)
         states = dict(heapq.nsmallest(beam, nexts.items(), key=lambda e: (e[1], e[0]))) if len(nexts) > beam else nexts
-    return min((price + cost[a, b, 0], text) for (a, b, _), (price, text) in states.items())[1]
+    return min((price + (cost[a, b, 0] if b or not text else 0.0), text) for (a, b, _), (price, text) in states.items())[1].rstrip()
 
 
 def _folded(span: str) -> str:
@@ -164,12 +170,23 @@ def readable(word: str, model: CharacterModel, known: dict[str, str]) -> str:
     return got
 
 
+_MARKS = sorted((set(STANDS_FOR) | set(SEPARATORS) | set("0123456789")) - {" "})
 _SUSPECT = np.zeros(256, bool)
-_SUSPECT[[ord(c) for c in "0123456789@$!|+(*_-.~^"]] = True
+_SUSPECT[[ord(c) for c in _MARKS if c.isascii()]] = True
+_ENDINGS = [c for c in STANDS_FOR if c in "$€£"]  # marks that are read as letters at a word's end
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0xC3, 0xC4)]] = True
 
 
+def _places(data: np.ndarray, mark: str) -> np.ndarray:
+    """Where a character begins in a stretch of bytes."""
+    raw = mark.encode()
+    found = np.flatnonzero(data[: len(data) - len(raw) + 1] == raw[0]) if len(data) >= len(raw) else np.zeros(0, np.int64)
+    for i, byte in enumerate(raw[1:], 1):
+        found = found[data[found + i] == byte]
+    return found
+
+
 def restored_words(data: np.ndarray, model: CharacterModel, known: dict[str, str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, str]]]:
     """(word starts, word ends, readings) of one stretch of bytes; readings are (first word, last word, text), in order."""
     lowered = S._LOWER[data]
@@ -181,7 +198,11 @@ def restored_words(data: np.ndarray, model: CharacterModel, known: dict[str, str
     if not len(starts):
         return starts, ends, []
     count = lambda flags: np.concatenate([[0], np.cumsum(flags)])
-    letters, marks = count(_LETTER[data]), count(_SUSPECT[data])
+    suspect = _SUSPECT[data]
+    for mark in _MARKS:
+        if not mark.isascii():
+            suspect[_places(data, mark)] = True
+    letters, marks, characters = count(_LETTER[data]), count(suspect), count((data & 0xC0) != 0x80)
     triple = np.zeros(len(data), bool)
     triple[2:] = (lowered[2:] == lowered[1:-1]) & (lowered[1:-1] == lowered[:-2]) & _LETTER[data[2:]]
     triples = count(triple)
@@ -190,13 +211,16 @@ def restored_words(data: np.ndarray, model: CharacterModel, known: dict[str, str
     last_letter = np.maximum.reduceat(tail, starts)
     has = letters[ends] - letters[starts] > 0
     inner = np.where(has, marks[np.maximum(last_letter, starts)] - marks[starts], 0)
-    ending = np.where(has & (ends - 1 > last_letter), (data[ends - 1] == ord("$")) | ((data[ends - 1] >= 48) & (data[ends - 1] < 58)), False)
+    closing = (data >= 48) & (data < 58)
+    for mark in _ENDINGS:
+        closing[_places(data, mark) + len(mark.encode()) - 1] = True
+    ending = np.where(has & (ends - 1 > last_letter), closing[ends - 1], False)
     odd = has & ((inner > 0) | ending | (triples[ends] - triples[starts] > 0))
-    single = (ends - starts == 1) & (_LETTER[data[starts]] | _SUSPECT[data[starts]])
+    single = (characters[ends] - characters[starts] == 1) & (_LETTER[data[starts]] | suspect[starts])
     readings: list[tuple[int, int, str]] = []
     raw = data.tobytes()
     run = np.flatnonzero(np.diff(np.concatenate([[False], single, [False]]).astype(np.int8)))
-    spaced = [(a, b - 1) for a, b in zip(run[::2].tolist(), run[1::2].tolist(), strict=True) if b - a >= 4]
+    spaced = [(a, b - 1) for a, b in zip(run[::2].tolist(), run[1::2].tolist(), strict=True) if b - a >= 3]
     in_run = np.zeros(len(starts), bool)
     for a, b in spaced:
         in_run[a : b + 1] = True

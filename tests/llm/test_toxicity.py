@@ -18,12 +18,28 @@ def plain_model():
     return X.CharacterModel.from_counts(counts.ravel())
 
 
+def spaced_model():
+    counts = np.zeros((X.SYMBOLS,) * 3, np.int64)
+    for word in [*WORDS, "such", "a", "you", "die", "wretch"] * 40:
+        codes = [0, 0, *[ord(c) - 96 for c in word], 0]
+        for a, b, c in zip(codes, codes[1:], codes[2:]):
+            counts[a, b, c] += 1
+    return X.CharacterModel.from_counts(counts.ravel())
+
+
 @pytest.mark.parametrize("hidden, word", [
     ("1d10t", "idiot"), ("i d i o t", "idiot"), ("m0r0n", "moron"), ("idiooooot", "idiot"), ("w.o.r.t.h.l.e.s.s", "worthless"), ("m-o-r-o-n", "moron"), ("!diot", "idiot")])
 def test_readings(hidden, word):
     assert X.restore(f"the {hidden} runs", plain_model()) == f"the {word} runs"
 
 
+@pytest.mark.parametrize("hidden, plain", [
+    ("such a m o r o n", "such a moron"), ("y o u i d i o t", "you idiot"), ("d i e", "die"), ("you m ó r o n", "you moron"), ("m'o'r'o'n", "moron"),
+    ("m,o,r,o,n", "moron"), ("wr€tch", "wretch"), ("¡diot", "idiot"), ("¡moron", "moron"), ("id¡ot", "idiot"), ("m/o/r/o/n", "moron"), ("you 1 d 1 0 t", "you idiot")])
+def test_readings_of_several_words_and_all_marks(hidden, plain):
+    assert X.restore(f"the {hidden} runs", spaced_model()) == f"the {plain} runs"
+
+
 def test_search_finds_the_cheapest_reading():
     model = plain_model()
 
