@@ -1,20 +1,22 @@
 """License texts in documents by conditional compression.
 
-1. Candidates: the lines of every document that share a telling word with a template. The telling words come from the templates; a native filter
-   drops all other lines before any Python runs. Long lines are read in overlapping blocks, each longer than any template.
-2. A candidate is compressed once by itself and once with each template as a raw Zstandard dictionary. The template that makes it smallest, relative to
-   its size alone, ranks first.
-3. The winner is confirmed by exact wording: the words of candidate and template are aligned, and the differences counted. Blanks in a template
-   (words in angle brackets) match anything.
+1. Candidates: the words around every line that shares a telling word with a template, read over line ends in overlapping windows, each longer than
+   any template; comment marks are no words. The telling words come from the templates; a native filter drops texts without any before Python runs.
+2. A template whose own words are nearly all in a window is aligned with it, and the differences counted. Blanks in a template (words in angle
+   brackets) match anything. Every stretch that differs in few words is a notice, unless a better notice claims its words.
+3. A notice is compressed once by itself and once with its template as a raw Zstandard dictionary, and counts when that saves enough.
+4. A line with a telling word but without a notice is compressed with each template; the one that makes it smallest, relative to its size alone, ranks
+   first and is reported as not confirmed.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,21 +56,28 @@ def telling_words(templates: Mapping[str, str]) -> list[str]:
     return sorted(found)
 
 
-def differences(candidate: list[str], template: list[str]) -> tuple[int, int, int]:
-    """(missing, added, replaced) words of the cheapest alignment of a template with a stretch of the candidate.
+def aligned(candidate: list[str], template: list[str]) -> tuple[int, int, int, int, int]:
+    """(missing, added, replaced, start, end): the cheapest alignment of a template with a stretch of the candidate, of equal ones the shortest.
 
     Words before and after the stretch are free, so a notice may stand inside a longer line. A blank stands for one word or more.
     """
     n = len(candidate)
-    row = [(0, 0, 0, 0)] * (n + 1)  # total, missing, added, replaced; free start anywhere
+    row = [(0, 0, 0, 0, -j) for j in range(n + 1)]  # total, missing, added, replaced, start; free start anywhere
     for t in template:
-        previous, row = row, [(row[0][0] + 1, row[0][1] + 1, row[0][2], row[0][3])]
+        previous, row = row, [(row[0][0] + 1, row[0][1] + 1, row[0][2], row[0][3], 0)]
         blank = t[0] == "<"
         for j, c in enumerate(candidate, 1):
             a, b, d = previous[j - 1], previous[j], row[j - 1]
             same = blank or c == t
-            row.append(min((a[0] + (not same), a[1], a[2], a[3] + (not same)), (b[0] + 1, b[1] + 1, b[2], b[3]), (d[0] + (not blank), d[1], d[2] + (not blank), d[3])))
-    return min(row)[1:]
+            row.append(min((a[0] + (not same), a[1], a[2], a[3] + (not same), a[4]), (b[0] + 1, b[1] + 1, b[2], b[3], b[4]),
+                           (d[0] + (not blank), d[1], d[2] + (not blank), d[3], d[4])))
+    end = min(range(n + 1), key=lambda j: (row[j][:4], j + row[j][4], j))
+    return (*row[end][1:4], -row[end][4], end)
+
+
+def differences(candidate: list[str], template: list[str]) -> tuple[int, int, int]:
+    """(missing, added, replaced) words of the cheapest alignment of a template with a stretch of the candidate."""
+    return aligned(candidate, template)[:3]
 
 
 @lru_cache(maxsize=8)
@@ -124,33 +133,133 @@ def judge(line: str, templates: tuple[tuple[str, str], ...], level: int, most_ch
     return list(confirmed.values()) or [rest]
 
 
+_COMMENT = re.compile(r"^\s*(?:rem|dnl)\s", re.IGNORECASE)  # marks of comments that are made of letters
+
+
+@lru_cache(maxsize=8)
+def _aims(templates: tuple[tuple[str, str], ...]) -> list[tuple[list[str], dict[str, int], int]]:
+    """Words of each template, how often each of its own comes, and how many of them there are."""
+    out = []
+    for _, text in templates:
+        aim = words(text)
+        own: dict[str, int] = {}
+        for w in aim:
+            if w[0] != "<":
+                own[w] = own.get(w, 0) + 1
+        out.append((aim, own, sum(own.values())))
+    return out
+
+
+def _found(own: list[str], template: int, lo: int, hi: int, templates: tuple[tuple[str, str], ...], most_changed: float) -> Iterator[tuple]:
+    """(changed words, -length, template, start, end, missing, added, replaced) of every notice of a template in own[lo:hi], the best one first."""
+    todo = [(lo, hi)]
+    aim, wanted, _ = _aims(templates)[template]
+    while todo:
+        lo, hi = todo.pop()
+        here = own[lo:hi]
+        # each of the template's words that is not there is a difference, so most stretches need no alignment
+        if sum(max(0, n - here.count(w)) for w, n in wanted.items()) > most_changed * len(aim):
+            continue
+        missing, added, replaced, start, end = aligned(here, aim)
+        if missing + added + replaced > most_changed * len(aim) or start == end:
+            continue
+        yield missing + added + replaced, -len(aim), template, lo + start, lo + end, missing, added, replaced
+        todo += [(lo, lo + start), (lo + end, hi)]
+
+
+def notices(lines: list[str], hits: list[int], templates: tuple[tuple[str, str], ...], level: int, most_changed: float, least_saved: int) -> list[tuple]:
+    """(first line, last line, license, bytes alone, bytes given, reduction, missing, added, replaced, True) of all notices around some lines of a text."""
+    plain, each = _compressors(templates, level)
+    aims = _aims(templates)
+    reach = 2 * max(len(aim) for aim, _, _ in aims) + 8
+    by_line: dict[int, list[str]] = {}
+
+    def read(i: int) -> list[str]:
+        if i not in by_line:
+            by_line[i] = _WORD.findall(_COMMENT.sub(" ", lines[i]))
+        return by_line[i]
+
+    spans: list[list[int]] = []  # runs of lines that reach some words beyond the hits
+    for hit in hits:
+        low, n = hit, 0
+        while low and n < reach:
+            low -= 1
+            n += len(read(low))
+        if spans and low <= spans[-1][1]:
+            low = spans.pop()[0]
+        high, n = hit, 0
+        while high + 1 < len(lines) and n < reach:
+            high += 1
+            n += len(read(high))
+        spans.append([low, high])
+    out = []
+    for low, high in spans:
+        raw = [w for i in range(low, high + 1) for w in read(i)]
+        line_of = [i for i in range(low, high + 1) for _ in read(i)]
+        own = [w.lower() for w in raw]
+        found = {f for lo in range(0, max(len(own) - reach, 1), reach) for i in range(len(each))
+                 for f in _found(own, i, lo, min(lo + 2 * reach, len(own)), templates, most_changed)}
+        kept: list[tuple] = []
+        for f in sorted(found, key=lambda f: (f[0] / -f[1] > 0, f[1], f[0], f[2:])):  # exact ones first, then the longest templates
+            start, end = f[3:5]
+            # a better notice claims words that are its own; what only stands in its blanks is free
+            if any(g[3] < end and start < g[4] and (g[2] == f[2] or (g[3] <= start and end <= g[4] and 2 * sum(w in aims[g[2]][1] for w in own[start:end]) >= end - start))
+                   for g in kept):
+                continue
+            data = " ".join(own[start:end]).encode()
+            alone, given = len(plain.compress(data)), len(each[f[2]].compress(data))
+            if alone - given >= least_saved:
+                kept.append(f)
+                out.append((line_of[start], line_of[end - 1], templates[f[2]][0], alone, given, 1 - given / alone, *f[5:], True))
+    return sorted(out)
+
+
+def examine(text: str, hits: list[int], known: dict, templates: tuple[tuple[str, str], ...], level: int, most_changed: float, least_saved: int) -> list[tuple]:
+    """(line, license, ...) for all notices of a text, and for lines with a telling word that are in no notice."""
+    lines = text.split("\n")
+    found = notices(lines, hits, templates, level, most_changed, least_saved)
+    out = [(f[0], *f[2:]) for f in found]
+    covered = {i for f in found for i in range(f[0], f[1] + 1)}
+    for i in hits:
+        if i not in covered:
+            if lines[i] not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                known[lines[i]] = judge(lines[i], templates, level, most_changed, least_saved)
+            out += [(i, *f) for f in known[lines[i]]]
+    return sorted(out, key=lambda r: r[0])
+
+
 def scan(documents: DataFrame, templates: Mapping[str, str] | None = None, level: int = 9, most_changed: float = 0.2, least_saved: int = 6) -> DataFrame:
     """documents(doc_id, text) -> doc_id, line, license, bytes_alone, bytes_given, reduction, missing, added, replaced, confirmed.
 
-    A row for each license confirmed in a candidate line, or one row, not confirmed. `line` counts the text's lines from 0. `license` is, of the
-    templates that save at least `least_saved` bytes of a block, the one whose wording is nearest, ties by size; it is confirmed when no more than
-    `most_changed` of its words differ. Null and empty texts have no candidates; equal lines have a row each; a null doc_id stays null; lines may be
-    of any length. An empty table gives an empty result; other columns are ignored.
+    A confirmed row for each notice, which may run over lines and stand beside others: a stretch of words of which no more than `most_changed` of the
+    template's words differ and at least `least_saved` bytes are saved. Where the words of several templates are the same, the exact or longest one
+    counts. `line` counts the text's lines from 0 and is the notice's first. A line with a telling word that no notice covers has a row, not
+    confirmed, with the nearest of the templates that save `least_saved` bytes, ties by size. Null and empty texts have no candidates; equal lines
+    have a row each; a null doc_id stays null; lines may be of any length. An empty table gives an empty result; other columns are ignored.
     """
     chosen = tuple(sorted((templates or TEMPLATES).items()))
     pattern = r"(?i)(?<![\p{L}\p{N}])(" + "|".join(re.escape(w) for w in telling_words(dict(chosen))) + r")(?![\p{L}\p{N}])"
     texts = S.pick(documents, doc_id="doc_id", text="text").where(F.col("text").rlike(pattern))
-    lines = texts.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "block")).where(F.col("block").rlike(pattern))
+    # the same pattern for RE2, which has no look-around
+    inside = r"(?i)(?:^|[^\p{L}\p{N}])(?:" + "|".join(re.escape(w) for w in telling_words(dict(chosen))) + r")(?:$|[^\p{L}\p{N}])"
+    names = ("license", "bytes_alone", "bytes_given", "reduction", "missing", "added", "replaced", "confirmed")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, list[tuple]] = {}
-        at, found = [], []
-        for i, block in enumerate(batch.column("block").to_pylist()):
-            if block not in known:
-                known[block] = judge(block, chosen, level, most_changed, least_saved)
-            found += known[block]
-            at += [i] * len(known[block])
-        at = pa.array(at, pa.int64())
-        names = ("license", "bytes_alone", "bytes_given", "reduction", "missing", "added", "replaced", "confirmed")
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-        columns = {name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True))}
-        return pa.record_batch({"doc_id": batch.column("doc_id").take(at), "line": batch.column("line").take(at).cast(pa.int64()), **columns})
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                hits = pc.match_substring_regex(pa.array(text.split("\n"), pa.string()), inside).to_numpy(zero_copy_only=False).nonzero()[0].tolist()
+                rows = examine(text, hits, known, chosen, level, most_changed, least_saved)
+                found += rows
+                at += [i] * len(rows)
+            if found:
+                columns = {name: pa.array([f[i] for f in found], kind) for i, (name, kind) in enumerate(zip(names, kinds, strict=True), 1)}
+                yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(at, pa.int64())), "line": pa.array([f[0] for f in found], pa.int64()), **columns})
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return S.map_arrow(lines, S.arrow_map(run), f"doc_id {kind}, line long, license string, bytes_alone long, bytes_given long, reduction double, "
+    return S.map_arrow(texts, run, f"doc_id {kind}, line long, license string, bytes_alone long, bytes_given long, reduction double, "
                                                 "missing long, added long, replaced long, confirmed boolean")

@@ -45,3 +45,21 @@ def test_own_templates_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "Property of Foo Industries, do not share")], SCHEMA)
     assert [r["license"] for r in L.scan(docs, {"foo": "Property of Foo Industries, do not share."}).collect() if r["confirmed"]] == ["foo"]
     assert L.scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def confirmed(spark, rows):
+    got = L.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    return sorted((r["doc_id"], r["line"], r["license"]) for r in got if r["confirmed"])
+
+
+def wrapped(text, width, mark):
+    own = text.split()
+    return "\n".join(mark + " ".join(own[i : i + width]) for i in range(0, len(own), width))
+
+
+def test_notices_wrapped_over_lines(spark):
+    names = sorted(name for name, text in L.TEMPLATES.items() if "<" not in text)
+    rows = [(i, "int x;\nint y;\n" + wrapped(L.TEMPLATES[name], width, mark) + "\nint z;")
+            for i, (name, (width, mark)) in enumerate(product(names, [(12, " * "), (5, "// "), (2, "# "), (12, "REM ")]))]
+    want = [(i, 2, name) for i, (name, _) in enumerate(product(names, range(4)))]
+    assert confirmed(spark, rows) == want
