@@ -63,3 +63,12 @@ def test_notices_wrapped_over_lines(spark):
             for i, (name, (width, mark)) in enumerate(product(names, [(12, " * "), (5, "// "), (2, "# "), (12, "REM ")]))]
     want = [(i, 2, name) for i, (name, _) in enumerate(product(names, range(4)))]
     assert confirmed(spark, rows) == want
+
+
+def test_all_notices_of_a_line(spark):
+    mit, apache = L.TEMPLATES["MIT"], L.TEMPLATES["Apache-2.0"]
+    filler = " ".join(f"word{i}" for i in range(20))
+    rows = [(1, f"{apache} All rights reserved."), (2, f"x\n{mit} {apache}"), (3, f"{mit} {filler} {mit} {filler} {apache} {filler} {mit}"), (4, f"{mit}\n{mit}"),
+            (5, f"Copyright (c) 2020 Jane Doe. {mit} All rights reserved."), (6, L.TEMPLATES["Apache-2.0-header"])]
+    assert confirmed(spark, rows) == [(1, 0, "Apache-2.0"), (1, 0, "all-rights-reserved"), (2, 1, "Apache-2.0"), (2, 1, "MIT"), (3, 0, "Apache-2.0"), (3, 0, "MIT"),
+                                      (3, 0, "MIT"), (3, 0, "MIT"), (4, 0, "MIT"), (4, 1, "MIT"), (5, 0, "MIT"), (5, 0, "copyright"), (6, 0, "Apache-2.0-header")]
