@@ -228,7 +228,8 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
     rolled = np.zeros(len(words), U64)
     for j in range(width):
         shifted = np.zeros(len(words), U64)
-        shifted[: len(words) - j] = words[j:]
+        if j < len(words):  # all texts together may have fewer words than one shingle
+            shifted[: len(words) - j] = words[j:]
         rolled = mix(rolled * U64(0x9E3779B97F4A7C15) + shifted + U64(j + 1))
     out, sizes = [], np.zeros(len(counts), np.int64)
     for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
@@ -241,7 +242,7 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
         elif b > a:
             h = U64(b - a)
             for w in words[a:b]:
-                h = mix(np.array([h * U64(3) ^ w], U64))[0]
+                h = mix(np.array([h], U64) * U64(3) ^ w)[0]
             x = np.array([h], U64)
         else:
             continue

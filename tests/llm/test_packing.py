@@ -54,7 +54,7 @@ def packed(spark, rows, **options):
 def test_round_trip(spark, capacity):
     words = ["alpha", "beta", "gamma", "delta ", "\n"]
     rows = [(i, " ".join(words[(i * j) % 5] for j in range(i * 7 % 300))) for i in range(60)]
-    rows += [(100 + i, "the same words again and again") for i in range(150)] + [(200, None), (201, ""), (None, "no id"), (7, rows[7][1]), (300, "long " * 20_000)]
+    rows += [(100 + i, "the same words again and again") for i in range(150)] + [(400, None), (401, ""), (None, "no id"), (7, rows[7][1]), (300, "long " * 20_000)]
     out = packed(spark, rows, capacity=capacity).collect()
     tokenizer = K.Encoder(K.vocabulary_path()).tokenizer
     tokenizer.encode_special_tokens = True

@@ -26,8 +26,19 @@ def test_words_and_shingles_are_those_of_plain_python():
     assert [named[h] for h in hashes.tolist()] == [w for x in words for w in x]
     for width in (2, 5):
         _, sizes = S.shingle_hashes(hashes, at, width)
-        want = [len({tuple(w[i : i + width]) for i in range(len(w) - width + 1)}) if len(w) >= width else int(bool(w)) for w in words]
-        assert np.diff(sizes).tolist() == want
+        assert np.diff(sizes).tolist() == [n_shingles(w, width) for w in words]
+
+
+def n_shingles(words, width):
+    return len({tuple(words[i : i + width]) for i in range(len(words) - width + 1)}) if len(words) >= width else int(bool(words))
+
+
+def test_batches_of_few_words():
+    for width in range(1, 7):
+        for texts in ([], [""], ["a"], ["a b"], ["", "a", "b"], ["a b c"], ["a b", "c d"], ["a b c d e"], ["a", "b c d e f"], ["a b c d e f"]):
+            hashes, at = S.word_hashes(*S.text_buffer(pa.array(texts, pa.string())))
+            shingles, sizes = S.shingle_hashes(hashes, at, width)
+            assert np.diff(sizes).tolist() == [n_shingles(t.split(), width) for t in texts] and len(shingles) == sizes[-1]
 
 
 def test_ids_are_those_of_the_tokenizer():
