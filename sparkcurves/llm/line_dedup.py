@@ -83,9 +83,8 @@ def _bitmaps(rows: DataFrame, least_documents: int | None, least_chars: int) ->
     gaps = F.flatten(F.transform("runs", lambda run, i: F.array(
         (run["start"] - F.coalesce(end(F.get(F.col("runs"), i - 1)), F.lit(0))).cast("int"), run["length"])))
     tail = (F.col("n_lines") - F.coalesce(end(F.element_at("runs", -1)), F.lit(0))).cast("int")
-    # stored, so that the join with the texts has a plain side of known size
-    runs = S.store(runs, "line-runs")
-    return rows.join(runs, "row", "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).withColumn(
+    # how many documents lose lines has no bound, so they are not broadcast
+    return rows.join(runs.hint("merge"), "row", "left").withColumn("n_dropped", F.coalesce("n_dropped", F.lit(0).cast("long"))).withColumn(
         "bitmap", F.concat(F.coalesce(gaps, F.array().cast("array<int>")), F.array(tail)))
 
 
