@@ -10,17 +10,21 @@ value 4 * t on (and around), which makes neighbours of classes whose signatures
   Each class offers its smallest and its most alike ones for confirmation on full sets. Links join classes to components, which settles large
   groups of copies with a few confirmations each. Candidates that are not offered come again below, unless their classes have been joined by then.
 * Regions again. Only pairs of different components in a region are left. Where the classes outside a region's largest component are few, all
-  such pairs whose signatures allow a similarity near the threshold are confirmed on full sets.
-* Full regions. The classes of all other regions meet in one exact join of their full sets: shingles are ordered from rare to frequent, and two
-  sets that reach the threshold share one among the first few of each (prefix filter), early enough for what follows to suffice. Frequent shingles
-  are dealt over several tasks.
-
-Classes that share no region are missed; nothing else is. Candidates are never capped.
+  such pairs whose signatures allow a similarity near the threshold are confirmed on full sets. A region with more of them is split by
+  prefixes of 8, then 16 values, each as deep as it needs, and its parts are compared in the same way.
+* Full regions. Pairs that part on the way are still open. The classes of regions that are mixed and full even now meet in one exact join of their
+  full sets: shingles are ordered from rare to frequent, and two sets that reach the threshold share one among the first few of each (prefix
+  filter), early enough for what follows to suffice. Frequent shingles are dealt over several tasks.
+
+Two kinds of links can be lost, both by chance of the hash functions: between classes that share no region (5e-8 of pairs at 0.8), and in small
+regions between classes whose signatures agree on fewer than 82 of 128 values (SIGMAS; about 8e-6 of pairs at 0.8, fewer above). A pair in a full
+region is held to its sets alone. Candidates are never capped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from sparkcurves.llm import shared as S
 
 TREES = 32
 ROOT = 4  # values that make a region
+DEPTHS = (4, 8, 16)  # longer and longer prefixes that split regions that are too full
+BUCKET_BITS = 20  # the order of shingles in the exact join goes by counts of 2**20 buckets of hashes
 PAIRS_PER_CLASS = 16  # classes outside a region's largest component that are compared in the region itself
 PER_TASK = 512  # sets with one shingle that a task compares with all others that have it
 OFFERS = 2  # neighbours that a class offers for confirmation beside its smallest
@@ -227,27 +233,90 @@ def _class_sets(documents: DataFrame, active: DataFrame, width: int) -> DataFram
     return found.dropDuplicates(["class"])
 
 
+class _Counts:
+    """For buckets of hashes: how many shingles fall in them, and the least and greatest root of their sets."""
+
+    def __init__(self, size: int):
+        self.n, self.low, self.high = np.zeros(size, np.int64), np.full(size, np.iinfo(np.int64).max), np.full(size, np.iinfo(np.int64).min)
+
+    def add(self, bucket: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Distinct buckets with their counts."""
+        self.n[bucket] += n
+        self.low[bucket] = np.minimum(self.low[bucket], low)
+        self.high[bucket] = np.maximum(self.high[bucket], high)
+
+
+def _shared_buckets(crowd: DataFrame) -> np.ndarray:
+    """2**BUCKET_BITS counts: how many shingles of the crowd's sets fall in each bucket of hashes; 0 where all of them are of one root.
+
+    Its size is fixed and does not grow with the data. It only orders shingles: whatever it says, the order is the same for all sets.
+    Each task counts all its sets and hands on one row per block of buckets.
+    """
+    block = 1 << BUCKET_BITS - 4
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _Counts(1 << BUCKET_BITS)
+        for batch in batches:
+            if batch.num_rows:
+                flat = np.frombuffer(b"".join(batch.column("shingles").to_pylist()), np.uint64)
+                bucket, of = flat >> np.uint64(64 - BUCKET_BITS), np.repeat(batch.column("root").to_numpy(), batch.column("n").to_numpy())
+                order = np.lexsort((of, bucket))
+                bucket, of = bucket[order].astype(np.int64), of[order]
+                starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+                ends = np.append(starts[1:], len(bucket))
+                own.add(bucket[starts], ends - starts, of[starts], of[ends - 1])
+        for k in range(16):
+            some = np.flatnonzero(own.n[k * block : (k + 1) * block])
+            at = some + k * block
+            if len(some):
+                yield pa.record_batch({"block": pa.array([k], pa.int32()), **{
+                    name: pa.array([x.tobytes()], pa.binary()) for name, x in (("bucket", some), ("n", own.n[at]), ("low", own.low[at]), ("high", own.high[at]))}})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: dict[int, _Counts] = {}
+        for batch in batches:
+            for k, *parts in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                whole.setdefault(k, _Counts(block)).add(*[np.frombuffer(x, np.int64) for x in parts])
+        for k, counts in whole.items():
+            some = np.flatnonzero(counts.low < counts.high)
+            yield pa.record_batch({"block": pa.array([k], pa.int32()), "bucket": pa.array([some.astype(np.int32).tobytes()], pa.binary()),
+                                   "n": pa.array([np.minimum(counts.n[some], (1 << 32) - 1).astype(np.uint32).tobytes()], pa.binary())})
+
+    parts = S.map_arrow(crowd.select("root", "n", "shingles"), count, "block int, bucket binary, n binary, low binary, high binary")
+    counts = np.zeros(1 << BUCKET_BITS, np.uint32)
+    for k, bucket, n in S.map_arrow(parts.repartition("block"), merge, "block int, bucket binary, n binary").toLocalIterator():
+        counts[np.frombuffer(bucket, np.int32) + k * block] = np.frombuffer(n, np.uint32)
+    return counts
+
+
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of crowd(class, root, n) with different roots, among them all that reach the threshold, by an exact prefix filter.
 
-    Shingles of one root alone come first in the order, then the others from rare to frequent. `place` counts from 1 in it.
+    Shingles are ordered by the count of their bucket: first those that one root alone has, which can't be in such a pair and don't leave
+    the task, then from rare to frequent. Only the first fifth or so of each set goes on. `place` counts from 1 in the order.
     """
+    crowd = _store(crowd.join(sets, "class").select("class", "root", "n", "shingles"), "crowd")
+    counts = crowd.sparkSession.sparkContext.broadcast(_shared_buckets(crowd))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column("n").to_numpy()
             for a, b in S.chunks_of(sizes, 1 << 20):
-                row = pa.array(np.repeat(np.arange(a, b), sizes[a:b]))
-                flat = np.frombuffer(b"".join(batch.column("shingles").slice(a, b - a).to_pylist()), np.int64)
-                yield pa.record_batch({**{c: batch.column(c).take(row) for c in ("class", "root", "n")}, "shingle": pa.array(flat)})
-
-    own = S.map_arrow(crowd.join(sets, "class").select("class", "root", "n", "shingles"), run, "class long, root long, n long, shingle long")
-    times = own.groupBy("shingle").agg(F.count("*").alias("times"), F.min("root").alias("low"), F.max("root").alias("high"))
-    across = own.join(times.where("low < high").select("shingle", "times"), "shingle")
-    by_class = Window.partitionBy("class")
-    place = F.col("n") - F.count("*").over(by_class) + F.row_number().over(by_class.orderBy("times", "shingle"))
-    # of two sets the larger shows the longer prefix, the smaller the shorter one
-    first = across.withColumn("place", place).where(f"place <= n - (n * {percent} + 99) div 100 + 1").drop("times")
-    first = _store(first.withColumn("short", F.expr(f"place <= n - (2 * n * {percent} + {99 + percent}) div {100 + percent} + 1")), "prefixes")
+                n = sizes[a:b]
+                row = np.repeat(np.arange(b - a), n)
+                flat = np.frombuffer(b"".join(batch.column("shingles").slice(a, b - a).to_pylist()), np.uint64)
+                times = counts.value[flat >> np.uint64(64 - BUCKET_BITS)]
+                order = np.lexsort((flat, times, row))
+                place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n) + 1
+                # of two sets the larger shows the longer prefix, the smaller the shorter one
+                shown = (place <= (n - (n * percent + 99) // 100 + 1)[row]) & (times[order] > 0)
+                order, place, row = order[shown], place[shown], row[shown]
+                short = place <= (n - (2 * n * percent + 99 + percent) // (100 + percent) + 1)[row]
+                at = pa.array(row + a)
+                yield pa.record_batch({**{c: batch.column(c).take(at) for c in ("class", "root", "n")}, "shingle": pa.array(flat[order].view(np.int64)),
+                                       "place": pa.array(place.astype(np.int64)), "short": pa.array(short)})
+
+    first = _store(S.map_arrow(crowd, run, "class long, root long, n long, shingle long, place long, short boolean"), "prefixes")
     salts = first.groupBy("shingle").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("salts"), F.min("root").alias("low"), F.max("root").alias("high"))
     first = first.join(salts.where("low < high").select("shingle", "salts"), "shingle")
     x = first.where("short").select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("class").alias("x"),
@@ -287,12 +356,44 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     links = _store(_confirmed(tried, sets, percent), "links")
     of = _store(S.components(links), "components")
 
-    members = _with_root(crowded, of, "class", "root").select("class", "root", "key")
+    # regions that are still mixed: few outsiders are compared, the others are split by longer prefixes
+    opened, found = crowded.select("class", "tree", "key"), []
+    for depth in DEPTHS:
+        if depth > ROOT:
+            deeper = _regions(active, depth, trees, values)
+            opened = opened.join(deeper, ["class", "tree"])
+        members = _sorted_out(_with_root(opened, of, "class", "root"), pairs_per_class)
+        members = _store(members, "mixed-regions")
+        found.append(_small_pairs(members.where("small"), active, values, percent))
+        opened = members.where("not small").select("class", "tree")
+        if opened.isEmpty():
+            break
+    rest = _store(reduce(DataFrame.union, found).distinct().join(tried, ["a", "b"], "left_anti"), "region-candidates")
+    if not rest.isEmpty():
+        links = _store(links.union(_confirmed(rest, sets, percent)), "links")
+        of = _store(S.components(links), "components")
+
+    # what is open after that: classes of different roots in regions that were full at the least depth
+    members = _sorted_out(_with_root(crowded.select("class", "tree", "key"), of, "class", "root"), pairs_per_class)
+    crowd = members.where("not small").select("class", "root").distinct().join(active.select("class", F.col("n_shingles").alias("n")), "class")
+    if not crowd.isEmpty():
+        rest = _store(_prefix_pairs(crowd, sets, percent), "last-candidates")
+        if not rest.isEmpty():
+            links = links.union(_confirmed(rest, sets, percent))
+            of = _store(S.components(links), "components")
+    return docs, _with_root(classes.drop("signature"), of, "class", "root")
+
+
+def _sorted_out(members: DataFrame, pairs_per_class: int) -> DataFrame:
+    """members(class, tree, key, root) of regions with several roots; `small` tells where few classes are outside the largest one."""
     by_root = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     mixed = by_root.groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.count("*").alias("roots")).where("roots > 1")
     mixed = mixed.select("key", (F.col("n") - F.col("largest") <= pairs_per_class).alias("small"))
-    members = _store(members.join(mixed, "key"), "mixed-regions")
-    small = members.where("small")
+    return members.join(mixed, "key")
+
+
+def _small_pairs(small: DataFrame, active: DataFrame, values: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different roots in small regions whose signatures allow the threshold."""
     # a pair that shares several of these regions is made in the first of them alone
     small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class
     small = small.select("class", "root", "key", "keys").join(_shown(active, values), "class")
@@ -302,15 +403,7 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     pair &= F.get(F.array_intersect("ka", "kb"), 0) == x["key"]
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
     pair &= same >= _least_same(values, percent)
-    rest = x.join(y, pair).select("a", "b")
-    crowd = members.where("not small").select("class", "root").distinct()
-    if not crowd.isEmpty():
-        rest = rest.union(_prefix_pairs(crowd.join(active.select("class", F.col("n_shingles").alias("n")), "class"), sets, percent))
-    rest = _store(rest.distinct().join(tried, ["a", "b"], "left_anti"), "last-candidates")
-    if not rest.isEmpty():
-        links = links.union(_confirmed(rest, sets, percent))
-        of = _store(S.components(links), "components")
-    return docs, _with_root(classes.drop("signature"), of, "class", "root")
+    return x.join(y, pair).select("a", "b")
 
 
 def _with_root(rows: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:
@@ -328,7 +421,8 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, tre
     gives an empty result; other columns are ignored. Very long texts are sets like any other.
     """
     docs, classes = classes_and_components(documents, width, percent, trees, pairs_per_class)
-    smallest = classes.groupBy("root").agg(F.min("smallest").alias("component_id"))
+    # stored, so that the join has plain exchanges on both sides and can split a component that a third of all classes are in
+    smallest = _store(classes.groupBy("root").agg(F.min("smallest").alias("component_id")), "smallest")
     named = classes.join(smallest, "root").select("d0", "d1", "component_id")
     some = docs.where("n_shingles > 0").join(named, ["d0", "d1"]).select("doc_id", "n_shingles", "component_id", "text_key")
     none = docs.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "text_key")
