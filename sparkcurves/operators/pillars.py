@@ -13,11 +13,15 @@ from sparkcurves.functions.accrual import discount_factor, year_fraction
 from sparkcurves.functions.exprs import Convention
 
 CURVE_KEY = ["curve_id", "val_date"]
+MOST_PILLARS = 1000  # a curve's definition travels as one array
 
 
 @dataclass(frozen=True)
 class CurveRules:
-    """Conventions of a family of curves; every field is a literal name or a Column."""
+    """Conventions of a family of curves; every field is a literal name or a Column.
+
+    `settlement` is the name of a rule, or a Column with the settlement lag in days.
+    """
 
     calendar: Convention = "USD"
     settlement: Convention = "after_overnight"
@@ -60,27 +64,19 @@ def first_quotes(quotes: DataFrame) -> DataFrame:
     return quotes.groupBy(*CURVE_KEY, "tenor").agg(first).select(*CURVE_KEY, "tenor", "first.*").select(*quotes.columns)
 
 
-def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> DataFrame:
-    """Every defined pillar of every curve and date, with rate 0 where there is no quote.
-
-    Of quotes that repeat a tenor the first by position counts. Sources that repeat tenors many
-    times go through `first_quotes` before, so that the list gathered for a curve is no longer
-    than its definition. One shuffle by (curve, date) serves this and the whole bootstrap after it.
-    """
-    definition = F.array(*[
-        F.struct(
-            F.lit(pos).alias("pos"), F.lit(tenor).alias("tenor"), F.lit(kind).alias("type_rate"),
-            *[value.alias(name) for name, value in D.tenor_parts(tenor).items()],
-        )
-        for pos, tenor, kind in pillars
-    ])
+def _quoted(quotes: DataFrame, rate: str) -> DataFrame:
+    """One row per (curve, date) with `quoted`, a map from tenor to rate; of repeated tenors the first by position counts."""
     place = F.col("pos") if "pos" in quotes.columns else F.lit(0).alias("pos")  # a source that repeats no tenor needs none
     listed = F.array_sort(F.collect_list(F.struct(place, "tenor", F.col(rate).alias("quote"))))
     gathered = by_curve(quotes).groupBy(*CURVE_KEY).agg(listed.alias("listed"))
     first = F.filter("listed", lambda q, i: F.array_position(F.col("listed.tenor"), q["tenor"]) == i + 1)
-    gathered = gathered.select(
+    return gathered.select(
         *CURVE_KEY, F.map_from_entries(F.transform(first, lambda q: F.struct(q["tenor"], q["quote"]))).alias("quoted")
     )
+
+
+def _filled(gathered: DataFrame, definition: Column, carried: list[str]) -> DataFrame:
+    """A row per defined pillar, with rate 0 where there is no quote."""
     filled = F.transform(
         definition,
         lambda d: F.struct(
@@ -89,20 +85,66 @@ def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> Dat
         ),
     )
     return (
-        gathered.select(*CURVE_KEY, F.inline(filled))
+        gathered.select(*CURVE_KEY, *carried, F.inline(filled))
         .select(
-            *CURVE_KEY, "pos", "tenor", "type_rate", *D.TENOR_FIELDS,
+            *CURVE_KEY, *carried, "pos", "tenor", "type_rate", *D.TENOR_FIELDS,
             F.coalesce("quote", F.lit(0.0)).alias("rate"),
             F.col("quote").isNull().alias("is_missing"),
         )
     )
 
 
+def definition_join(quotes: DataFrame, pillars: tuple, rate: str = "mid") -> DataFrame:
+    """Every defined pillar of every curve and date, with rate 0 where there is no quote.
+
+    Of quotes that repeat a tenor the first by position counts. Sources that repeat tenors many
+    times go through `first_quotes` before, so that the list gathered for a curve is no longer
+    than its definition. One shuffle by (curve, date) serves this and the whole bootstrap after it.
+    """
+    definition = F.array(*[
+        F.struct(
+            F.lit(pos).alias("pos"), F.lit(tenor).alias("tenor"), F.lit(kind).alias("type_rate"),
+            *[value.alias(name) for name, value in D.tenor_parts(tenor).items()],
+        )
+        for pos, tenor, kind in pillars
+    ])
+    return _filled(_quoted(quotes, rate), definition, [])
+
+
+def definition_lists(definitions: DataFrame) -> DataFrame:
+    """definitions(curve_id, pos, tenor, type_rate) -> curve_id, definition: each curve's pillars as one array, in order.
+
+    A curve may have any number of pillars up to `MOST_PILLARS`; a longer list, or one that repeats a
+    position, is an error and not cut. Rows without a tenor or position are no pillars.
+    """
+    rows = D.with_parsed_tenor(definitions.where("pos is not null and tenor is not null"))
+    pillar = F.struct("pos", "tenor", "type_rate", *D.TENOR_FIELDS)
+    listed = rows.groupBy("curve_id").agg(F.array_sort(F.collect_list(pillar)).alias("listed"))
+    fault = F.when(F.size("listed") > MOST_PILLARS, F.raise_error(F.concat(
+        F.lit(f"more than {MOST_PILLARS} pillars in the definition of curve "), F.col("curve_id").cast("string"))))
+    fault = fault.when(F.size(F.array_distinct("listed.pos")) < F.size("listed"), F.raise_error(F.concat(
+        F.lit("a position is defined twice for curve "), F.col("curve_id").cast("string"))))
+    return listed.select("curve_id", fault.otherwise(F.col("listed")).alias("definition"))
+
+
+def definition_list_join(quotes: DataFrame, lists: DataFrame, rate: str = "mid") -> DataFrame:
+    """As `definition_join`, with every curve's own list of pillars from a table.
+
+    `lists` has one row per curve: `definition` as `definition_lists` makes it, and any settings, which the
+    pillars carry on. Quotes meet it as one row per (curve, date); curves without a definition, and
+    quotes that a definition does not name, are left out.
+    """
+    settings = [c for c in lists.columns if c not in ("curve_id", "definition")]
+    return _filled(_quoted(quotes, rate).join(lists, "curve_id"), F.col("definition"), settings)
+
+
 def with_dates(quotes: DataFrame, rules: CurveRules) -> DataFrame:
     """Start, end and day count of every pillar."""
     today, kind = F.col("val_date"), F.col("type_rate")
-    overnight = D.overnight_date(today, rules.settlement)
-    spot = D.spot_date(today, rules.settlement)
+    if isinstance(rules.settlement, str):
+        overnight, spot = D.overnight_date(today, rules.settlement), D.spot_date(today, rules.settlement)
+    else:  # a lag in days, kept with the curve
+        overnight, spot = D.settlement_pair(today, rules.settlement)
     dated = D.with_parsed_tenor(quotes).withColumns({"overnight_date": overnight, "spot_date": spot})
     first_night = (kind == "OverNight") & (F.col("pos") == 1)
     strip = F.regexp_extract("tenor", r"^ED([0-9]+)$", 1).try_cast("int")

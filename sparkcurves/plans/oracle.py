@@ -80,14 +80,35 @@ SPOT = {
     "after_overnight": lambda d: roll(f"({roll(f'({d} + 1)')} + 1)"),
     "two_days": lambda d: roll(f"({d} + 2)"),
     "same_day": lambda d: roll(d),
+    "lag": lambda d: roll(f"({d} + lag)"),
 }
 
+_DEFINITIONS = {
+    0: (("1D", "OverNight"), ("3M", "Cash"), ("6M", "Cash"), ("1Y", "Bond"), ("3Y", "Bond")),
+    1: (("1D", "OverNight"), ("6M", "Cash"), ("2Y", "Bond"), ("3Y", "Bond")),
+    2: (("1D", "OverNight"), ("2D", "OverNight"), ("3M", "Cash"), ("6M", "Cash"), ("1Y", "Bond"), ("2Y", "Bond"), ("3Y", "Bond")),
+}
+
+
+def filled_by_definition() -> str:
+    rows = ", ".join(f"({kind}, {i}, '{tenor}', '{what}')" for kind, own in _DEFINITIONS.items() for i, (tenor, what) in enumerate(own, 1))
+    return f"""{quotes()},
+defs AS (SELECT * FROM (VALUES {rows}) AS d(kind, pos, tenor, type_rate)),
+filled AS (
+    SELECT c.curve_id, c.val_date, d.pos, d.tenor, d.type_rate, CAST(s_nationkey % 3 AS INTEGER) AS lag,
+           coalesce(q.mid, 0.0::DOUBLE) AS rate, q.mid IS NULL AS is_missing
+    FROM (SELECT DISTINCT curve_id, val_date FROM quotes) c
+    JOIN supplier ON s_suppkey = c.curve_id JOIN defs d ON d.kind = s_nationkey % 3
+    LEFT JOIN quotes q ON q.curve_id = c.curve_id AND q.val_date = c.val_date AND q.tenor = d.tenor)"""
 
-def dated(pillars: tuple = M.PAR_PILLARS, calendar: str = "USD", settlement: str = "after_overnight", base: str = "spot") -> str:
+
+def dated(
+    pillars: tuple = M.PAR_PILLARS, calendar: str = "USD", settlement: str = "after_overnight", base: str = "spot", source: str | None = None
+) -> str:
     night = "(val_date + 1)" if settlement == "same_day" else roll("(val_date + 1)")
     long_base = "spot_date" if base == "spot" else "val_date"
     strip = "CAST(nullif(regexp_extract(tenor, '^ED([0-9]+)$', 1), '') AS INTEGER)"
-    return f"""{filled(pillars)},
+    return f"""{source or filled(pillars)},
 nights AS (SELECT *, {night} AS on_date, {SPOT[settlement]('val_date')} AS spot_date FROM filled),
 spans AS (
     SELECT *,
@@ -608,7 +629,7 @@ select("bootstrap_par_gap", par_curve(M.GAP_PILLARS), SOLVED)
 select("bootstrap_semiannual", par_curve(M.SEMIANNUAL_PILLARS, "SemiAnnual", settlement="two_days"), SOLVED)
 select("bootstrap_mxn", par_curve(M.MXN_PILLARS, "SemiAnnual", "MXN", "same_day"), SOLVED)
 
-select("bootstrap_by_definition", f"""{dated(M.GAP_PILLARS)},
+select("bootstrap_by_definition", f"""{dated(settlement='lag', source=filled_by_definition())},
 {INFO},
 defined AS (SELECT d.*, i.pay_freq, i.day_count FROM dated d JOIN info i ON i.id_curve = d.curve_id),
 {bond_solve('pay_freq', source='defined', day_count='day_count')}""", SOLVED)

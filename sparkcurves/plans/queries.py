@@ -532,11 +532,12 @@ def bootstrap_mxn(spark, sf_dir):
 
 @query
 def bootstrap_by_definition(spark, sf_dir):
-    """Every curve by its own settings: payment frequency and day count come from a table."""
-    info = M.curve_info(spark, sf_dir).select(F.col("id_curve").alias("curve_id"), "pay_freq", "day_count")
-    rules = P.CurveRules(frequency=F.col("pay_freq"), day_count=F.col("day_count"))
-    quotes = par_quotes(spark, sf_dir, M.GAP_PILLARS).join(info, "curve_id")
-    return _solved(B.bootstrap(B.prepare(quotes, rules), rules, settings=["pay_freq", "day_count"]))
+    """Every curve by the tables: its own pillars, settlement lag, payment frequency and day count."""
+    info = M.curve_info(spark, sf_dir).select(F.col("id_curve").alias("curve_id"), "pay_freq", "day_count", "settlement")
+    lists = P.definition_lists(M.definitions(spark, sf_dir)).join(info, "curve_id")
+    rules = P.CurveRules(settlement=F.col("settlement"), frequency=F.col("pay_freq"), day_count=F.col("day_count"))
+    quotes = P.definition_list_join(M.quotes(spark, sf_dir), lists)
+    return _solved(B.bootstrap(B.prepare(quotes, rules), rules, settings=["pay_freq", "day_count", "settlement"]))
 
 
 def price_curve(spark, sf_dir) -> DataFrame:

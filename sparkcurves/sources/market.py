@@ -29,6 +29,12 @@ PROJECTION_PILLARS = (
     (1, "ON", "OverNight"), (2, "TN", "OverNight"), (3, "3M", "Cash"), (4, "ED1", "Future"),
     (5, "ED2", "Future"), (6, "2Y", "Swap"), (7, "3Y", "Swap"),
 )
+# Definitions of different lengths, by the settlement lag of the curve: only a lag of 2 has a second night.
+DEFINITIONS = (
+    ((1, "1D", "OverNight"), (2, "3M", "Cash"), (3, "6M", "Cash"), (4, "1Y", "Bond"), (5, "3Y", "Bond")),
+    ((1, "1D", "OverNight"), (2, "6M", "Cash"), (3, "2Y", "Bond"), (4, "3Y", "Bond")),
+    PAR_PILLARS,
+)
 PAY_FREQUENCIES = ("Annual", "SemiAnnual", "Quarterly", "Monthly")
 DAY_COUNTS = ("ACT/360", "ACT/365F", "30/360", "30E/360")
 DISCOUNT_CURVES = 10
@@ -191,3 +197,11 @@ def curve_info(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_name").alias("fwd_curve"),
         F.concat(F.lit("Supplier#"), F.lpad(discount_key.cast("string"), 9, "0")).alias("dsct_curve"),
     )
+
+
+def definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition table: one row per curve and pillar, lists of different lengths."""
+    pillar = "array<struct<pos:int,tenor:string,type_rate:string>>"
+    lists = [F.array(*[F.struct(F.lit(p), F.lit(t), F.lit(k)) for p, t, k in pillars]).cast(pillar) for pillars in DEFINITIONS]
+    own = choose(F.col("s_nationkey") % len(DEFINITIONS), dict(enumerate(lists)))
+    return read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("curve_id"), F.inline(own))
