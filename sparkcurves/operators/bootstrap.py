@@ -85,16 +85,16 @@ def gather_pillars(pillars: DataFrame, settings: list[str] = ()) -> DataFrame:
 
 
 def bootstrap_dual(
-    pillars: DataFrame, rules: CurveRules, discount: DataFrame, discount_id: Column,
+    pillars: DataFrame, rules: CurveRules, discount: DataFrame,
     fixed_frequency: str = "SemiAnnual", fixed_day_count: str = "30/360",
 ) -> DataFrame:
     """Projection curves: swaps float on the unknown factors and discount on another curve.
 
-    `discount` holds finished curves in today basis and `discount_id` names the one each
-    projection curve uses. The fixed leg's value there is the target of the floating leg.
-    The swaps of a curve without a discount curve on its date stay unsolved.
+    `discount` holds finished curves in today basis; the column `discount_id` of the pillars names
+    the one each projection curve uses. The fixed leg's value there is the target of the floating
+    leg. The swaps of a curve without a discount curve on its date stay unsolved.
     """
-    rows = gather_pillars(pillars).withColumn("discount_id", discount_id)
+    rows = gather_pillars(pillars, ["discount_id"])
     other = gathered(discount, "discount").select(
         F.col("curve_id").alias("discount_id"), "val_date", "discount"
     )

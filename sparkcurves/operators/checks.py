@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurves.operators.bootstrap import TOLERANCE
 from sparkcurves.operators.interpolation import interpolate
 from sparkcurves.operators.pillars import CURVE_KEY, CurveRules
-from sparkcurves.operators.pricing import LOAN_KEY, floating_values
 from sparkcurves.operators.schedules import bond_schedule, fixed_amount
 
 
@@ -32,25 +31,29 @@ def bond_residuals(curve: DataFrame, rules: CurveRules) -> DataFrame:
     return value.withColumn("residual", F.col("pv") - F.col("target"))
 
 
-def swap_residuals(curve: DataFrame, discount: DataFrame, discount_id: Column) -> DataFrame:
-    """Floating less fixed leg of every solved swap, both repriced through joins."""
+def swap_residuals(curve: DataFrame, discount: DataFrame, links: DataFrame) -> DataFrame:
+    """Floating less fixed leg of every solved swap, both repriced through joins; NULL without a discount curve.
+
+    `links` names each curve's discount curve. Like `bond_residuals` this shares nothing with the solver.
+    """
+    key = [*CURVE_KEY, "pos"]
     swaps = curve.where(F.col("type_rate") == "Swap").select(
-        *CURVE_KEY, F.col("spot_date").alias("start_date"), "tenor", "rate",
-        F.lit(1.0).alias("notional"), F.col("end_date").alias("maturity"),
-    )
-    projection = curve.select(*CURVE_KEY, "days", "df")
-    floating = floating_values(swaps, projection, discount, discount_id).select(*LOAN_KEY, F.col("pv").alias("floating"))
-    rows = bond_schedule(swaps, "SemiAnnual", "30/360").withColumn("discount_id", discount_id)
-    flows = rows.select(
-        *LOAN_KEY, "discount_id", F.datediff("period_end", "val_date").alias("day"),
-        fixed_amount(F.lit(1.0), F.col("rate")).alias("amount"),
-    )
+        *key, "rate", F.col("spot_date").alias("start_date"), F.col("end_date").alias("maturity"),
+    ).join(links, "curve_id", "left")
     other = discount.select(F.col("curve_id").alias("discount_id"), "val_date", "days", "df")
-    fixed = (
-        interpolate(flows, other, keys=["discount_id", "val_date"], spread="curve_id")
-        .groupBy(*LOAN_KEY).agg(F.sum(F.col("amount") * F.col("df")).alias("fixed"))
-    )
-    return floating.join(fixed, LOAN_KEY).withColumn("residual", F.col("floating") - F.col("fixed"))
+
+    def worth(flows: DataFrame, name: str) -> DataFrame:
+        valued = interpolate(flows, other, name="df_discount", keys=["discount_id", "val_date"], spread="curve_id")
+        return valued.groupBy(*key).agg(F.sum(F.col("amount") * F.col("df_discount")).alias(name))
+
+    day = F.datediff("period_end", "val_date").alias("day")
+    dates = bond_schedule(swaps, "Quarterly", with_start=True).select(*key, "discount_id", "n", "k", day)
+    before = Window.partitionBy(*key).orderBy("k")
+    projected = interpolate(dates, curve.select(*CURVE_KEY, "days", "df")).withColumn("growth", F.lag("df").over(before) / F.col("df") - 1.0)
+    floating = projected.where("k > 0").withColumn("amount", F.col("growth") + F.when(F.col("k") == F.col("n"), 1.0).otherwise(0.0))
+    fixed = bond_schedule(swaps, "SemiAnnual", "30/360").select(*key, "discount_id", day, fixed_amount(F.lit(1.0), F.col("rate")).alias("amount"))
+    both = worth(floating, "floating").join(worth(fixed, "fixed"), key, "full")
+    return both.withColumn("residual", F.col("floating") - F.col("fixed"))
 
 
 def residual_summary(residuals: DataFrame) -> DataFrame:

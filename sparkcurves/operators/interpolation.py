@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkcurves.cluster import landed
 from sparkcurves.functions.exprs import let
 from sparkcurves.operators.joins import salted_join
 from sparkcurves.operators.pillars import CURVE_KEY
@@ -58,6 +59,31 @@ def gathered(curve: DataFrame, name: str = "points") -> DataFrame:
     return curve.groupBy(*CURVE_KEY).agg(F.array_sort(F.collect_list(pillar)).alias(name))
 
 
+def with_curve(rows: DataFrame, curve: DataFrame, name: str = "points", curve_key: str = "curve_id") -> DataFrame:
+    """Every row with its curve on its date as an array sorted by day; NULL where there is no curve.
+
+    The gathered curves are stored first. So the join has a plain exchange on either side: adaptive execution broadcasts the
+    curves while they are small, and else deals a (curve, date) that very many rows have over several tasks.
+    """
+    arrays = landed(gathered(curve, name)).withColumnRenamed("curve_id", curve_key)
+    return rows.join(arrays, [curve_key, "val_date"], "left")
+
+
+def df_at(points: Column, day: Column) -> Column:
+    return F.exp(log_df_at(points, day))
+
+
+def linear_df_at(points: Column, day: Column) -> Column:
+    """Factor interpolated linearly between pillars, flat outside."""
+    passed = F.size(F.filter(points, lambda p: p["t"] <= day))
+    return let(
+        F.struct(F.get(points, passed - 1).alias("lo"), F.get(points, passed).alias("hi")),
+        lambda s: F.when(s["lo"].isNull(), F.exp(s["hi"]["l"])).when(s["hi"].isNull() | (s["lo"]["t"] == day), F.exp(s["lo"]["l"]))
+        .otherwise(let((day - s["lo"]["t"]) / (s["hi"]["t"] - s["lo"]["t"]),
+                       lambda w: w * F.exp(s["hi"]["l"]) + (1.0 - w) * F.exp(s["lo"]["l"]))),
+    )
+
+
 def log_df_at(points: Column, day: Column) -> Column:
     """ln df at a day on a gathered curve: log-linear inside, flat outside."""
     passed = F.size(F.filter(points, lambda p: p["t"] <= day))

@@ -1,74 +1,92 @@
-"""Cash flows and present values on finished curves."""
+"""Cash flows and present values on finished curves.
+
+A loan is priced within its own row: its payment dates are an array, its curve is another, and the factors at the dates are read
+from the one with the other. Rows are never matched by their values, so equal loans stay apart, and the only join is that with
+the curves.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcurves.operators.interpolation import interpolate
-from sparkcurves.operators.pillars import CURVE_KEY, by_curve
-from sparkcurves.operators.schedules import bond_schedule, fixed_amount
+from sparkcurves.functions.accrual import year_fraction
+from sparkcurves.functions.exprs import let
+from sparkcurves.operators.interpolation import df_at, with_curve
+from sparkcurves.operators.pillars import CURVE_KEY
+from sparkcurves.operators.schedules import with_payment_dates
 
-LOAN_KEY = [*CURVE_KEY, "start_date", "tenor", "rate"]
 
+def _periods(body, day_count: str) -> Column:
+    """body(k, from, to, accrual, day) of every payment k = 1..n of the row's `dates`."""
+    def period(k: Column) -> Column:
+        ends = F.struct(F.get("dates", k - 1).alias("start"), F.get("dates", k).alias("end"))
+        return let(ends, lambda e: body(k, e["start"], e["end"], year_fraction(day_count, e["start"], e["end"]), F.datediff(e["end"], "val_date")))
+
+    return F.transform(F.sequence(F.lit(1), F.col("n")), period)
 
-def bond_flows(loans: DataFrame, frequency: str, day_count: str = "ACT/360", calendar: str = "USD") -> DataFrame:
-    """Payments of fixed-rate loans with days from the valuation date."""
-    rows = bond_schedule(loans, frequency, day_count, calendar)
-    return rows.withColumns({
-        "amount": fixed_amount(F.col("notional"), F.col("rate")),
-        "day": F.datediff("period_end", "val_date"),
-    })
 
+def _total(amounts: Column) -> Column:
+    return F.aggregate(amounts, F.lit(0.0), lambda total, amount: total + amount)
 
-def bond_values(loans: DataFrame, curve: DataFrame, frequency: str, calendar: str = "USD") -> DataFrame:
-    """Present value of every loan: discounted flows summed.
 
-    Loans move to their curve before they are turned into flows. The flows meet the curve on
-    (curve, date) and are summed on a key that holds it, so neither step shuffles again.
+def bond_values(
+    loans: DataFrame, curve: DataFrame, frequency: str, calendar: str = "USD", day_count: str = "ACT/360"
+) -> DataFrame:
+    """Every loan with `pv`, the sum of its discounted flows, and `payments`; one row per row.
+
+    `loans` have curve_id, val_date, start_date, maturity, rate and notional; all their columns are kept. A loan whose
+    curve is missing on its date has a NULL value.
     """
-    flows = bond_flows(by_curve(loans), frequency, calendar=calendar).select(*LOAN_KEY, "notional", "day", "amount")
-    discounted = interpolate(flows, curve)
-    return discounted.groupBy(*LOAN_KEY, "notional").agg(
-        F.sum(F.col("amount") * F.col("df")).alias("pv"), F.count(F.lit(1)).alias("payments")
-    )
+    dated = with_payment_dates(with_curve(loans, curve), frequency, calendar)
+
+    def discounted(k: Column, start: Column, end: Column, accrual: Column, day: Column) -> Column:
+        coupon = F.col("notional") * F.col("rate") * accrual
+        return F.when(k == F.col("n"), F.col("notional") + coupon).otherwise(coupon) * df_at(F.col("points"), day)
+
+    return dated.select(*loans.columns, F.col("n").cast("long").alias("payments"), _total(_periods(discounted, day_count)).alias("pv"))
+
+
+def _projected(loans: DataFrame, projection: DataFrame, frequency: str) -> DataFrame:
+    """Loans with their payment dates and `factors`, the projection curve at each of them."""
+    dated = with_payment_dates(with_curve(loans, projection), frequency)
+    return dated.withColumn("factors", F.transform("dates", lambda d: df_at(F.col("points"), F.datediff(d, "val_date")))).drop("points")
+
+
+def _growth(k: Column) -> Column:
+    return F.get("factors", k - 1) / F.get("factors", k) - 1.0
+
+
+def _float_amount(k: Column, growth: Column) -> Column:
+    coupon = F.col("notional") * growth
+    return F.when(k == F.col("n"), F.col("notional") + coupon).otherwise(coupon)
 
 
 def floating_flows(loans: DataFrame, projection: DataFrame, frequency: str = "Quarterly") -> DataFrame:
-    """Floating payments: forward rate of each period from the projection curve.
+    """Floating payments: the loan's columns, n, k, its period, accrual, day, forward rate and amount.
 
-    Each period end is interpolated once; the period's start factor is the row before it.
+    The forward of a period is the ratio of the projection factors at its ends; each date is read once. Loans without a
+    projection curve keep their payments, with NULL forwards and amounts.
     """
-    rows = bond_schedule(by_curve(loans), frequency, with_start=True)
-    points = rows.select(
-        *LOAN_KEY, "notional", "n", "k", "period_start", "period_end", "accrual",
-        F.datediff("period_end", "val_date").alias("day"),
-    )
-    order = Window.partitionBy(*LOAN_KEY).orderBy("k")
-    factors = interpolate(points, projection).withColumn("df_start", F.lag("df").over(order))
-    growth = F.col("df_start") / F.col("df") - 1.0
-    coupon = F.col("notional") * growth
-    return factors.where(F.col("k") > 0).withColumns({
-        "forward_rate": F.try_divide(growth, F.col("accrual")),
-        "amount": F.when(F.col("k") == F.col("n"), F.col("notional") + coupon).otherwise(coupon),
-    })
+    def flow(k: Column, start: Column, end: Column, accrual: Column, day: Column) -> Column:
+        return let(_growth(k), lambda growth: F.struct(
+            k.alias("k"), start.alias("period_start"), end.alias("period_end"), accrual.alias("accrual"), day.alias("day"),
+            F.try_divide(growth, accrual).alias("forward_rate"), _float_amount(k, growth).alias("amount")))
 
+    return _projected(loans, projection, frequency).select(*loans.columns, "n", F.inline(_periods(flow, "ACT/360")))
 
-def floating_values(
-    loans: DataFrame, projection: DataFrame, discount: DataFrame, discount_id: Column, frequency: str = "Quarterly"
-) -> DataFrame:
-    """Present value of floating legs: projected on one curve, discounted on another.
 
-    Few discount curves serve all projection curves, so their key is hot and the join is salted.
+def floating_values(loans: DataFrame, projection: DataFrame, discount: DataFrame, frequency: str = "Quarterly") -> DataFrame:
+    """Every loan with the present value of its floating leg, projected on one curve and discounted on another; one row per row.
+
+    `discount_id` names each loan's discount curve. A loan that lacks either curve on its date has a NULL value.
     """
-    other = discount.select(F.col("curve_id").alias("discount_id"), "val_date", "days", "df")
-    flows = floating_flows(loans, projection, frequency).withColumn("discount_id", discount_id)
-    valued = interpolate(
-        flows, other, name="df_discount", keys=["discount_id", "val_date"], spread="curve_id"
-    )
-    return valued.groupBy(*LOAN_KEY, "notional", "discount_id").agg(
-        F.sum(F.col("amount") * F.col("df_discount")).alias("pv"), F.count(F.lit(1)).alias("payments")
-    )
+    rows = with_curve(_projected(loans, projection, frequency), discount, "other", "discount_id")
+
+    def discounted(k: Column, start: Column, end: Column, accrual: Column, day: Column) -> Column:
+        return _float_amount(k, _growth(k)) * df_at(F.col("other"), day)
+
+    return rows.select(*loans.columns, F.col("n").cast("long").alias("payments"), _total(_periods(discounted, "ACT/360")).alias("pv"))
 
 
 def forward_rates(curve: DataFrame) -> DataFrame:

@@ -38,6 +38,14 @@ def bond_schedule(
     return rows.withColumn("accrual", year_fraction(day_count, F.col("period_start"), F.col("period_end")))
 
 
+def with_payment_dates(instruments: DataFrame, frequency: Convention, calendar: Convention = "USD") -> DataFrame:
+    """Adds `n` and `dates`, the dates k = 0..n of each instrument as an array; the dates are those of `bond_schedule`."""
+    start, end, n = F.col("start_date"), F.col("maturity"), F.col("n")
+    counted = instruments.withColumn("n", D.schedule_count(frequency, start, end))
+    return counted.withColumn("dates", F.transform(
+        F.sequence(F.lit(0), n), lambda k: F.when(k == n, end).otherwise(D.payment_date(start, frequency, k, calendar))))
+
+
 def fixed_amount(notional: Column, rate: Column) -> Column:
     """Coupon of the row's period, with the notional on the last one."""
     coupon = notional * rate * F.col("accrual")

@@ -21,8 +21,9 @@ from sparkcurves.operators import pillars as P
 from sparkcurves.operators import pricing as R
 from sparkcurves.operators import schedules as S
 from sparkcurves.operators import securities as V
+from sparkcurves.operators.dependencies import discount_links as discount_links_of
 from sparkcurves.operators.futures import futures_block
-from sparkcurves.operators.interpolation import interpolate
+from sparkcurves.operators.interpolation import df_at, interpolate, linear_df_at, with_curve
 from sparkcurves.sources import files as IO
 from sparkcurves.sources import market as M
 
@@ -43,15 +44,19 @@ def rounded(name: str, places: int = 8) -> Column:
     return F.round(F.col(name), places).alias(name)
 
 
-def discount_id() -> Column:
-    """Key of the curve that discounts the row's curve."""
-    return F.col("curve_id") % M.DISCOUNT_CURVES + 1
+def discount_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key of the curve that discounts each curve, found by the name in its settings."""
+    return discount_links_of(M.curve_info(spark, sf_dir))
 
 
 def par_quotes(spark: SparkSession, sf_dir: str, pillars: tuple = M.PAR_PILLARS) -> DataFrame:
     return P.definition_join(M.quotes(spark, sf_dir, pillars), pillars)
 
 
+def solved_par(quotes: DataFrame, pillars: tuple = M.PAR_PILLARS, rules: P.CurveRules = P.OIS) -> DataFrame:
+    return B.bootstrap(B.prepare(P.definition_join(quotes, pillars), rules), rules)
+
+
 def par_curve(
     spark: SparkSession, sf_dir: str, pillars: tuple = M.PAR_PILLARS, rules: P.CurveRules = P.OIS
 ) -> DataFrame:
@@ -64,12 +69,13 @@ def today_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def discount_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The few curves that discount all others, stored; the filter reaches the scan.
+    """The few curves that discount others, as the settings name them, in today basis and stored.
 
-    Ten curves by quarters of the calendar: joins see the true size of the stored table and
-    broadcast it while it is small. Beyond that they fall back to a salted shuffle.
+    Only their quotes are solved. Joins see the true size of the stored table and broadcast it while it is small.
     """
-    few = today_curve(spark, sf_dir).where(F.col("curve_id").between(1, M.DISCOUNT_CURVES))
+    wanted = discount_links(spark, sf_dir).select(F.col("discount_id").alias("curve_id")).distinct()
+    quotes = M.quotes(spark, sf_dir).join(wanted, "curve_id", "left_semi")
+    few = P.to_today(solved_par(quotes)).select(*CURVE_KEY, "pos", "type_rate", "days", "df")
     return landed(few.hint("rebalance"))  # a few rows: no need for a file per partition
 
 
@@ -198,7 +204,7 @@ def pillar_match(spark, sf_dir):
     loans = S.with_maturity(M.loans(spark, sf_dir)).withColumn("day", F.datediff("maturity", "val_date"))
     dated = P.with_dates(par_quotes(spark, sf_dir), P.OIS).withColumn("day", F.datediff("end_date", "val_date"))
     first = dated.groupBy(*CURVE_KEY, "day").agg(F.min("pos").alias("pos"))
-    matched = P.by_curve(loans).join(first, [*CURVE_KEY, "day"], "left")
+    matched = loans.join(first, [*CURVE_KEY, "day"], "left")
     return matched.select(
         *CURVE_KEY, "start_date", "tenor", rounded("rate"), "day", "pos", F.col("pos").isNotNull().alias("is_matched")
     )
@@ -208,9 +214,12 @@ def pillar_match(spark, sf_dir):
 def curve_asof_interp(spark, sf_dir):
     """Both interpolations at every day on which some loan of the curve ends."""
     loans = S.with_maturity(M.loans(spark, sf_dir))
-    points = P.by_curve(loans.select(*CURVE_KEY, F.datediff("maturity", "val_date").alias("day"))).distinct()
-    rows = interpolate(points, today_curve(spark, sf_dir), linear=True)
-    return rows.select(*CURVE_KEY, "day", rounded("df"), rounded("df_linear"))
+    points = loans.select(*CURVE_KEY, F.datediff("maturity", "val_date").alias("day")).distinct()
+    rows = with_curve(points, today_curve(spark, sf_dir))
+    return rows.select(
+        *CURVE_KEY, "day", F.round(df_at(F.col("points"), F.col("day")), 8).alias("df"),
+        F.round(linear_df_at(F.col("points"), F.col("day")), 8).alias("df_linear"),
+    )
 
 
 # --- scalar functions --------------------------------------------------------------------------
@@ -408,9 +417,8 @@ def float_leg(spark, sf_dir):
 
 @query
 def swap_dual_curve_pv(spark, sf_dir):
-    values = R.floating_values(
-        dated_loans(spark, sf_dir), today_curve(spark, sf_dir), discount_curves(spark, sf_dir), discount_id()
-    )
+    loans = dated_loans(spark, sf_dir).join(discount_links(spark, sf_dir), "curve_id", "left")
+    values = R.floating_values(loans, today_curve(spark, sf_dir), discount_curves(spark, sf_dir))
     return values.select(
         *CURVE_KEY, "discount_id", "start_date", "tenor", rounded("rate"), "payments", rounded("pv", 4)
     )
@@ -442,14 +450,15 @@ def float_flow_table(spark, sf_dir):
     """
     curve = landed(par_curve(spark, sf_dir))
     projected = interpolate(_flow_points(curve), curve.select(*CURVE_KEY, "days", "df"), name="df_fwd")
-    other = curve.where(F.col("curve_id").between(1, M.DISCOUNT_CURVES)).select(
+    links = discount_links(spark, sf_dir)
+    other = curve.join(links.select(F.col("discount_id").alias("curve_id")).distinct(), "curve_id", "left_semi").select(
         F.col("curve_id").alias("discount_id"), "val_date", "days", "df"
     )
     order = Window.partitionBy(*CURVE_KEY, "tenor").orderBy("k")
     growth = F.lag("df_fwd", 1, 1.0).over(order) / F.col("df_fwd") - 1.0
     flows = projected.withColumn("amount", F.when(F.col("k") == F.col("n"), growth + 1.0).otherwise(growth))
     valued = interpolate(
-        flows.withColumn("discount_id", discount_id()), other, keys=["discount_id", "val_date"], spread="curve_id"
+        flows.join(links, "curve_id", "left"), other, keys=["discount_id", "val_date"], spread="curve_id"
     )
     return valued.select(
         *CURVE_KEY, "tenor", "k", "day", rounded("yfc"), rounded("yf"), rounded("df"), rounded("amount")
@@ -550,8 +559,8 @@ def bootstrap_price_target(spark, sf_dir):
 
 
 def projection_curve(spark, sf_dir, discount: DataFrame) -> DataFrame:
-    pillars = B.prepare(par_quotes(spark, sf_dir, M.PROJECTION_PILLARS), P.PROJECTION)
-    return B.bootstrap_dual(pillars, P.PROJECTION, discount, discount_id())
+    quotes = par_quotes(spark, sf_dir, M.PROJECTION_PILLARS).join(discount_links(spark, sf_dir), "curve_id", "left")
+    return B.bootstrap_dual(B.prepare(quotes, P.PROJECTION), P.PROJECTION, discount)
 
 
 @query
@@ -590,4 +599,4 @@ def par_residual_price_target(spark, sf_dir):
 def par_residual_dual_curve(spark, sf_dir):
     discount = discount_curves(spark, sf_dir)
     curve = landed(projection_curve(spark, sf_dir, discount))
-    return K.residual_summary(K.swap_residuals(curve, discount, discount_id()))
+    return K.residual_summary(K.swap_residuals(curve, discount, discount_links(spark, sf_dir)))
