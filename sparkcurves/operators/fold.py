@@ -12,20 +12,24 @@ In the gap ln df is linear in the unknown, so every par instrument ends as
 
     const + sum_i  p_i * exp(a_i + b_i * y) = 0,      y = ln df(new) - ln df(last)
 
-which Newton's method solves from y = 0; with a single term it is solved outright.
+which Newton's method solves; with a single term it is solved outright. Where all p_i are positive and the b_i have one sign, the
+root is bracketed: at y_i = (ln(-const / p_i) - a_i) / b_i one term alone pays -const, so the nearest of these is on the side where
+the sum is not negative. The sum is convex and monotone, so Newton's steps from there go to the root without passing it, whatever the
+rate. Otherwise (negative rates) they start from y = 0. A pillar that is not solved, and all pillars after it, are NULL.
 
 It is SQL text because the same tree made of Column objects takes seconds to build.
 """
 
 from __future__ import annotations
 
-# Far more than any rate from -5 % to 120 % a year has been seen to need; a pillar that is still not there is unsolved.
+# From the bracket a few steps suffice; a pillar that is still not there is unsolved.
 NEWTON_STEPS = 64
+TOLERANCE = "1e-10D"  # largest residual of a solved pillar
 # A step this small leaves an error of about its square; the steps left over are skipped.
 CLOSE_ENOUGH = "1e-10D"
 
 _START = """named_struct(
-    't', 0, 'l', 0D, 'g', -1, 'anchor', 0D,
+    't', 0, 'l', 0D, 'g', -1, 'anchor', 0D, 'ok', true,
     'cum', cast(array() AS array<double>), 'lf', cast(array() AS array<double>),
     'out', cast(array() AS array<struct<t:int,x:double,r:double>>))"""
 
@@ -48,6 +52,16 @@ def _value(y: str) -> str:
     return f"aggregate(e.terms, named_struct('f', e.const, 'df', 0D), (s, w) -> {step})"
 
 
+def _bracket() -> str:
+    """The end of the root's bracket from which Newton's steps cannot pass it; 0 where there is none."""
+    moving = "filter(e.terms, m -> m.b <> 0D)"
+    still = "aggregate(e.terms, e.const, (c, m) -> if(m.b = 0D, c + m.p * exp(m.a), c))"
+    alone = "transform(moving, m -> (ln(-still / m.p) - m.a) / m.b)"
+    sided = f"if(moving[0].b > 0D, array_min({alone}), array_max({alone}))"
+    fits = "still < 0D AND size(moving) > 0 AND forall(moving, m -> m.p > 0D AND sign(m.b) = sign(moving[0].b))"
+    return _let("moving", moving, _let("still", still, f"if({fits}, {sided}, 0D)"))
+
+
 def _solution() -> str:
     """x = ln df of the new pillar and the residual r left by the equation `e`."""
     move = _let(
@@ -55,7 +69,7 @@ def _solution() -> str:
         _let("h", "try_divide(n.f, n.df)", f"named_struct('y', at.y - h, 'near', abs(h) <= {CLOSE_ENOUGH})"),
     )
     iterated = (
-        f"aggregate(sequence(1, {NEWTON_STEPS}), named_struct('y', 0D, 'near', false), "
+        f"aggregate(sequence(1, {NEWTON_STEPS}), named_struct('y', {_bracket()}, 'near', false), "
         f"(at, i) -> if(at.near, at, {move}), at -> at.y)"
     )
     only = "e.terms[0]"
@@ -137,7 +151,7 @@ def _advance(dual: bool) -> str:
     running = f"concat(acc.cum, aggregate({gains}, cast(array() AS array<double>), (c, v) -> concat(c, {added})))"
     state = f"""named_struct(
         't', p.days, 'l', s.x, 'g', greatest(acc.g, p.grid_count),
-        'anchor', if(p.type_rate = 'OverNight', s.x, acc.anchor),
+        'anchor', if(p.type_rate = 'OverNight', s.x, acc.anchor), 'ok', s.r IS NOT NULL,
         'cum', {running}, 'lf', concat(acc.lf, f),
         'out', concat(acc.out, array(named_struct('t', p.days, 'x', s.x, 'r', s.r))))"""
     return _let("f", factors, state)
@@ -153,6 +167,8 @@ def fold_sql(dual: bool, anchored: bool) -> str:
     solved = _let("e", equation, _solution())
     pillar = f"""if(p.type_rate IN ('Bond', 'Swap'), {solved},
         named_struct('x', {_closed_form(anchored)}, 'r', 0D))"""
+    pillar = _let("found", pillar, f"""if(acc.ok AND exp(found.x) > 0D AND NOT isnan(found.x) AND abs(found.r) <= {TOLERANCE}, found,
+        named_struct('x', cast(NULL AS double), 'r', cast(NULL AS double)))""")
     gap = "slice(dates, acc.g + 2, greatest(p.grid_count - acc.g, 0))"
     step = _let("gap", gap, _let("s", pillar, _advance(dual)))
     # bound out here: projections are merged, and the grid would be built anew for every pillar

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkcurves.cluster import landed
+from sparkcurves.cluster import landed, partition_count
 from sparkcurves.functions.exprs import let
 from sparkcurves.operators.joins import salted_join
-from sparkcurves.operators.pillars import CURVE_KEY
+from sparkcurves.operators.pillars import CURVE_KEY, by_curve
 
 DAY_MIN, DAY_MAX = -(2**31), 2**31 - 1
 
@@ -59,31 +59,51 @@ def gathered(curve: DataFrame, name: str = "points") -> DataFrame:
     return curve.groupBy(*CURVE_KEY).agg(F.array_sort(F.collect_list(pillar)).alias(name))
 
 
-def with_curve(rows: DataFrame, curve: DataFrame, name: str = "points", curve_key: str = "curve_id") -> DataFrame:
-    """Every row with its curve on its date as an array sorted by day; NULL where there is no curve.
+def curve_lines(curve: DataFrame) -> DataFrame:
+    """One row per curve and date: curve_id, val_date, `on_curve`, ready for `with_curve`; stored.
 
-    The gathered curves are stored first. So the join has a plain exchange on either side: adaptive execution broadcasts the
-    curves while they are small, and else deals a (curve, date) that very many rows have over several tasks.
+    Stored once, curves can serve several joins, and Spark knows their size.
     """
-    arrays = landed(gathered(curve, name)).withColumnRenamed("curve_id", curve_key)
-    return rows.join(arrays, [curve_key, "val_date"], "left")
+    return landed(gathered(by_curve(curve)).select(*CURVE_KEY, _lines(F.col("points")).alias("on_curve")))
 
 
-def df_at(points: Column, day: Column) -> Column:
-    return F.exp(log_df_at(points, day))
+def with_curve(rows: DataFrame, lines: DataFrame, name: str = "on_curve", curve_key: str = "curve_id") -> DataFrame:
+    """Every row with its curve on its date; NULL where there is no curve.
 
+    Adaptive execution broadcasts the curves while they are small. Else both sides of the join are plain exchanges, and a
+    (curve, date) that very many rows have is dealt over several tasks.
+    """
+    own = lines.select(F.col("curve_id").alias(curve_key), "val_date", F.col("on_curve").alias(name))
+    return rows.join(own, [curve_key, "val_date"], "left")
 
-def linear_df_at(points: Column, day: Column) -> Column:
-    """Factor interpolated linearly between pillars, flat outside."""
-    passed = F.size(F.filter(points, lambda p: p["t"] <= day))
-    return let(
-        F.struct(F.get(points, passed - 1).alias("lo"), F.get(points, passed).alias("hi")),
-        lambda s: F.when(s["lo"].isNull(), F.exp(s["hi"]["l"])).when(s["hi"].isNull() | (s["lo"]["t"] == day), F.exp(s["lo"]["l"]))
-        .otherwise(let((day - s["lo"]["t"]) / (s["hi"]["t"] - s["lo"]["t"]),
-                       lambda w: w * F.exp(s["hi"]["l"]) + (1.0 - w) * F.exp(s["lo"]["l"]))),
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly over all partitions, whatever their keys, for work that is heavy for its few bytes."""
+    return rows.repartition(partition_count(rows.sparkSession))
+
+
+def _lines(points: Column) -> Column:
+    """A gathered curve as struct(ts, at, y, slope): line i of ln df, from day at[i] on, holds where i pillars are passed."""
+    def slope(p: Column, i: Column) -> Column:
+        after = F.get(points, i + 1)
+        return F.coalesce((after["l"] - p["l"]) / (after["t"] - p["t"]), F.lit(0.0))
+
+    first, days = F.get(points, 0), F.transform(points, lambda p: p["t"])
+    return F.struct(
+        days.alias("ts"),
+        F.concat(F.array(first["t"]), days).alias("at"),
+        F.concat(F.array(first["l"]), F.transform(points, lambda p: p["l"])).alias("y"),
+        F.concat(F.array(F.lit(0.0)), F.transform(points, slope)).alias("slope"),
     )
 
 
+def factors_at(on_curve: Column, days: Column) -> Column:
+    """Factors at an array of days, on a curve as `with_curve` adds it; NULL factors on a NULL curve."""
+    passed = F.transform(days, lambda d: F.size(F.filter(on_curve["ts"], lambda t: t <= d)))
+    return F.zip_with(days, passed, lambda d, i: F.exp(
+        F.get(on_curve["y"], i) + F.get(on_curve["slope"], i) * (d - F.get(on_curve["at"], i))))
+
+
 def log_df_at(points: Column, day: Column) -> Column:
     """ln df at a day on a gathered curve: log-linear inside, flat outside."""
     passed = F.size(F.filter(points, lambda p: p["t"] <= day))

@@ -2,78 +2,72 @@
 
 A loan is priced within its own row: its payment dates are an array, its curve is another, and the factors at the dates are read
 from the one with the other. Rows are never matched by their values, so equal loans stay apart, and the only join is that with
-the curves.
+the curves. Curves are given as `interpolation.curve_lines` stores them. Loans are dealt evenly over all tasks, so that a book on one
+curve and date is priced by all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkcurves.functions.accrual import year_fraction
-from sparkcurves.functions.exprs import let
-from sparkcurves.operators.interpolation import df_at, with_curve
+from sparkcurves.operators.interpolation import dealt, factors_at, with_curve
 from sparkcurves.operators.pillars import CURVE_KEY
 from sparkcurves.operators.schedules import with_payment_dates
 
 
-def _periods(body, day_count: str) -> Column:
-    """body(k, from, to, accrual, day) of every payment k = 1..n of the row's `dates`."""
-    def period(k: Column) -> Column:
-        ends = F.struct(F.get("dates", k - 1).alias("start"), F.get("dates", k).alias("end"))
-        return let(ends, lambda e: body(k, e["start"], e["end"], year_fraction(day_count, e["start"], e["end"]), F.datediff(e["end"], "val_date")))
-
-    return F.transform(F.sequence(F.lit(1), F.col("n")), period)
+def _payments(body: Callable[[Column], Column]) -> Column:
+    """body(k) for every payment k = 1..n of the row."""
+    return F.transform(F.sequence(F.lit(1), F.col("n")), body)
 
 
 def _total(amounts: Column) -> Column:
     return F.aggregate(amounts, F.lit(0.0), lambda total, amount: total + amount)
 
 
+def _dated(loans: DataFrame, lines: DataFrame, frequency: str, calendar: str = "USD") -> DataFrame:
+    """Loans with `dates` and `days` of k = 0..n, and `factors` of their curve at each of them."""
+    rows = with_payment_dates(with_curve(dealt(loans), lines), frequency, calendar)
+    rows = rows.withColumn("days", F.transform("dates", lambda d: F.datediff(d, "val_date")))
+    return rows.withColumn("factors", factors_at(F.col("on_curve"), F.col("days"))).drop("on_curve")
+
+
 def bond_values(
-    loans: DataFrame, curve: DataFrame, frequency: str, calendar: str = "USD", day_count: str = "ACT/360"
+    loans: DataFrame, lines: DataFrame, frequency: str, calendar: str = "USD", day_count: str = "ACT/360"
 ) -> DataFrame:
     """Every loan with `pv`, the sum of its discounted flows, and `payments`; one row per row.
 
     `loans` have curve_id, val_date, start_date, maturity, rate and notional; all their columns are kept. A loan whose
     curve is missing on its date has a NULL value.
     """
-    dated = with_payment_dates(with_curve(loans, curve), frequency, calendar)
-
-    def discounted(k: Column, start: Column, end: Column, accrual: Column, day: Column) -> Column:
-        coupon = F.col("notional") * F.col("rate") * accrual
-        return F.when(k == F.col("n"), F.col("notional") + coupon).otherwise(coupon) * df_at(F.col("points"), day)
-
-    return dated.select(*loans.columns, F.col("n").cast("long").alias("payments"), _total(_periods(discounted, day_count)).alias("pv"))
-
-
-def _projected(loans: DataFrame, projection: DataFrame, frequency: str) -> DataFrame:
-    """Loans with their payment dates and `factors`, the projection curve at each of them."""
-    dated = with_payment_dates(with_curve(loans, projection), frequency)
-    return dated.withColumn("factors", F.transform("dates", lambda d: df_at(F.col("points"), F.datediff(d, "val_date")))).drop("points")
+    accrued = _total(_payments(lambda k: year_fraction(day_count, F.get("dates", k - 1), F.get("dates", k)) * F.get("factors", k)))
+    pv = F.col("notional") * (F.col("rate") * accrued + F.get("factors", F.col("n")))
+    return _dated(loans, lines, frequency, calendar).select(*loans.columns, F.col("n").cast("long").alias("payments"), pv.alias("pv"))
 
 
 def _growth(k: Column) -> Column:
     return F.get("factors", k - 1) / F.get("factors", k) - 1.0
 
 
-def _float_amount(k: Column, growth: Column) -> Column:
-    coupon = F.col("notional") * growth
-    return F.when(k == F.col("n"), F.col("notional") + coupon).otherwise(coupon)
-
-
 def floating_flows(loans: DataFrame, projection: DataFrame, frequency: str = "Quarterly") -> DataFrame:
     """Floating payments: the loan's columns, n, k, its period, accrual, day, forward rate and amount.
 
     The forward of a period is the ratio of the projection factors at its ends; each date is read once. Loans without a
     projection curve keep their payments, with NULL forwards and amounts.
     """
-    def flow(k: Column, start: Column, end: Column, accrual: Column, day: Column) -> Column:
-        return let(_growth(k), lambda growth: F.struct(
-            k.alias("k"), start.alias("period_start"), end.alias("period_end"), accrual.alias("accrual"), day.alias("day"),
-            F.try_divide(growth, accrual).alias("forward_rate"), _float_amount(k, growth).alias("amount")))
-
-    return _projected(loans, projection, frequency).select(*loans.columns, "n", F.inline(_periods(flow, "ACT/360")))
+    flows = _payments(lambda k: F.struct(
+        k.alias("k"), F.get("dates", k - 1).alias("period_start"), F.get("dates", k).alias("period_end"), F.get("days", k).alias("day"),
+        _growth(k).alias("growth")))
+    rows = _dated(loans, projection, frequency).select(*loans.columns, "n", F.inline(flows))
+    coupon = F.col("notional") * F.col("growth")
+    rows = rows.withColumn("accrual", year_fraction("ACT/360", F.col("period_start"), F.col("period_end")))
+    return rows.withColumns({
+        "forward_rate": F.try_divide("growth", "accrual"),
+        "amount": F.when(F.col("k") == F.col("n"), F.col("notional") + coupon).otherwise(coupon),
+    }).drop("growth")
 
 
 def floating_values(loans: DataFrame, projection: DataFrame, discount: DataFrame, frequency: str = "Quarterly") -> DataFrame:
@@ -81,12 +75,11 @@ def floating_values(loans: DataFrame, projection: DataFrame, discount: DataFrame
 
     `discount_id` names each loan's discount curve. A loan that lacks either curve on its date has a NULL value.
     """
-    rows = with_curve(_projected(loans, projection, frequency), discount, "other", "discount_id")
-
-    def discounted(k: Column, start: Column, end: Column, accrual: Column, day: Column) -> Column:
-        return _float_amount(k, _growth(k)) * df_at(F.col("other"), day)
-
-    return rows.select(*loans.columns, F.col("n").cast("long").alias("payments"), _total(_periods(discounted, "ACT/360")).alias("pv"))
+    rows = with_curve(_dated(loans, projection, frequency), discount, "other", "discount_id")
+    rows = rows.withColumn("discounts", factors_at(F.col("other"), F.col("days")))
+    coupons = _total(_payments(lambda k: _growth(k) * F.get("discounts", k)))
+    pv = F.col("notional") * (coupons + F.get("discounts", F.col("n")))
+    return rows.select(*loans.columns, F.col("n").cast("long").alias("payments"), pv.alias("pv"))
 
 
 def forward_rates(curve: DataFrame) -> DataFrame:

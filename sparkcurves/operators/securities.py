@@ -50,6 +50,11 @@ def price_universe(prices: DataFrame) -> DataFrame:
     return ranked.withColumn("maturity", F.date_add("fecha", F.col("plazo")))
 
 
+def of_issuer(prices: DataFrame, issuer: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Securities of one issuer whose kind is in a list."""
+    return prices.where(F.col("tipo_valor").isin(*kinds) & (F.col("emisora") == issuer))
+
+
 def classified(prices: DataFrame) -> DataFrame:
     return prices.withColumn("tipo", F.when(F.col("tasa_cupon") == 0, "Cero Cupon").otherwise("Bullet"))
 

@@ -356,6 +356,17 @@ SELECT p_partkey, fecha, instrumento, round(tasa_cupon, 8) AS tasa_cupon,
     CASE WHEN tasa_cupon = 0 THEN 'Cero Cupon' ELSE 'Bullet' END AS tipo
 FROM prices WHERE tipo_valor = 'SP'""")
 
+select("price_issuer", PRICES, """
+SELECT p_partkey, fecha, instrumento, tipo_valor, emisora, precio_sucio, dias_venc
+FROM prices WHERE tipo_valor IN ('S', 'SP') AND emisora = 'PROMO'""")
+
+_DEFINED = ", ".join(f"({kind}, {i}, '{tenor}', '{what}')" for kind, own in _DEFINITIONS.items() for i, (tenor, what) in enumerate(own, 1))
+select("definition_scan", "", f"""
+SELECT s_name AS curve_name, s_suppkey AS curve_id, pos, tenor, type_rate
+FROM supplier JOIN (VALUES {_DEFINED}) AS d(kind, pos, tenor, type_rate) ON kind = s_nationkey % 3 WHERE s_name = 'Supplier#000000007'""")
+
+select("definition_table_saved", INFO, "SELECT * FROM info")
+
 select("price_deflated", f"""{PRICES},
 levels AS (
     SELECT CAST(date_trunc('quarter', o_orderdate) AS DATE) AS fecha,
@@ -443,6 +454,16 @@ SELECT id_curve, pay_freq,
     round(CASE pay_freq WHEN 'Annual' THEN 364 WHEN 'SemiAnnual' THEN 182 WHEN 'Quarterly' THEN 91 ELSE 28 END / 360.0::DOUBLE, 8) AS yf_mxn
 FROM info""")
 
+_FREQUENCIES = {"None": (1, 1), "Daily": (1, 360), "Annual": (1, 1), "SemiAnnual": (1, 2), "Quarterly": (1, 4), "Monthly": (1, 12)}
+_MXN_FRACTIONS = {"Annual": "364 / 360.0::DOUBLE", "SemiAnnual": "182 / 360.0::DOUBLE",
+                  "Quarterly": "91 / 360.0::DOUBLE", "Monthly": "28 / 360.0::DOUBLE"}
+select("frequency_yf_all", "named AS (SELECT s_suppkey AS id_curve, (['None', 'Daily', 'Annual', 'SemiAnnual', 'Quarterly', 'Monthly'])[s_suppkey % 6 + 1] "
+       "AS frequency FROM supplier)", f"""
+SELECT id_curve, frequency,
+    round(CASE frequency {' '.join(f"WHEN '{n}' THEN {a} / {b}.0::DOUBLE" for n, (a, b) in _FREQUENCIES.items())} END, 8) AS yf_usd,
+    round(CASE frequency {' '.join(f"WHEN '{n}' THEN {v}" for n, v in _MXN_FRACTIONS.items())} END, 8) AS yf_mxn
+FROM named""")
+
 select("payment_counts", f"""{LINES},
 ranges AS (SELECT DISTINCT start_date, tenor, end_date FROM lines)""", f"""
 SELECT start_date, tenor, end_date,
@@ -501,6 +522,7 @@ SELECT curve_id, val_date, from_day, days,
 FROM pairs WHERE from_day IS NOT NULL""")
 
 FLOATING = f"""{par_curve()},
+{INFO},
 {TODAY},
 {segments('today')},
 {loans()},
@@ -511,7 +533,8 @@ floats AS (
     SELECT ends.*, {factor('day0', 's0')} / {factor('day', 's1')} - 1.0::DOUBLE AS growth
     FROM ends JOIN segments s0 ON {on_segment('ends', 'day0', 's0')} JOIN segments s1 ON {on_segment('ends', 'day', 's1')}),
 paid AS (
-    SELECT *, notional * growth + CASE WHEN k = n THEN notional ELSE 0.0::DOUBLE END AS amount, 1 + curve_id % 10 AS discount_id FROM floats)"""
+    SELECT floats.*, notional * growth + CASE WHEN k = n THEN notional ELSE 0.0::DOUBLE END AS amount, named.id_curve AS discount_id
+    FROM floats JOIN info own ON own.id_curve = floats.curve_id LEFT JOIN info named ON named.name = own.dsct_curve)"""
 
 select("float_leg", FLOATING, f"""
 SELECT curve_id, val_date, start_date, tenor, {r8('rate')}, k, period_start, period_end, day,
@@ -567,6 +590,9 @@ select("curve_short_end", f"{dated()},\n{NIGHTS}", """
 SELECT d.curve_id, d.val_date, pos, start_date, end_date, days, round(CASE pos WHEN 1 THEN df1 ELSE df2 END, 8) AS df
 FROM dated d JOIN night USING (curve_id, val_date) WHERE type_rate = 'OverNight'""")
 
+select("curve_short_end_zero", dated(M.MXN_PILLARS, "MXN", "same_day"), """
+SELECT curve_id, val_date, pos, start_date, end_date, days, round(simple_df, 8) AS df FROM dated WHERE type_rate = 'OverNight'""")
+
 select("curve_cash_block", f"{dated()},\n{NIGHTS}", f"""
 SELECT d.curve_id, d.val_date, pos, end_date, days, round(simple_df, 8) AS df,
     {days_between('d.val_date', 'end_date')} AS days_today, round(simple_df * df2, 8) AS df_today

@@ -6,6 +6,7 @@ present values. Amounts that are plain products keep more, so that none lies on
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,7 +24,7 @@ from sparkcurves.operators import schedules as S
 from sparkcurves.operators import securities as V
 from sparkcurves.operators.dependencies import discount_links as discount_links_of
 from sparkcurves.operators.futures import futures_block
-from sparkcurves.operators.interpolation import df_at, interpolate, linear_df_at, with_curve
+from sparkcurves.operators.interpolation import curve_lines, interpolate
 from sparkcurves.sources import files as IO
 from sparkcurves.sources import market as M
 
@@ -31,6 +32,8 @@ CURVE_KEY = P.CURVE_KEY
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+SCANNED_CURVE = "Supplier#000000007"
+POINTS = 10**9  # more than the percent points of any quote
 # Units of the tenors made from quantities, by line number.
 TENOR_SUFFIXES = ("D", "W", "M", "Q", "S", "Y", ".5Y")
 
@@ -132,6 +135,15 @@ def curve_definition(spark, sf_dir):
     return renamed.where(F.col("mkt_desc") == "Bond/Swap rate").na.drop("any")
 
 
+@query
+def definition_scan(spark, sf_dir):
+    """Definition of one curve by its name, from a stored table of all curves' definitions."""
+    names = M.curve_info(spark, sf_dir).select(F.col("id_curve").alias("curve_id"), F.col("name").alias("curve_name"))
+    folder = shared_folder(spark)
+    IO.write_definitions(M.definitions(spark, sf_dir).join(names, "curve_id"), folder)
+    return IO.scan_definition(spark, folder, SCANNED_CURVE).select("curve_name", "curve_id", "pos", "tenor", "type_rate")
+
+
 @query
 def definition_audit(spark, sf_dir):
     info = K.definition_audit(M.curve_info(spark, sf_dir), ["id_curve"], "curve_info")
@@ -139,6 +151,16 @@ def definition_audit(spark, sf_dir):
     return info.unionByName(K.definition_audit(lines, ["l_orderkey", "l_linenumber"], "lineitem"))
 
 
+@query
+def definition_table_saved(spark, sf_dir):
+    """Settings of all curves, audited and saved as a table of the catalog, and read back."""
+    table = f"curve_info_{uuid.uuid4().hex}"
+    IO.publish_table(M.curve_info(spark, sf_dir), ["id_curve"], table)
+    saved = landed(spark.table(table))
+    spark.sql(f"DROP TABLE {table}")
+    return saved
+
+
 @query
 def curve_reload(spark, sf_dir):
     """Stored-curve round trip: write the text layout to shared storage and read it back."""
@@ -163,6 +185,13 @@ def price_classified(spark, sf_dir):
     return rows.select("p_partkey", "fecha", "instrumento", rounded("tasa_cupon"), "tipo")
 
 
+@query
+def price_issuer(spark, sf_dir):
+    """Bills and funds of one issuer."""
+    rows = V.of_issuer(M.prices(spark, sf_dir), "PROMO", ("S", "SP"))
+    return rows.select("p_partkey", "fecha", "instrumento", "tipo_valor", "emisora", "precio_sucio", "dias_venc")
+
+
 @query
 def price_deflated(spark, sf_dir):
     rows = V.deflated(M.prices(spark, sf_dir), M.index_levels(spark, sf_dir))
@@ -179,13 +208,15 @@ def rate_lookup(spark, sf_dir):
     First is the lowest order key, then the lowest rate: a minimum over both, combined on the map side.
     """
     points = M.percent_points(F.col("l_discount")) + M.percent_points(F.col("l_tax"))
+    # one exact number, so that the minimum stays a hash aggregate
+    ranked = F.col("l_orderkey").cast("decimal(28,0)") * F.lit(POINTS).cast("decimal(10,0)") + points.cast("decimal(10,0)")
     first = (
         IO.read_table(spark, sf_dir, "lineitem")
         .groupBy(
             F.col("l_suppkey").alias("curve_id"), M.quarter(F.col("l_shipdate")).alias("val_date"),
             F.col("l_linenumber").alias("pos"),
         )
-        .agg((F.min(F.struct(F.col("l_orderkey"), points.alias("points")))["points"] / 200.0).alias("mid"))
+        .agg((F.pmod(F.min(ranked), F.lit(POINTS)).cast("long") / 200.0).alias("mid"))
         .withColumn("tenor", M.pillar_tenor(F.col("pos")))
     )
     rows = P.definition_join(first, M.PAR_PILLARS)
@@ -214,12 +245,9 @@ def pillar_match(spark, sf_dir):
 def curve_asof_interp(spark, sf_dir):
     """Both interpolations at every day on which some loan of the curve ends."""
     loans = S.with_maturity(M.loans(spark, sf_dir))
-    points = loans.select(*CURVE_KEY, F.datediff("maturity", "val_date").alias("day")).distinct()
-    rows = with_curve(points, today_curve(spark, sf_dir))
-    return rows.select(
-        *CURVE_KEY, "day", F.round(df_at(F.col("points"), F.col("day")), 8).alias("df"),
-        F.round(linear_df_at(F.col("points"), F.col("day")), 8).alias("df_linear"),
-    )
+    points = P.by_curve(loans.select(*CURVE_KEY, F.datediff("maturity", "val_date").alias("day"))).distinct()
+    rows = interpolate(points, today_curve(spark, sf_dir), linear=True)
+    return rows.select(*CURVE_KEY, "day", rounded("df"), rounded("df_linear"))
 
 
 # --- scalar functions --------------------------------------------------------------------------
@@ -312,6 +340,19 @@ def frequency_yf(spark, sf_dir):
     )
 
 
+@query
+def frequency_yf_all(spark, sf_dir):
+    """Every frequency that has a fraction of its own, by curve."""
+    names = ("None", "Daily", *M.PAY_FREQUENCIES)
+    own = choose(F.col("id_curve") % len(names), {i: F.lit(name) for i, name in enumerate(names)})
+    rows = M.curve_info(spark, sf_dir).select("id_curve", own.alias("frequency"))
+    return rows.select(
+        "id_curve", "frequency",
+        F.round(frequency_fraction(F.col("frequency"), "USD"), 8).alias("yf_usd"),
+        F.round(frequency_fraction(F.col("frequency"), "MXN"), 8).alias("yf_mxn"),
+    )
+
+
 @query
 def payment_counts(spark, sf_dir):
     start, end = F.col("start_date"), F.col("maturity")
@@ -389,14 +430,14 @@ def imm_strip(spark, sf_dir):
 @query
 def bond_pv(spark, sf_dir):
     loans = S.with_maturity(M.loans(spark, sf_dir))
-    values = R.bond_values(loans, today_curve(spark, sf_dir), "SemiAnnual")
+    values = R.bond_values(loans, curve_lines(today_curve(spark, sf_dir)), "SemiAnnual")
     return values.select(*CURVE_KEY, "start_date", "tenor", rounded("rate"), "payments", rounded("pv", 4))
 
 
 @query
 def bond_pv_mxn(spark, sf_dir):
     loans = S.with_maturity(M.loans(spark, sf_dir), "MXN")
-    values = R.bond_values(loans, today_curve(spark, sf_dir), "SemiAnnual", "MXN")
+    values = R.bond_values(loans, curve_lines(today_curve(spark, sf_dir)), "SemiAnnual", "MXN")
     return values.select(*CURVE_KEY, "start_date", "tenor", rounded("rate"), "payments", rounded("pv", 4))
 
 
@@ -408,7 +449,7 @@ def forward_rates(spark, sf_dir):
 
 @query
 def float_leg(spark, sf_dir):
-    rows = R.floating_flows(dated_loans(spark, sf_dir), today_curve(spark, sf_dir))
+    rows = R.floating_flows(dated_loans(spark, sf_dir), curve_lines(today_curve(spark, sf_dir)))
     return rows.select(
         *CURVE_KEY, "start_date", "tenor", rounded("rate"), "k", "period_start", "period_end", "day",
         rounded("forward_rate"), rounded("amount", 4),
@@ -418,7 +459,8 @@ def float_leg(spark, sf_dir):
 @query
 def swap_dual_curve_pv(spark, sf_dir):
     loans = dated_loans(spark, sf_dir).join(discount_links(spark, sf_dir), "curve_id", "left")
-    values = R.floating_values(loans, today_curve(spark, sf_dir), discount_curves(spark, sf_dir))
+    lines = curve_lines(today_curve(spark, sf_dir))  # project their own loans; some curves discount those of others, too
+    values = R.floating_values(loans, lines, lines)
     return values.select(
         *CURVE_KEY, "discount_id", "start_date", "tenor", rounded("rate"), "payments", rounded("pv", 4)
     )
@@ -474,6 +516,13 @@ def curve_short_end(spark, sf_dir):
     return rows.select(*CURVE_KEY, "pos", "start_date", "end_date", "days", rounded("df"))
 
 
+@query
+def curve_short_end_zero(spark, sf_dir):
+    """Zero kind: one overnight factor, not rolled, and no second night."""
+    rows = P.short_end(closed_pillars(spark, sf_dir, M.MXN_PILLARS, P.GOVERNMENT_MXN))
+    return rows.select(*CURVE_KEY, "pos", "start_date", "end_date", "days", rounded("df"))
+
+
 @query
 def curve_cash_block(spark, sf_dir):
     rows = P.cash_block(closed_pillars(spark, sf_dir))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +17,8 @@ STORED_CURVE_SCHEMA = "start_date DATE, end_date DATE, days INT, df DOUBLE"
 STORED_PANEL_SCHEMA = f"{STORED_CURVE_SCHEMA}, curve_id BIGINT, val_date DATE"
 DEFINITION_SCHEMA = "curve_name STRING, tenor STRING, mkt_desc STRING"
 QUOTE_FILE_PATTERN = r"([^/]+)_(\d{8})\.csv$"
+FILE_PATTERN = r"([^/]+)\.csv$"
+DEFINITION_SLICES = 64  # folders of a stored definition table; a folder for each curve would make as many files as curves
 
 # Partitions that hold rows of several dates when curves are written, per slice of a date.
 PARTITIONS_PER_SLICE = 8
@@ -26,6 +31,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def read_quote_files(spark: SparkSession, path: str) -> DataFrame:
     """All quote files under a path in one scan; '<curve>_<yyyymmdd>.csv' gives curve and date.
 
+    A name without a date, or with one that is none, gives a NULL `val_date`, so that its rows can be told and set aside.
+
     `pos` is the order of the instrument inside its own file. Row order inside one file is
     kept by `_metadata.file_block_start` plus the row id of the split, so a file larger than
     a split still numbers right.
@@ -38,8 +45,8 @@ def read_quote_files(spark: SparkSession, path: str) -> DataFrame:
     )
     order = Window.partitionBy("_file").orderBy("_block", "_row")
     return rows.select(
-        F.regexp_extract("_file", QUOTE_FILE_PATTERN, 1).alias("curve_id"),
-        F.to_date(F.regexp_extract("_file", QUOTE_FILE_PATTERN, 2), "yyyyMMdd").alias("val_date"),
+        F.coalesce(F.nullif(F.regexp_extract("_file", QUOTE_FILE_PATTERN, 1), F.lit("")), F.regexp_extract("_file", FILE_PATTERN, 1)).alias("curve_id"),
+        F.try_to_date(F.regexp_extract("_file", QUOTE_FILE_PATTERN, 2), "yyyyMMdd").alias("val_date"),
         F.row_number().over(order).alias("pos"),
         "tenor", "type_rate", "bid", "ask", "mid",
     )
@@ -111,11 +118,48 @@ def write_stored_curve(curve: DataFrame, path: str) -> None:
     )
 
 
+def write_definitions(definitions: DataFrame, path: str) -> None:
+    """A definition table (curve_name, ...) in folders by a hash of the curve's name, for `scan_definition`."""
+    sliced = definitions.withColumn("slice", F.pmod(F.xxhash64("curve_name"), F.lit(DEFINITION_SLICES)).cast("int"))
+    sliced.repartition(partition_count(definitions.sparkSession), "slice").write.partitionBy("slice").parquet(path)
+
+
 def select_definition(spark: SparkSession, definitions: DataFrame, curve_name: str) -> DataFrame:
     """Definition rows of one curve by a parameterised statement; the filter reaches the source."""
     return spark.sql("SELECT * FROM {definitions} WHERE curve_name = :name", args={"name": curve_name}, definitions=definitions)
 
 
+def scan_definition(spark: SparkSession, path: str, curve_name: str) -> DataFrame:
+    """As `select_definition`, on a table that `write_definitions` stored: reads one folder of it, and there the curve's rows."""
+    stored = spark.read.parquet(path)
+    return spark.sql(
+        f"SELECT * FROM {{stored}} WHERE slice = CAST(pmod(xxhash64(:name), {DEFINITION_SLICES}L) AS INT) AND curve_name = :name",
+        args={"name": curve_name}, stored=stored,
+    ).drop("slice")
+
+
+def publish_table(rows: DataFrame, key: list[str], table: str) -> None:
+    """Save a table whose columns must not be NULL and whose key must be unique, after its audit.
+
+    The rows are written to a staging table, audited there and only then take the old table's place: what is published is
+    what was audited. A table that breaks a rule is refused with its first offending keys, and the old one stays.
+    """
+    spark = rows.sparkSession
+    staged = f"{table}_staged_{uuid.uuid4().hex}"
+    rows.write.saveAsTable(staged)
+    try:
+        stored = spark.table(staged)
+        repeated = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+        missing = stored.where(reduce(or_, [F.col(c).isNull() for c in rows.columns])).select(*key)
+        found = missing.union(repeated).limit(5).collect()
+        if found:
+            raise ValueError(f"{table}: missing values or repeated keys, such as {', '.join(str(r.asDict()) for r in found)}")
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+        spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+
+
 def write_definition_table(definitions: DataFrame, violations: DataFrame, table: str) -> None:
     """Save a definition table unless its audit found violations."""
     broken = [r["check_name"] for r in violations.where(F.col("violations") > 0).collect()]

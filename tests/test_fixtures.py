@@ -65,7 +65,7 @@ DUAL = [
 def test_dual_curves(spark, name, date, libor, lscale, ois, oscale, first, df1, last, df2):
     discount = P.to_today(solve(spark, date, ois, oscale, P.OIS))
     pillars = B.prepare(quotes_of(spark, "L", date, libor, lscale), P.PROJECTION)
-    rows = by_tenor(B.bootstrap_dual(pillars, P.PROJECTION, discount, F.lit("X")))
+    rows = by_tenor(B.bootstrap_dual(pillars.withColumn("discount_id", F.lit("X")), P.PROJECTION, discount))
     assert all(r["converged"] for r in rows.values())
     assert rows[first]["df"] == pytest.approx(df1, abs=1e-9)
     assert rows[last]["df"] == pytest.approx(df2, abs=1e-9)
