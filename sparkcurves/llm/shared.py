@@ -22,15 +22,12 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 # --- stored results ---------------------------------------------------------------------------------------------------
 
 def store_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where none is set (tests on one machine), a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    have = spark.sparkContext.getCheckpointDir()
-    if have is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="llm-store-"))
-        have = spark.sparkContext.getCheckpointDir()
-    return have.rstrip("/")
+    """The folder named by spark.checkpoint.dir, or the checkpoint folder that is set; where there is none, one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_stored"
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
 
 
 def _remove(spark: SparkSession, folder: str) -> None:
