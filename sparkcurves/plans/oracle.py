@@ -617,6 +617,19 @@ select("futures_chain", FUTURES, f"SELECT curve_id, val_date, pos, tenor, start_
 
 select("curve_zero_basis", f"{par_curve()},\n{TODAY}", f"SELECT curve_id, val_date, pos, tenor, days, {r8('df')} FROM today")
 
+select("quote_files", f"""quotes AS (
+    SELECT s_nationkey AS nation, {QUARTER} AS val_date, l_linenumber AS line, v.tenor, v.type_rate, count(*) AS n,
+           CAST(sum(least({DISC}, {TAX})) AS DOUBLE) / (count(*) * 100.0::DOUBLE) AS bid,
+           CAST(sum(greatest({DISC}, {TAX})) AS DOUBLE) / (count(*) * 100.0::DOUBLE) AS ask,
+           CAST(sum({DISC} + {TAX}) AS DOUBLE) / (count(*) * 200.0::DOUBLE) AS mid
+    FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN {values_of(M.PAR_PILLARS)} ON v.pos = l_linenumber
+    GROUP BY ALL)""", f"""
+SELECT CAST(nation AS VARCHAR) AS file_name, n_name AS curve_id, val_date,
+       row_number() OVER (PARTITION BY nation, val_date ORDER BY line) AS pos, tenor, type_rate, {r8('bid')}, {r8('ask')},
+       CASE WHEN n >= {M.THIN} THEN round(mid, 8) + 0.0 END AS mid,
+       CASE WHEN n < {M.THIN} THEN 'bad line' WHEN n_name IS NULL THEN 'no curve' END AS reject
+FROM quotes LEFT JOIN (SELECT * FROM nation WHERE n_regionkey <> 0) ON n_nationkey = nation""")
+
 for _name in ("curve_two_basis", "curve_store"):
     select(_name, f"{par_curve()},\n{TODAY}", f"""
 SELECT curve_id, val_date, 't' AS basis, pos, days, {r8('df')} FROM today

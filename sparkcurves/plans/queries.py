@@ -112,6 +112,19 @@ def quote_side(spark, sf_dir):
     return picked.select(*CURVE_KEY, "pos", "tenor", "side", rounded("rate"))
 
 
+@query
+def quote_files(spark, sf_dir):
+    """Quotes written as one file per nation and quarter and read back; what no curve uses or can be read stays as a reject."""
+    folder = shared_folder(spark)
+    IO.write_quote_files(M.nation_quotes(spark, sf_dir), folder)
+    nations = IO.read_table(spark, sf_dir, "nation").where("n_regionkey <> 0")
+    names = nations.select(F.col("n_nationkey").cast("string").alias("file_name"), F.col("n_name").alias("curve_id"))
+    rows = IO.read_quote_files(spark, folder, IO.QUOTE_FOLDER_PATTERN, names)
+    return rows.select(
+        "file_name", *CURVE_KEY, "pos", "tenor", "type_rate", rounded("bid"), rounded("ask"), rounded("mid"), "reject",
+    )
+
+
 @query
 def quotes_by_type(spark, sf_dir):
     bonds = M.quotes(spark, sf_dir).where(F.col("type_rate").isin("Bond"))

@@ -38,6 +38,7 @@ DEFINITIONS = (
 PAY_FREQUENCIES = ("Annual", "SemiAnnual", "Quarterly", "Monthly")
 DAY_COUNTS = ("ACT/360", "ACT/365F", "30/360", "30E/360")
 DISCOUNT_CURVES = 10
+THIN = 8  # a vendor gives no mid quote on fewer sales
 
 
 def pillar_tenor(pos: Column, pillars: tuple = PAR_PILLARS) -> Column:
@@ -95,6 +96,27 @@ def quotes(spark: SparkSession, sf_dir: str, pillars: tuple = PAR_PILLARS) -> Da
     )
 
 
+def nation_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes as a vendor sends them: one file per nation and quarter, a mid quote of few sales as text.
+
+    Sales are grouped by supplier before they meet the supplier's nation.
+    """
+    discount, tax = percent_points(F.col("l_discount")), percent_points(F.col("l_tax"))
+    sold = (
+        read_table(spark, sf_dir, "lineitem")
+        .groupBy(F.col("l_suppkey").alias("s_suppkey"), quarter(F.col("l_shipdate")).alias("val_date"), F.col("l_linenumber").alias("pos"))
+        .agg(F.sum(F.least(discount, tax)).alias("low"), F.sum(F.greatest(discount, tax)).alias("high"), F.count(F.lit(1)).alias("n"))
+    )
+    nations = read_table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("file_name"))
+    grouped = sold.join(nations, "s_suppkey").groupBy("file_name", "val_date", "pos").agg(*[F.sum(c).alias(c) for c in ("low", "high", "n")])
+    mid = (F.col("low") + F.col("high")) / (F.col("n") * 200.0)
+    return grouped.select(
+        "file_name", "val_date", "pos", pillar_tenor(F.col("pos")).alias("tenor"), pillar_type(F.col("pos")).alias("type_rate"),
+        (F.col("low") / (F.col("n") * 100.0)).alias("bid"), (F.col("high") / (F.col("n") * 100.0)).alias("ask"),
+        F.when(F.col("n") < THIN, "n/a").otherwise(mid.cast("string")).alias("mid"),
+    )
+
+
 def curve_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every curve and date that has a quote."""
     return read_table(spark, sf_dir, "lineitem").select(
