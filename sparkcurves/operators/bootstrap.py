@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkcurves.cluster import landed
 from sparkcurves.functions import dates as D
 from sparkcurves.functions.accrual import year_fraction
 from sparkcurves.functions.exprs import let
@@ -22,6 +23,7 @@ from sparkcurves.operators.joins import salted_join
 from sparkcurves.operators.pillars import CURVE_KEY, CurveRules, with_dates, with_simple_df
 
 TOLERANCE = 1e-10
+SHARED_KEY = ["discount_id", "val_date", "spot_date"]
 
 _RESULT_FIELDS = (
     "pos", "tenor", "type_rate", "rate", "is_missing", "start_date", "end_date", "days", "payments", "target",
@@ -51,8 +53,8 @@ def with_schedule(pillars: DataFrame, rules: CurveRules) -> DataFrame:
     })
 
 
-def _grid(spot: Column, base: Column, rules: CurveRules, discount: Column | None) -> Column:
-    """Payment dates k = 0, 1, ... up to the last pillar: day, accrual since k-1, factor P."""
+def _grid(spot: Column, base: Column, rules: CurveRules, last: Column, discount: Column | None) -> Column:
+    """Payment dates k = 0, 1, ... up to `last`: day, accrual since k-1, factor P."""
 
     def point(k: Column) -> Column:
         ends = F.struct(
@@ -65,16 +67,20 @@ def _grid(spot: Column, base: Column, rules: CurveRules, discount: Column | None
             (F.lit(0.0) if discount is None else F.exp(log_df_at(discount, F.datediff(e["date"], base)))).alias("discount"),
         ))
 
-    last = F.greatest(F.array_max(F.transform("pillars", lambda p: p["grid_count"])), F.lit(0))
     return F.transform(F.sequence(F.lit(0), last), point)
 
 
+def _last_grid_index() -> Column:
+    return F.greatest(F.array_max(F.transform("pillars", lambda p: p["grid_count"])), F.lit(0))
+
+
 def bootstrap(pillars: DataFrame, rules: CurveRules, settings: list[str] | None = None) -> DataFrame:
     """Curve rows with `df`, the solver's own `residual` and `converged`.
 
     `settings` names the columns that rules given as columns read; they are fixed per curve.
     """
-    return _solve_rows(gather_pillars(pillars, settings or []), rules, None)
+    rows = gather_pillars(pillars, settings or [])
+    return _folded(rows.withColumn("grid", _grid(F.col("spot_date"), _base(rules), rules, _last_grid_index(), None)), rules, dual=False)
 
 
 def gather_pillars(pillars: DataFrame, settings: list[str] = ()) -> DataFrame:
@@ -94,24 +100,31 @@ def bootstrap_dual(
     the one each projection curve uses. The fixed leg's value there is the target of the floating
     leg. The swaps of a curve without a discount curve on its date stay unsolved.
     """
-    rows = gather_pillars(pillars, ["discount_id"])
-    other = gathered(discount, "discount").select(
-        F.col("curve_id").alias("discount_id"), "val_date", "discount"
-    )
-    rows = salted_join(rows, other, ["discount_id", "val_date"], spread="curve_id", how="left")
+    rows = landed(gather_pillars(pillars, ["discount_id"]))
+    shared = landed(_shared_legs(rows, rules, gathered(discount, "discount"), fixed_frequency, fixed_day_count))
+    rows = salted_join(rows, shared, SHARED_KEY, spread="curve_id", how="left")
 
     aimed = rows.withColumn("pillars", _aimed(rules, fixed_frequency, fixed_day_count))
-    return _solve_rows(aimed, rules, F.col("discount"))
+    return _folded(aimed, rules, dual=True)
 
 
-def _aimed(rules: CurveRules, frequency: str, day_count: str) -> Column:
-    """Pillars with the discount factor at their end, and for swaps the fixed leg's value.
+def _counted_from(rules: CurveRules) -> Column:
+    return F.col("spot_date") if rules.count_from == "spot" else F.col("val_date")
+
 
-    The fixed legs of one curve share their payment dates too: the discounted annuity is run up
-    once and every swap takes its part of it, plus its own last payment.
+def _base(rules: CurveRules) -> Column:
+    return F.col("spot_date") if rules.base == "spot" else F.col("val_date")
+
+
+def _shared_legs(rows: DataFrame, rules: CurveRules, discount: DataFrame, frequency: str, day_count: str) -> DataFrame:
+    """What all curves with one discount curve and spot date share, once: `discount`, `grid` and `annuity`.
+
+    Their payment dates are the same from spot on, and so are the discount factors there. `annuity` is the fixed leg's
+    running value by number of payments. Both are as long as the longest of these curves needs.
     """
-    spot, today, discount = F.col("spot_date"), F.col("val_date"), F.col("discount")
-    counted_from = spot if rules.count_from == "spot" else today
+    spot, today = F.col("spot_date"), F.col("val_date")
+    count = F.array_max(F.transform("pillars", lambda p: D.schedule_count(frequency, _counted_from(rules), p["end_date"])))
+    longest = rows.groupBy(*SHARED_KEY).agg(F.max(_last_grid_index()).alias("last"), F.max(count).alias("payments"))
 
     def paid(k: Column) -> Column:
         ends = F.struct(
@@ -119,35 +132,44 @@ def _aimed(rules: CurveRules, frequency: str, day_count: str) -> Column:
             D.payment_date(spot, frequency, k, rules.calendar).alias("date"),
         )
         return let(ends, lambda e: year_fraction(day_count, e["before"], e["date"])
-                   * F.exp(log_df_at(discount, F.datediff(e["date"], today))))
+                   * F.exp(log_df_at(F.col("discount"), F.datediff(e["date"], today))))
 
-    def aim(p: Column, annuity: Column) -> Column:
-        factor = F.exp(log_df_at(discount, p["days"]))
-        count = D.schedule_count(frequency, counted_from, p["end_date"])
+    steps = F.when(F.col("payments") > 1, F.transform(F.sequence(F.lit(1), F.col("payments") - 1), paid)).otherwise(
+        F.array().cast("array<double>"))
+    running = F.aggregate(
+        steps, F.array(F.lit(0.0)), lambda c, v: F.concat(c, F.array(F.get(c, F.size(c) - 1) + v))
+    )
+    other = discount.withColumnRenamed("curve_id", "discount_id")
+    return longest.join(other, ["discount_id", "val_date"], "left").select(
+        *SHARED_KEY, "discount", _grid(spot, _base(rules), rules, F.col("last"), F.col("discount")).alias("grid"), running.alias("annuity"),
+    )
+
+
+def _aimed(rules: CurveRules, frequency: str, day_count: str) -> Column:
+    """Pillars with the discount factor at their end, and for swaps the fixed leg's value: the part of the
+    shared annuity up to the last payment, and that payment."""
+
+    def aim(p: Column) -> Column:
+        factor = F.exp(log_df_at(F.col("discount"), p["days"]))
+        count = D.schedule_count(frequency, _counted_from(rules), p["end_date"])
 
         def value(n: Column) -> Column:
-            last = year_fraction(day_count, D.payment_date(spot, frequency, n - 1, rules.calendar), p["end_date"])
+            last = year_fraction(day_count, D.payment_date(F.col("spot_date"), frequency, n - 1, rules.calendar), p["end_date"])
             return let(factor, lambda f: p.withField("discount", f).withField(
                 "target",
-                F.when(p["type_rate"] == "Swap", p["rate"] * F.get(annuity, n - 1) + (1.0 + p["rate"] * last) * f)
+                F.when(p["type_rate"] == "Swap", p["rate"] * F.get("annuity", n - 1) + (1.0 + p["rate"] * last) * f)
                 .otherwise(p["target"]),
             ))
 
         return let(count, value)
 
-    longest = F.array_max(F.transform("pillars", lambda p: D.schedule_count(frequency, counted_from, p["end_date"])))
-    steps = F.when(longest > 1, F.transform(F.sequence(F.lit(1), longest - 1), paid)).otherwise(F.array().cast("array<double>"))
-    running = F.aggregate(
-        steps, F.array(F.lit(0.0)), lambda c, v: F.concat(c, F.array(F.get(c, F.size(c) - 1) + v))
-    )
-    return let(running, lambda annuity: F.transform("pillars", lambda p: aim(p, annuity)))
+    return F.transform("pillars", aim)
 
 
-def _solve_rows(rows: DataFrame, rules: CurveRules, discount: Column | None) -> DataFrame:
-    base = F.col("spot_date") if rules.base == "spot" else F.col("val_date")
-    gridded = rows.withColumn("grid", _grid(F.col("spot_date"), base, rules, discount))
-    solve = fold_sql(dual=discount is not None, anchored=rules.base == "today")
-    folded = gridded.withColumn("solved", F.expr(solve))
+def _folded(rows: DataFrame, rules: CurveRules, dual: bool) -> DataFrame:
+    """Curve rows of gathered `pillars` on their `grid`; without a grid no swap is solved."""
+    dated = rows.withColumn("grid", F.coalesce("grid", F.array().cast(rows.schema["grid"].dataType)))
+    folded = dated.withColumn("solved", F.expr(fold_sql(dual=dual, anchored=rules.base == "today")))
     zipped = F.transform(
         "pillars",
         lambda p, i: F.struct(

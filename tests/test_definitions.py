@@ -86,6 +86,27 @@ def test_a_chain_of_three_is_solved_level_by_level(spark):
     assert {r["pos"]: r["df"] for r in alone} == {p: r["df"] for (c, p), r in found.items() if c == 3}
 
 
+def test_curves_share_the_discounted_dates_of_their_longest(spark):
+    """A short and a long curve on one discount curve are solved as each would be alone; one on another, or on none, too."""
+    short = [("ON", "OverNight"), ("TN", "OverNight"), ("3M", "Cash"), ("2Y", "Swap")]
+    long = [*short, ("5Y", "Swap"), ("30Y", "Swap")]
+    on = {1: (short, 8), 2: (long, 8), 3: (short, 9), 4: (long, None), 5: ([("ON", "OverNight"), ("TN", "OverNight")], 8)}
+    rows = [(c, DATE, i, t, k, 0.01 + 0.001 * i, False) for c, (own, _) in on.items() for i, (t, k) in enumerate(own, 1)]
+    prepared = B.prepare(spark.createDataFrame(rows, QUOTE_SCHEMA.replace("curve_id STRING", "curve_id LONG")), P.PROJECTION)
+    prepared = prepared.join(links(spark, [(c, d) for c, (_, d) in on.items()]), "curve_id")
+    discount = spark.createDataFrame([(c, DATE, d, base ** (d / 365)) for c, base in ((8, 0.98), (9, 0.96)) for d in (1, 90, 365, 1500, 12000)],
+                                     "curve_id LONG, val_date DATE, days INT, df DOUBLE")
+    together = {(r["curve_id"], r["pos"]): (r["df"], r["converged"]) for r in B.bootstrap_dual(prepared, P.PROJECTION, discount).collect()}
+    assert len(together) == len(rows)
+    for curve, (own, other) in on.items():
+        alone = B.bootstrap_dual(prepared.where(F.col("curve_id") == curve), P.PROJECTION, discount).collect()
+        assert {(curve, r["pos"]): (r["df"], r["converged"]) for r in alone} == {k: v for k, v in together.items() if k[0] == curve}
+        assert all(together[curve, i][1] == (other is not None or k != "Swap") for i, (_, k) in enumerate(own, 1))
+    gathered = B.gather_pillars(prepared, ["discount_id"])
+    shared = B._shared_legs(gathered, P.PROJECTION, B.gathered(discount, "discount"), "SemiAnnual", "30/360").collect()
+    assert sorted((r["discount_id"] or 0) for r in shared) == [0, 8, 9]
+
+
 def book(spark, rows):
     frame = spark.createDataFrame(rows, "curve_id LONG, val_date DATE, start_date DATE, tenor STRING, rate DOUBLE, notional DOUBLE")
     return S.with_maturity(frame).withColumn("discount_id", F.lit(1).cast("long"))
