@@ -364,11 +364,12 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
             opened = opened.join(deeper, ["class", "tree"])
         members = _sorted_out(_with_root(opened, of, "class", "root"), pairs_per_class)
         members = _store(members, "mixed-regions")
-        found.append(_small_pairs(members.where("small"), active, values, percent))
+        found.append(members.where("small").select("class", "key", "root"))
         opened = members.where("not small").select("class", "tree")
         if opened.isEmpty():
             break
-    rest = _store(reduce(DataFrame.union, found).distinct().join(tried, ["a", "b"], "left_anti"), "region-candidates")
+    small = _small_pairs(reduce(DataFrame.union, found), active, values, percent)
+    rest = _store(small.distinct().join(tried, ["a", "b"], "left_anti"), "region-candidates")
     if not rest.isEmpty():
         links = _store(links.union(_confirmed(rest, sets, percent)), "links")
         of = _store(S.components(links), "components")
@@ -395,7 +396,7 @@ def _sorted_out(members: DataFrame, pairs_per_class: int) -> DataFrame:
 def _small_pairs(small: DataFrame, active: DataFrame, values: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different roots in small regions whose signatures allow the threshold."""
     # a pair that shares several of these regions is made in the first of them alone
-    small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class
+    small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class and depth
     small = small.select("class", "root", "key", "keys").join(_shown(active, values), "class")
     x = small.select("key", F.col("class").alias("a"), F.col("root").alias("ra"), F.col("keys").alias("ka"), F.col("shown").alias("sa"))
     y = small.select("key", F.col("class").alias("b"), F.col("root").alias("rb"), F.col("keys").alias("kb"), F.col("shown").alias("sb"))
