@@ -48,8 +48,50 @@ def targets(sizes: Sequence[float], weights: Sequence[float], total: float, most
 def route(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], passes: int = MOST_PASSES) -> list[dict[int, int]]:
     """Words from each pattern (member sources, size) to each source: as much of the quotas as can be met, with the least repetition cost.
 
-    Pass number k over a pattern costs k * k a word. Successive shortest paths; integers throughout.
+    Pass number k over a pattern costs k * k a word; integers throughout. Patterns that share no source, directly or over others, do not compete:
+    each such component is routed by itself. One of a single pattern needs no flow, as its words cost the same whichever source they go to.
     """
+    out: list[dict[int, int]] = [{} for _ in patterns]
+    for own in components(patterns, len(quotas)):
+        if len(own) == 1:
+            members, size = patterns[own[0]]
+            left = int(size) * passes
+            for s in sorted(set(members)):
+                given = min(left, int(quotas[s]))
+                left -= given
+                if given > 0:
+                    out[own[0]][s] = given
+            continue
+        sources = sorted({s for p in own for s in patterns[p][0]})
+        number = {s: i for i, s in enumerate(sources)}
+        flows = _flow([([number[s] for s in sorted(set(patterns[p][0]))], patterns[p][1]) for p in own], [quotas[s] for s in sources], passes)
+        for p, flow in zip(own, flows, strict=True):
+            out[p] = {sources[s]: words for s, words in flow.items()}
+    return out
+
+
+def components(patterns: Sequence[tuple[Sequence[int], int]], sources: int) -> list[list[int]]:
+    """Patterns (their places) that share sources, directly or over others; patterns without a source are left out."""
+    parent = list(range(sources))
+
+    def root(s: int) -> int:
+        while parent[s] != s:
+            parent[s] = parent[parent[s]]
+            s = parent[s]
+        return s
+
+    for members, _ in patterns:
+        for s in members[1:]:
+            parent[root(s)] = root(members[0])
+    found: dict[int, list[int]] = {}
+    for p, (members, _) in enumerate(patterns):
+        if members:
+            found.setdefault(root(members[0]), []).append(p)
+    return list(found.values())
+
+
+def _flow(patterns: Sequence[tuple[Sequence[int], int]], quotas: Sequence[int], passes: int) -> list[dict[int, int]]:
+    """The routing of one component, by successive shortest paths."""
     n, m = len(patterns), len(quotas)
     source, sink = n + m, n + m + 1
     graph: list[list[list]] = [[] for _ in range(n + m + 2)]  # edge: to, capacity, cost, index of the reverse edge

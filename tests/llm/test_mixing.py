@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 from itertools import product
 
@@ -79,3 +80,27 @@ def test_overlapping_sources_share_documents(spark):
 
 def test_empty_table(spark):
     assert M.mix_by_source(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_disjoint_sources_need_no_flow():
+    sizes = [1 + i % 97 for i in range(20_000)]
+    quotas = [(i * 7919) % 400 for i in range(20_000)]
+    got = M.route([([i], size) for i, size in enumerate(sizes)], quotas)
+    assert [sum(flow.values()) for flow in got] == [min(3 * size, quota) for size, quota in zip(sizes, quotas, strict=True)]
+
+
+def test_components_are_routed_as_the_whole():
+    random.seed(11)
+    for _ in range(40):
+        members = [sorted(random.sample(range(9), random.choice((1, 1, 2, 3)))) for _ in range(random.randrange(1, 9))]
+        patterns = [(m, random.randrange(0, 30)) for m in {tuple(m): m for m in members}.values()] + [([], 5)]
+        quotas = [random.randrange(0, 60) for _ in range(9)]
+
+        def cost(flows):
+            left = [sum(flow.values()) for flow in flows]
+            return sum(left), sum(max(0, min(size, n - (k - 1) * size)) * k * k for (_, size), n in zip(patterns, left, strict=True) for k in (1, 2, 3))
+
+        got = M.route(patterns, quotas)
+        assert cost(got) == cost(M._flow(patterns, quotas, 3))
+        assert all(sum(flow.get(s, 0) for flow in got) <= quotas[s] for s in range(9))
+        assert all(set(flow) <= set(m) for flow, (m, _) in zip(got, patterns, strict=True))
