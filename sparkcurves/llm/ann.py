@@ -1,13 +1,14 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-* Trees are grown on a bounded sample. Every node splits its sample at the median of a random projection, turned towards the directions in which
-  the sample varies. Every row is then sent down every tree to a leaf.
+* Trees are grown on a bounded sample, as deep as makes a leaf hold about `leaf` rows of the whole table (a small table is one leaf a tree). Every
+  node splits its sample at the median of a random projection, turned towards the directions in which the sample varies. Every row is then sent
+  down every tree to a leaf.
 * A query searches all trees through one priority queue: the branch whose splitting planes lie nearest to the query is opened next, whatever
   tree it belongs to. It opens `effort` leaves.
 * The effort is measured, not guessed: some queries are answered by brute force, and the leaves that hold their true neighbours tell how many
   must be opened for the wanted recall.
-* Leaf candidates are ranked exactly, in double precision, by leaf blocks against the queries that opened the leaf. Blocks of rows and of queries are
-  bounded, so a leaf that a third of all (equal) vectors fall into is many blocks; each block hands on its best k a query.
+* Leaf candidates are ranked exactly, in double precision, leaf by leaf against the queries that opened the leaf and no others. Blocks of rows and
+  of queries are bounded, so a leaf that a third of all (equal) vectors fall into is many blocks; each block hands on its best k a query.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from sparkcurves.llm import shared as S
 
 SAMPLE = 20_000  # vectors that the trees are grown on, at most
 TREES = 6
-DEPTH = 5  # levels of splits: 32 leaves a tree
+LEAF = 1024  # rows of the table in a leaf, about
+GROWN = 8  # vectors of the sample in a leaf, at least; with `SAMPLE` it bounds the depth at 11 levels
 PROBES = 96  # queries answered by brute force to measure recall
 RECALL = 0.95
 BLOCK = 4096  # rows or queries in a block, about
@@ -67,7 +69,12 @@ class Forest:
             yield t, node - nodes
 
 
-def grow(sample: np.ndarray, trees: int = TREES, depth: int = DEPTH, seed: int = 0, turns: int = 2) -> Forest:
+def depth_for(rows: int, sampled: int, leaf: int = LEAF) -> int:
+    """Levels of splits that leave about `leaf` of all rows, and at least `GROWN` of the sampled ones, in a leaf."""
+    return max(0, int(np.floor(min(np.log2(max(rows, 1) / leaf) + 0.5, np.log2(max(sampled, 1) / GROWN)))))
+
+
+def grow(sample: np.ndarray, trees: int, depth: int, seed: int = 0, turns: int = 2) -> Forest:
     rng = np.random.Generator(np.random.PCG64(seed))
     nodes = (1 << depth) - 1
     directions, cuts = np.zeros((trees, nodes, sample.shape[1])), np.zeros((trees, nodes))
@@ -114,14 +121,13 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     return query_ids[q], row_ids[v], score[q, v]
 
 
-def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, depth: int = DEPTH,
+def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, leaf: int = LEAF,
             sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """embeddings(vec_id, embedding), a condition on its columns that makes a row a query -> query_id, rank, vec_id, score.
 
     Score is the inner product in double precision; the k best found of all rows but the query's own id, ties to the smaller id. Rows take no part
     whose id or vector is null, or whose vector is zero, has null or non-finite numbers, or another length than most have. Rows that repeat an
-    id and vector count once; an id with several vectors counts by its best one. A table with no more than `block` usable rows is searched
-    whole. An empty table gives an empty result; other columns are ignored.
+    id and vector count once; an id with several vectors counts by its best one. An empty table gives an empty result; other columns are ignored.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select(embeddings[f"`{vec_id}`"].cast("long").alias("id"), embeddings[f"`{embedding}`"].cast("array<double>").alias("vector"), query.alias("asks"))
@@ -135,6 +141,7 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()  # at most `sample` vectors
     if not taken.num_rows:
         return spark.createDataFrame([], schema)
+    depth = depth_for(rows.count(), taken.num_rows, leaf)
     forest = grow(_matrix(taken.column("vector").combine_chunks(), dimensions), trees, depth, seed)
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,12 +153,9 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
     placed = index.select("id", "vector", F.posexplode("leaves").alias("tree", "leaf"))
     counts = {(r["tree"], r["leaf"]): r["n"] for r in index.select(F.posexplode("leaves").alias("tree", "leaf")).groupBy("tree", "leaf").agg(
         F.count("*").alias("n")).collect()}  # trees * leaves rows
-    total = sum(n for (t, _), n in counts.items() if t == 0)
     asking = index.where("asks").select(F.col("id").alias("query_id"), F.col("vector").alias("query"))
-    n_asking = asking.count()
-    effort = len(counts) if total <= block else _effort(index, asking, forest, counts, k, recall, probes, dimensions)
+    effort = _effort(index, asking, forest, counts, k, recall, probes, dimensions)
     row_blocks = {key: -(-n // block) for key, n in counts.items()}
-    query_blocks = max(1, -(-n_asking // block))
     least = 2 * (k + 1) * trees
 
     def open_leaves(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -169,11 +173,14 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
         return pa.record_batch({"query_id": batch.column("query_id").take(picked), "query": batch.column("query").take(picked),
                                 "tree": pa.array(tree, pa.int32()), "leaf": pa.array(leaf, pa.int64()), "part": pa.array(part, pa.int64())})
 
-    visits = S.map_arrow(asking, S.arrow_map(open_leaves), "query_id long, query array<double>, tree int, leaf long, part long")
-    visits = visits.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)))
-    lookup = spark.createDataFrame([(t, x, n) for (t, x), n in row_blocks.items()], "tree int, leaf long, parts long")  # trees * leaves rows
-    held = placed.join(F.broadcast(lookup), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts"))
-    held = held.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(query_blocks - 1).cast("long"))))
+    visits = S.store(S.map_arrow(asking, S.arrow_map(open_leaves), "query_id long, query array<double>, tree int, leaf long, part long"), "visits")
+    # one row a leaf: into how many blocks its rows, and the queries that opened it, are split
+    lookup = visits.where("part = 0").groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("long").alias("groups"))
+    parts = spark.createDataFrame([(t, x, n) for (t, x), n in row_blocks.items()], "tree int, leaf long, parts long")  # trees * leaves rows
+    lookup = F.broadcast(lookup.join(F.broadcast(parts), ["tree", "leaf"]))
+    visits = visits.join(lookup.drop("parts"), ["tree", "leaf"]).withColumn("group", F.pmod(F.xxhash64("query_id"), "groups"))
+    held = placed.join(lookup, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64(F.lit(1), "id"), "parts"))
+    held = held.withColumn("group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     keys = ["tree", "leaf", "part", "group"]
 
     def rank_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
