@@ -1,14 +1,15 @@
 """Approximate nearest neighbours by a forest of random-projection trees.
 
-* Trees are grown on a bounded sample, as deep as makes a leaf hold about `leaf` rows of the whole table (a small table is one leaf a tree). Every
-  node splits its sample at the median of a random projection, turned towards the directions in which the sample varies. Every row is then sent
-  down every tree to a leaf.
+* Trees are grown on a bounded sample, as deep as leaves about sqrt(rows) / `few` leaves a tree (a very small table is one leaf). Every node splits
+  its sample at the median of a random projection, turned towards the directions in which the sample varies. Every row is then sent down every
+  tree to a leaf.
 * A query searches all trees through one priority queue: the branch whose splitting planes lie nearest to the query is opened next, whatever
   tree it belongs to. It opens `effort` leaves.
 * The effort is measured, not guessed: some queries are answered by brute force, and the leaves that hold their true neighbours tell how many
   must be opened for the wanted recall.
 * Leaf candidates are ranked exactly, in double precision, leaf by leaf against the queries that opened the leaf and no others. Blocks of rows and
-  of queries are bounded, so a leaf that a third of all (equal) vectors fall into is many blocks; each block hands on its best k a query.
+  of queries are bounded, so a leaf that a third of all (equal) vectors fall into is many blocks. A query's first leaves, one a tree on average, give it a floor, the k-th best score so far; blocks
+  hand on their best k a query, and of the other leaves only rows that reach the floor.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from sparkcurves.llm import shared as S
 
 SAMPLE = 20_000  # vectors that the trees are grown on, at most
 TREES = 6
-LEAF = 1024  # rows of the table in a leaf, about
+FEW = 3  # a tree has about sqrt(rows) / FEW leaves
 GROWN = 8  # vectors of the sample in a leaf, at least; with `SAMPLE` it bounds the depth at 11 levels
 PROBES = 96  # queries answered by brute force to measure recall
 RECALL = 0.95
@@ -69,9 +70,9 @@ class Forest:
             yield t, node - nodes
 
 
-def depth_for(rows: int, sampled: int, leaf: int = LEAF) -> int:
-    """Levels of splits that leave about `leaf` of all rows, and at least `GROWN` of the sampled ones, in a leaf."""
-    return max(0, int(np.floor(min(np.log2(max(rows, 1) / leaf) + 0.5, np.log2(max(sampled, 1) / GROWN)))))
+def depth_for(rows: int, sampled: int, few: float = FEW) -> int:
+    """Levels of splits that make about sqrt(rows) / `few` leaves, with at least `GROWN` of the sampled rows in a leaf."""
+    return max(0, int(np.floor(min(np.log2(max(rows, 1)) / 2 - np.log2(few) + 0.5, np.log2(max(sampled, 1) / GROWN)))))
 
 
 def grow(sample: np.ndarray, trees: int, depth: int, seed: int = 0, turns: int = 2) -> Forest:
@@ -105,15 +106,16 @@ def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dimensions)
 
 
-def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the k nearest rows of each query; equal vectors have equal scores, ties go to the smaller id."""
+def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int,
+          floor: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, score) of the k nearest rows of each query that reach its floor; equal vectors have equal scores, ties go to the smaller id."""
     order = np.argsort(row_ids, kind="stable")
     rows, row_ids = rows[order], row_ids[order]
     score = np.einsum("qd,vd->qv", queries, rows)  # one fixed order of summation, unlike a blocked product
     score[query_ids[:, None] == row_ids[None, :]] = -np.inf
     have = min(k, len(rows))
     least = np.partition(score, len(rows) - have, axis=1)[:, len(rows) - have]
-    q, v = np.nonzero((score >= least[:, None]) & (score > -np.inf))
+    q, v = np.nonzero((score >= np.maximum(least, floor)[:, None]) & (score > -np.inf))
     order = np.lexsort((row_ids[v], -score[q, v], q))
     q, v = q[order], v[order]
     rank = np.arange(len(q)) - np.searchsorted(q, q)
@@ -121,7 +123,7 @@ def _best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids:
     return query_ids[q], row_ids[v], score[q, v]
 
 
-def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, leaf: int = LEAF,
+def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", trees: int = TREES, few: float = FEW,
             sample: int = SAMPLE, recall: float = RECALL, probes: int = PROBES, block: int = BLOCK, seed: int = 0) -> DataFrame:
     """embeddings(vec_id, embedding), a condition on its columns that makes a row a query -> query_id, rank, vec_id, score.
 
@@ -141,7 +143,7 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
     taken = rows.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").toArrow()  # at most `sample` vectors
     if not taken.num_rows:
         return spark.createDataFrame([], schema)
-    depth = depth_for(rows.count(), taken.num_rows, leaf)
+    depth = depth_for(rows.count(), taken.num_rows, few)
     forest = grow(_matrix(taken.column("vector").combine_chunks(), dimensions), trees, depth, seed)
 
     def send(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -159,7 +161,7 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
     least = 2 * (k + 1) * trees
 
     def open_leaves(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at, tree, leaf, part = [], [], [], []
+        at, tree, leaf, part, turn = [], [], [], [], []
         for i, vector in enumerate(_matrix(batch.column("query"), dimensions)):
             opened = reached = 0
             for t, x in forest.visits(vector):
@@ -168,12 +170,12 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
                 opened += 1
                 reached += counts.get((t, x), 0)
                 for p in range(row_blocks.get((t, x), 0)):
-                    at.append(i), tree.append(t), leaf.append(x), part.append(p)
+                    at.append(i), tree.append(t), leaf.append(x), part.append(p), turn.append(opened)
         picked = pa.array(at, pa.int64())
         return pa.record_batch({"query_id": batch.column("query_id").take(picked), "query": batch.column("query").take(picked),
-                                "tree": pa.array(tree, pa.int32()), "leaf": pa.array(leaf, pa.int64()), "part": pa.array(part, pa.int64())})
+                                "tree": pa.array(tree, pa.int32()), "leaf": pa.array(leaf, pa.int64()), "part": pa.array(part, pa.int64()), "turn": pa.array(turn, pa.int32())})
 
-    visits = S.store(S.map_arrow(asking, S.arrow_map(open_leaves), "query_id long, query array<double>, tree int, leaf long, part long"), "visits")
+    visits = S.store(S.map_arrow(asking, S.arrow_map(open_leaves), "query_id long, query array<double>, tree int, leaf long, part long, turn int"), "visits")
     # one row a leaf: into how many blocks its rows, and the queries that opened it, are split
     lookup = visits.where("part = 0").groupBy("tree", "leaf").agg(F.ceil(F.count("*") / block).cast("long").alias("groups"))
     parts = spark.createDataFrame([(t, x, n) for (t, x), n in row_blocks.items()], "tree int, leaf long, parts long")  # trees * leaves rows
@@ -188,17 +190,26 @@ def nearest(embeddings: DataFrame, query: Column, k: int = 20, vec_id: str = "ve
             return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
         out = []
         own, ids = np.vstack(left["vector"].to_numpy()), left["id"].to_numpy()
-        ask, ask_ids = np.vstack(right["query"].to_numpy()), right["query_id"].to_numpy()
+        ask, ask_ids, floor = np.vstack(right["query"].to_numpy()), right["query_id"].to_numpy(), right["floor"].to_numpy()
         for i in range(0, len(ask), 512):
-            out.append(_best(ask[i : i + 512], ask_ids[i : i + 512], own, ids, k))
+            out.append(_best(ask[i : i + 512], ask_ids[i : i + 512], own, ids, k, floor[i : i + 512]))
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), (np.concatenate(c) for c in zip(*out, strict=True)), strict=True)))
 
     S.ship(spark)
-    found = held.select(*keys, "id", "vector").groupBy(*keys).cogroup(visits.select(*keys, "query_id", "query").groupBy(*keys)).applyInPandas(
-        rank_block, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    def compare(visits: DataFrame) -> DataFrame:
+        asks = visits.select(*keys, "query_id", "query", "floor").groupBy(*keys)
+        return held.select(*keys, "id", "vector").groupBy(*keys).cogroup(asks).applyInPandas(rank_block, "query_id long, vec_id long, score double")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return found.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+    first = S.store(ranked(compare(visits.where(F.col("turn") <= trees).withColumn("floor", F.lit(float("-inf"))))), "first-leaves")
+    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
+    others = visits.where(F.col("turn") > trees).join(floors, "query_id", "left").fillna(float("-inf"), "floor")
+    return ranked(first.select("query_id", "vec_id", "score").unionByName(compare(others)))
 
 
 def _effort(index: DataFrame, asking: DataFrame, forest: Forest, counts: dict, k: int, recall: float, probes: int, dimensions: int) -> int:
