@@ -2,11 +2,12 @@
 
 1. Candidates: the words around every line that shares a telling word with a template, read over line ends in overlapping windows, each longer than
    any template; comment marks are no words. The telling words come from the templates; a native filter drops texts without any before Python runs.
-2. A template whose own words are nearly all in a window is aligned with it, and the differences counted. Blanks in a template (words in angle
-   brackets) match anything. Every stretch that differs in few words is a notice, unless a better notice claims its words.
-3. A notice is compressed once by itself and once with its template as a raw Zstandard dictionary, and counts when that saves enough.
-4. A line with a telling word but without a notice is compressed with each template; the one that makes it smallest, relative to its size alone, ranks
-   first and is reported as not confirmed.
+2. A window is compressed once by itself and once with each template as a raw Zstandard dictionary. The templates that make it smaller are its
+   candidates, ranked by what they save; no other template is looked at.
+3. Exact wording confirms candidates in that order: the template is aligned with the window and the differences counted. Blanks in a template (words
+   in angle brackets) match anything. Every stretch that differs in few words, and that its template alone shortens enough, is a notice, unless a
+   better notice claims its words.
+4. A line with a telling word but without a notice is judged by itself in the same way and reported with the template that ranks first.
 """
 
 from __future__ import annotations
@@ -91,6 +92,21 @@ def _compressors(templates: tuple[tuple[str, str], ...], level: int):
     return plain, each
 
 
+@lru_cache(maxsize=8)
+def _word_compressors(templates: tuple[tuple[str, str], ...], level: int):
+    """Compressors for runs of bare words: a template's dictionary is its words between single spaces, without blanks."""
+    return _compressors(tuple((name, " ".join(["", *(w for w in words(text) if w[0] != "<"), ""])) for name, text in templates), level)
+
+
+def candidates(window: list[str], templates: tuple[tuple[str, str], ...], level: int) -> list[int]:
+    """Templates that make a window of words smaller when it is compressed with them, the largest saving first."""
+    plain, each = _word_compressors(templates, level)
+    data = " ".join(window).encode()
+    alone = len(plain.compress(data))
+    saved = [alone - len(c.compress(data)) for c in each]
+    return sorted((i for i in range(len(each)) if saved[i] > 0), key=lambda i: (-saved[i], i))
+
+
 def blocks(line: str, templates: tuple[tuple[str, str], ...]) -> list[str]:
     """The line, or if it is long, stretches of its words that overlap by more than the longest template."""
     longest = max(len(text.split()) for _, text in templates) + 8
@@ -169,7 +185,7 @@ def _found(own: list[str], template: int, lo: int, hi: int, templates: tuple[tup
 
 def notices(lines: list[str], hits: list[int], templates: tuple[tuple[str, str], ...], level: int, most_changed: float, least_saved: int) -> list[tuple]:
     """(first line, last line, license, bytes alone, bytes given, reduction, missing, added, replaced, True) of all notices around some lines of a text."""
-    plain, each = _compressors(templates, level)
+    plain, each = _word_compressors(templates, level)
     aims = _aims(templates)
     reach = 2 * max(len(aim) for aim, _, _ in aims) + 8
     by_line: dict[int, list[str]] = {}
@@ -197,7 +213,7 @@ def notices(lines: list[str], hits: list[int], templates: tuple[tuple[str, str],
         raw = [w for i in range(low, high + 1) for w in read(i)]
         line_of = [i for i in range(low, high + 1) for _ in read(i)]
         own = [w.lower() for w in raw]
-        found = {f for lo in range(0, max(len(own) - reach, 1), reach) for i in range(len(each))
+        found = {f for lo in range(0, max(len(own) - reach, 1), reach) for i in candidates(own[lo : lo + 2 * reach], templates, level)
                  for f in _found(own, i, lo, min(lo + 2 * reach, len(own)), templates, most_changed)}
         kept: list[tuple] = []
         for f in sorted(found, key=lambda f: (f[0] / -f[1] > 0, f[1], f[0], f[2:])):  # exact ones first, then the longest templates
@@ -235,8 +251,8 @@ def scan(documents: DataFrame, templates: Mapping[str, str] | None = None, level
 
     A confirmed row for each notice, which may run over lines and stand beside others: a stretch of words of which no more than `most_changed` of the
     template's words differ and at least `least_saved` bytes are saved. Where the words of several templates are the same, the exact or longest one
-    counts. `line` counts the text's lines from 0 and is the notice's first. A line with a telling word that no notice covers has a row, not
-    confirmed, with the nearest of the templates that save `least_saved` bytes, ties by size. Null and empty texts have no candidates; equal lines
+    counts. `line` counts the text's lines from 0 and is the notice's first. A line with a telling word that no notice covers has a row with the
+    nearest of the templates that save `least_saved` bytes, ties by size; it is confirmed only if the line's own wording is as near. Null and empty texts have no candidates; equal lines
     have a row each; a null doc_id stays null; lines may be of any length. An empty table gives an empty result; other columns are ignored.
     """
     chosen = tuple(sorted((templates or TEMPLATES).items()))

@@ -1,3 +1,4 @@
+import random
 from itertools import product
 
 from sparkcurves.llm import licenses as L
@@ -72,3 +73,41 @@ def test_all_notices_of_a_line(spark):
             (5, f"Copyright (c) 2020 Jane Doe. {mit} All rights reserved."), (6, L.TEMPLATES["Apache-2.0-header"])]
     assert confirmed(spark, rows) == [(1, 0, "Apache-2.0"), (1, 0, "all-rights-reserved"), (2, 1, "Apache-2.0"), (2, 1, "MIT"), (3, 0, "Apache-2.0"), (3, 0, "MIT"),
                                       (3, 0, "MIT"), (3, 0, "MIT"), (4, 0, "MIT"), (4, 1, "MIT"), (5, 0, "MIT"), (5, 0, "copyright"), (6, 0, "Apache-2.0-header")]
+
+
+CHOSEN = tuple(sorted(L.TEMPLATES.items()))
+
+
+def odd_text(rng):
+    """Notices with some words changed, between other words that are partly the templates' own."""
+    telling = [w for text in L.TEMPLATES.values() for w in text.split()] + [f"word{i}" for i in range(60)]
+    out = []
+    for _ in range(rng.randrange(1, 6)):
+        out += rng.choices(telling, k=rng.randrange(0, 90))
+        own = rng.choice(list(L.TEMPLATES.values())).replace("<year> <owner>", "2020 Jane Doe").split()
+        for i in range(len(own)):
+            if rng.random() < 0.08:
+                own[i] = rng.choice(telling)
+        out += own
+    return "\n".join(" ".join(out[i : i + 11]) for i in range(0, len(out), 11))
+
+
+def test_ranked_candidates_lose_no_notice(monkeypatch):
+    rng = random.Random(5)
+    texts = [odd_text(rng).split("\n") for _ in range(150)]
+    run = lambda: [L.notices(lines, list(range(len(lines))), CHOSEN, 9, 0.2, 6) for lines in texts]
+    got = run()
+    monkeypatch.setattr(L, "candidates", lambda window, templates, level: list(range(len(templates))))  # every template against every window
+    assert got == run() and sum(map(len, got)) > 300
+
+
+def test_compression_chooses_the_candidates(monkeypatch):
+    lines = ["Some words before it.", L.TEMPLATES["MIT"], "and after."]
+    own = L.words(" ".join(lines))
+    assert L.candidates(own, CHOSEN, 9)[0] == [name for name, _ in CHOSEN].index("MIT")
+    assert L.candidates("river stone winter light".split(), CHOSEN, 9) == []
+    assert [n[2] for n in L.notices(lines, [1], CHOSEN, 9, 0.2, 6)] == ["MIT"]
+    swapped = tuple((name, "river stone winter light") for name, _ in CHOSEN)
+    dictionaries = L._word_compressors
+    monkeypatch.setattr(L, "_word_compressors", lambda templates, level: dictionaries(swapped, level))
+    assert L.notices(lines, [1], CHOSEN, 9, 0.2, 6) == []
