@@ -7,13 +7,13 @@
    stand for, or dropped as a separator or repetition, each at a price; a separator may also end a word, so a span can become several words. A Viterbi search under the character model picks the cheapest reading.
    All other words are their own reading.
 3. The restored text is scored by its words and their first four and five letters: each such feature has a weight, the lower bound of its log odds
-   in labelled texts, kept in a table of fixed size by hash. A text's evidence is the sum of its three largest weights; logistic regression
-   turns that into a probability. Language, source and id are never used.
+   in labelled texts, kept in a table of fixed size by hash. A word weighs what its heaviest feature does, and every distinct word of a text counts:
+   its heaviest word, the sum of all others and that sum for the text's length are the inputs of a logistic regression. Language, source and id are
+   never used.
 """
 
 from __future__ import annotations
 
-import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -28,7 +28,7 @@ from sparkcurves.llm import shared as S
 BUCKETS = 1 << 20
 TRAINING_ROWS = 60_000  # labelled rows that weights and regression are fit on, at most
 PREFIXES = (4, 5)
-TOP = 3
+INPUTS = 3  # of the regression
 BOUND = 2.0  # standard deviations by which a feature's counts are moved against it
 
 # --- folded characters ------------------------------------------------------------------------------------------------
@@ -106,41 +106,48 @@ READ, DROP_SEPARATOR, DROP_DOUBLE, DROP_REPEAT, DROP_MARK, KEEP_OTHER = 0.5, 0.2
 DROP_OPENING = 3.0  # "¡" is a letter in hiding or opens a sentence
 
 
-def decode(span: str, model: CharacterModel, beam: int = 64) -> str:
-    """The most likely words behind a span: Viterbi over its character lattice, the last two letters being the state.
+def decode(span: str, model: CharacterModel) -> str:
+    """The most likely words behind a span: exact Viterbi over its character lattice, the last two symbols being the state.
 
-    A separator is dropped or read as the gap after a word, at the price the character model gives to a word's end and the next one's start.
+    A separator is dropped or read as the gap after a word, at the price the character model gives to a word's end and the next one's start. No
+    state is dropped; there are at most SYMBOLS ** 2. A state points back to the one before it, so time and memory grow with the span's length.
     """
-    cost = model.cost
-    states: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+    cost = model.cost.tolist()
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}  # price, reading as linked characters
     run, previous = 0, ""
     for ch in _folded(span):
         if ch not in SEPARATORS:  # how often in a row the character has come; two may be the word's own, three are drawn out
             run, previous = (run + 1 if ch == previous else 1), ch
-        nexts: dict[tuple[int, int, str], tuple[float, str]] = {}
-
-        def offer(state, price, text):
-            if state not in nexts or (price, text) < nexts[state]:
-                nexts[state] = (price, text)
-
-        readings = [(ch, 0.0)] if "a" <= ch <= "z" else [(x, READ) for x in STANDS_FOR.get(ch, "")]
-        for (a, b, last), (price, text) in states.items():
-            for letter, extra in readings:
-                s = ord(letter) - 96
-                offer((b, s, letter), price + extra + cost[a, b, s], text + letter)
-                if letter == last:
-                    offer((a, b, last), price + (DROP_REPEAT if run > 2 else DROP_DOUBLE), text)
+        letter_itself = "a" <= ch <= "z"
+        readings = [(ch, ord(ch) - 96, 0.0)] if letter_itself else [(x, ord(x) - 96, READ) for x in STANDS_FOR.get(ch, "")]
+        offers = []
+        for state, (price, reading) in states.items():
+            a, b = state
+            row = cost[a][b]
+            for letter, s, extra in readings:
+                offers.append(((b, s), price + extra + row[s], reading, letter))
+                if s == b:
+                    offers.append((state, price + (DROP_REPEAT if run > 2 else DROP_DOUBLE), reading, ""))
             if ch in SEPARATORS:
-                offer((a, b, last), price + DROP_SEPARATOR, text)
+                offers.append((state, price + DROP_SEPARATOR, reading, ""))
                 if b:
-                    offer((0, 0, ""), price + cost[a, b, 0], text + " ")
+                    offers.append(((0, 0), price + row[0], reading, " "))
             elif not readings:
-                offer((b, 27, ""), price + KEEP_OTHER + cost[a, b, 27], text + ch)
-                offer((a, b, last), price + DROP_MARK, text)
-            elif not "a" <= ch <= "z":
-                offer((a, b, last), price + (DROP_OPENING if ch == "¡" and not b else DROP_MARK), text)
-        states = dict(heapq.nsmallest(beam, nexts.items(), key=lambda e: (e[1], e[0]))) if len(nexts) > beam else nexts
-    return min((price + (cost[a, b, 0] if b or not text else 0.0), text) for (a, b, _), (price, text) in states.items())[1].rstrip()
+                offers.append(((b, 27), price + KEEP_OTHER + row[27], reading, ch))
+                offers.append((state, price + DROP_MARK, reading, ""))
+            elif not letter_itself:
+                offers.append((state, price + (DROP_OPENING if ch == "¡" and not b else DROP_MARK), reading, ""))
+        best: dict[tuple[int, int], tuple] = {}
+        for offer in offers:
+            if offer[0] not in best or offer[1] < best[offer[0]][1]:
+                best[offer[0]] = offer
+        states = {state: (price, (reading, added) if added else reading) for state, price, reading, added in best.values()}
+    node = min(((price + (cost[a][b][0] if b or node is None else 0.0), a, b, node) for (a, b), (price, node) in states.items()), key=lambda x: x[:3])[3]
+    out = []
+    while node:
+        node, added = node
+        out.append(added)
+    return "".join(reversed(out)).rstrip()
 
 
 def _folded(span: str) -> str:
@@ -269,15 +276,15 @@ def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: i
 
 
 def text_features(texts: pa.Array, model: CharacterModel, known: dict[str, str], buckets: int) -> Iterator[np.ndarray]:
-    """Buckets of each restored text's features, text by text."""
+    """(words, features of a word) buckets of each restored text, text by text."""
     data, offsets = S.text_buffer(texts)
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
         own = data[a:b]
         if a == b:
-            yield np.zeros(0, np.int64)
+            yield np.zeros((0, 1 + len(PREFIXES)), np.int64)
             continue
         starts, ends, readings = restored_words(own, model, known)
-        features = _features(own, starts, ends, buckets) if len(starts) else np.zeros((0, 1), np.int64)
+        features = _features(own, starts, ends, buckets) if len(starts) else np.zeros((0, 1 + len(PREFIXES)), np.int64)
         if readings:
             keep = np.ones(len(starts), bool)
             for first, last, _ in readings:
@@ -289,27 +296,33 @@ def text_features(texts: pa.Array, model: CharacterModel, known: dict[str, str],
             stop[:-1] &= ~inside[1:]
             begins, stops = np.flatnonzero(begin), np.flatnonzero(stop) + 1
             features = np.vstack([features[keep], _features(more, begins, stops, buckets)]) if len(begins) else features[keep]
-        yield features.ravel()
+        yield features
 
 
 @dataclass
 class Scorer:
     model: CharacterModel
     weights: np.ndarray  # by bucket
-    slope: float
+    slopes: np.ndarray  # by input
     intercept: float
 
     def evidence(self, texts: pa.Array, known: dict[str, str]) -> np.ndarray:
-        out = np.zeros(len(texts))
+        """(texts, INPUTS): the heaviest distinct word, the sum of the others, and that sum over the root of the number of distinct words."""
+        out = np.zeros((len(texts), INPUTS))
         for i, features in enumerate(text_features(texts, self.model, known, len(self.weights))):
-            own = self.weights[features]
-            own = own[own > 0]
-            if len(own):
-                out[i] = np.sort(own)[-TOP:].sum()
+            if not len(features):
+                continue
+            own = np.maximum(self.weights[features].max(axis=1), 0.0)
+            if not own.any():
+                continue
+            _, first = np.unique(features[:, 0], return_index=True)
+            own = own[first]
+            rest = own.sum() - own.max()
+            out[i] = own.max(), rest, rest / np.sqrt(len(own))
         return out
 
     def scores(self, texts: pa.Array, known: dict[str, str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.evidence(texts, known) + self.intercept)))
+        return 1 / (1 + np.exp(-np.clip(self.evidence(texts, known) @ self.slopes + self.intercept, -500, 500)))
 
 
 def training_rows(labels: DataFrame, held_out: int = 5, most: int = TRAINING_ROWS) -> DataFrame:
@@ -350,33 +363,36 @@ def fit(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: i
         low = row["bad"] - BOUND * np.sqrt(row["bad"])
         high = row["clean"] + BOUND * np.sqrt(row["clean"]) + 1
         weights[row["bucket"]] = max(0.0, np.log(low / (n_bad + 1)) - np.log(high / (n_clean + 1)))
-    scorer = Scorer(model, weights, 1.0, 0.0)
+    scorer = Scorer(model, weights, np.ones(INPUTS), 0.0)
 
     def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch({"toxic": batch.column("toxic"), "x": pa.array(scorer.evidence(batch.column("text"), {}))})
+        found = scorer.evidence(batch.column("text"), {})
+        return pa.record_batch({"toxic": batch.column("toxic"), **{f"x{i}": pa.array(found[:, i]) for i in range(INPUTS)}})
 
-    points = S.map_arrow(train, S.arrow_map(weigh), "toxic int, x double").groupBy(F.round("x", 2).alias("x")).agg(
-        F.count("*").alias("n"), F.sum("toxic").alias("bad")).collect()  # evidence in hundredths: a few thousand rows
-    scorer.slope, scorer.intercept = _logistic([(r["x"], r["n"], r["bad"]) for r in points])
+    inputs = [f"x{i}" for i in range(INPUTS)]
+    points = S.map_arrow(train, S.arrow_map(weigh), "toxic int, " + ", ".join(f"{x} double" for x in inputs)).groupBy(
+        *[F.round(x, 2).alias(x) for x in inputs]).agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).orderBy(*inputs).collect()  # at most `most` rows
+    scorer.slopes, scorer.intercept = _logistic([(*(r[x] for x in inputs), r["n"], r["bad"]) for r in points])
     return scorer
 
 
-def _logistic(points: list[tuple[float, int, int]], ridge: float = 0.05, steps: int = 50) -> tuple[float, float]:
-    """Slope and intercept by Newton's method; a small ridge keeps them finite where evidence parts the labels without error."""
-    if not points or not sum(p[2] for p in points):
-        return 1.0, -5.0
-    x, n, bad = (np.array(c, float) for c in zip(*points, strict=True))
-    w = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], axis=1)
+def _logistic(points: list[tuple], ridge: float = 0.05, steps: int = 50) -> tuple[np.ndarray, float]:
+    """Slopes and intercept by Newton's method; a small ridge keeps them finite where evidence parts the labels without error."""
+    if not points or not sum(p[-1] for p in points):
+        return np.ones(INPUTS), -5.0
+    table = np.array(points, float)
+    x, n, bad = table[:, :-2], table[:, -2], table[:, -1]
+    design = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(design.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         gradient = design.T @ (bad - n * p) - ridge * w
-        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + ridge * np.eye(2)
+        hessian = (design * (n * p * (1 - p))[:, None]).T @ design + ridge * np.eye(len(w))
         step = np.linalg.solve(hessian, gradient)
         w += np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w[:-1], float(w[-1])
 
 
 def score(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most: int = TRAINING_ROWS) -> DataFrame:
@@ -389,13 +405,13 @@ def score(documents: DataFrame, labels: DataFrame, buckets: int = BUCKETS, most:
     texts = S.pick(documents, doc_id="doc_id", text="text")
     scorer = fit(texts, labels, buckets, most)
     place = np.flatnonzero(scorer.weights)
-    sparse, slope, intercept, model = scorer.weights[place], scorer.slope, scorer.intercept, scorer.model
+    sparse, slopes, intercept, model = scorer.weights[place], scorer.slopes, scorer.intercept, scorer.model
     rows = texts.select("doc_id", S.whole_text("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros(buckets)
         weights[place] = sparse
-        own, known = Scorer(model, weights, slope, intercept), {}
+        own, known = Scorer(model, weights, slopes, intercept), {}
         for batch in batches:
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "score": pa.array(own.scores(batch.column("text"), known))})
 

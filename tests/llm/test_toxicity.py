@@ -1,7 +1,9 @@
 import random
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkcurves.llm import toxicity as X
@@ -52,6 +54,60 @@ def test_search_finds_the_cheapest_reading():
     assert X.decode("m0r1n", model) == best[1]
 
 
+def readings(span, model):
+    """(price, reading) of every path through a span's lattice."""
+    todo = [(0.0, 0, 0, "")]
+    run, previous = 0, ""
+    for ch in span:
+        if ch not in X.SEPARATORS:
+            run, previous = (run + 1 if ch == previous else 1), ch
+        out = []
+        for price, a, b, text in todo:
+            letters = [(ch, 0.0)] if ch.isalpha() else [(x, X.READ) for x in X.STANDS_FOR.get(ch, "")]
+            for x, extra in letters:
+                out.append((price + extra + model.cost[a, b, ord(x) - 96], b, ord(x) - 96, text + x))
+                if text and text[-1] == x:
+                    out.append((price + (X.DROP_REPEAT if run > 2 else X.DROP_DOUBLE), a, b, text))
+            if ch in X.SEPARATORS:
+                out.append((price + X.DROP_SEPARATOR, a, b, text))
+                if b:
+                    out.append((price + model.cost[a, b, 0], 0, 0, text + " "))
+            elif not letters:
+                out.append((price + X.KEEP_OTHER + model.cost[a, b, 27], b, 27, text + ch))
+            if not ch.isalpha() and ch not in X.SEPARATORS:
+                out.append((price + X.DROP_MARK, a, b, text))
+        todo = out
+    return {(round(price + (model.cost[a, b, 0] if b or not text else 0.0), 9), text.rstrip()) for price, a, b, text in todo}
+
+
+def test_no_reading_is_cheaper():
+    rng, model = random.Random(2), spaced_model()
+    for _ in range(120):
+        span = "".join(rng.choice("iidot10 .mraan4#") for _ in range(rng.randrange(1, 8)))
+        every = readings(span, model)
+        least = min(price for price, _ in every)
+        assert X.decode(span, model) in {text for price, text in every if price <= least + 1e-8}, span
+
+
+def test_long_runs_of_single_characters_take_time_in_proportion():
+    model, took = spaced_model(), []
+    for n in (10_000, 40_000):
+        start = time.process_time()
+        assert X.decode("1 0 " * n, model)
+        took.append(time.process_time() - start)
+    assert took[1] < 8 * took[0] + 1
+
+
+def test_every_distinct_word_counts():
+    weights = np.zeros(1 << 12)
+    texts = [" ".join(f"zq{i}xvw" for i in range(n)) for n in (1, 2, 8)] + ["zq0xvw " * 9]
+    scorer = X.Scorer(plain_model(), weights, np.ones(X.INPUTS), 0.0)
+    for features in X.text_features(pa.array(texts), scorer.model, {}, len(weights)):
+        weights[features[:, 0]] = 1.0
+    heaviest, rest, rate = scorer.evidence(pa.array(texts), {}).T
+    assert heaviest.tolist() == [1, 1, 1, 1] and rest.tolist() == [0, 1, 7, 0] and np.allclose(rate, [0, 1 / 2**0.5, 7 / 8**0.5, 0])
+
+
 def test_plain_words_numbers_and_addresses_stay():
     text = "The 1990s cost $40, see mail7@example.com or password=a1b2c3 at 10:30; Ärger, été!"
     assert X.restore(text, plain_model()) == text
