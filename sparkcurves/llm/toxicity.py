@@ -7,7 +7,7 @@
    stand for, or dropped as a separator or repetition, each at a price; a separator may also end a word, so a span can become several words. A Viterbi search under the character model picks the cheapest reading.
    All other words are their own reading.
 3. The restored text is scored by its words and their first four and five letters: each such feature has a weight, the lower bound of its log odds
-   in labelled texts, kept in a table of fixed size by hash. A word weighs what its heaviest feature does, and every distinct word of a text counts:
+   in labelled texts, kept in a table of fixed size by hash. A word weighs what its features do together, and every distinct word of a text counts:
    its heaviest word, the sum of all others and that sum for the text's length are the inputs of a logistic regression. Language, source and id are
    never used.
 """
@@ -312,7 +312,7 @@ class Scorer:
         for i, features in enumerate(text_features(texts, self.model, known, len(self.weights))):
             if not len(features):
                 continue
-            own = np.maximum(self.weights[features].max(axis=1), 0.0)
+            own = self.weights[features].sum(axis=1)
             if not own.any():
                 continue
             _, first = np.unique(features[:, 0], return_index=True)
