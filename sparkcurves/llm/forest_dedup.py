@@ -9,6 +9,7 @@ value 4 * t on (and around), which makes neighbours of classes whose signatures
 * Neighbours. In each sorted order neighbours in a region (those with the longest common prefix) and the region's smallest class are candidates.
   Each class offers its smallest and its most alike ones for confirmation on full sets. Links join classes to components, which settles large
   groups of copies with a few confirmations each. Candidates that are not offered come again below, unless their classes have been joined by then.
+  Links found later join components by their roots, so that each link is followed once.
 * Regions again. Only pairs of different components in a region are left. Where the classes outside a region's largest component are few, all
   such pairs whose signatures allow a similarity near the threshold are confirmed on full sets. A region with more of them is split by
   prefixes of 8, then 16 values, each as deep as it needs, and its parts are compared in the same way.
@@ -197,7 +198,7 @@ def _likely(pairs: DataFrame, active: DataFrame, values: int, percent: int) -> D
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets."""
+    """Of pairs (a, b), those with 100 * intersection >= percent * union of their full sets; other columns stay."""
     def check(batch: pa.RecordBatch) -> pa.RecordBatch:
         keep = []
         for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True):
@@ -205,20 +206,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             both = np.sort(np.concatenate([x, y]))
             common = int((both[1:] == both[:-1]).sum())
             keep.append(100 * common >= percent * (len(x) + len(y) - common))
-        keep = pa.array(keep, pa.bool_())
-        return pa.record_batch({"a": batch.column("a").filter(keep), "b": batch.column("b").filter(keep)})
+        return batch.drop_columns(["sa", "sb"]).filter(pa.array(keep, pa.bool_()))
 
     one = sets.select(F.col("class").alias("first"), F.col("shingles").alias("sa"))
     two = sets.select(F.col("class").alias("second"), F.col("shingles").alias("sb"))
     paired = pairs.join(one, pairs["a"] == one["first"]).join(two, pairs["b"] == two["second"])
-    return S.map_arrow(paired.select("a", "b", "sa", "sb"), S.arrow_map(check), "a long, b long")
+    return S.map_arrow(paired.select(*pairs.columns, "sa", "sb"), S.arrow_map(check), pairs.schema)
 
 
 def _class_sets(documents: DataFrame, active: DataFrame, width: int) -> DataFrame:
     """The full shingle set of each active class, from the text that stands for it."""
     wanted = active.select("text_key", F.col("class"))
     texts = S.pick(documents, text="text").select(S.whole_text("text").alias("text")).withColumn("text_key", F.xxhash64("text"))
-    texts = texts.join(wanted.select("text_key").distinct(), "text_key", "left_semi")
+    texts = texts.join(wanted.select("text_key"), "text_key", "left_semi")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         hashes, at = _sets(batch.column("text"), width)
@@ -284,18 +284,18 @@ def _shared_buckets(crowd: DataFrame) -> np.ndarray:
 
     parts = S.map_arrow(crowd.select("root", "n", "shingles"), count, "block int, bucket binary, n binary, low binary, high binary")
     counts = np.zeros(1 << BUCKET_BITS, np.uint32)
-    for k, bucket, n in S.map_arrow(parts.repartition("block"), merge, "block int, bucket binary, n binary").toLocalIterator():
+    for k, bucket, n in S.map_arrow(parts.repartition("block"), merge, "block int, bucket binary, n binary").collect():  # 16 rows
         counts[np.frombuffer(bucket, np.int32) + k * block] = np.frombuffer(n, np.uint32)
     return counts
 
 
-def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of crowd(class, root, n) with different roots, among them all that reach the threshold, by an exact prefix filter.
+def _prefix_pairs(crowd: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of crowd(class, root, n, shingles) with different roots (ra, rb), among them all that reach the threshold, by an exact
+    prefix filter.
 
     Shingles are ordered by the count of their bucket: first those that one root alone has, which can't be in such a pair and don't leave
     the task, then from rare to frequent. Only the first fifth or so of each set goes on. `place` counts from 1 in the order.
     """
-    crowd = _store(crowd.join(sets, "class").select("class", "root", "n", "shingles"), "crowd")
     counts = crowd.sparkSession.sparkContext.broadcast(_shared_buckets(crowd))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +326,8 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     pair = (x["shingle"] == y["shingle"]) & (x["salt"] == y["salt"]) & F.expr(
         f"rx <> ry and (nx < ny or nx = ny and x < y) and nx * 100 >= ny * {percent}"
         f" and least(nx - px, ny - py) + 1 >= ({percent} * (nx + ny) + {99 + percent}) div {100 + percent}")
-    return x.join(y, pair).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    return x.join(y, pair).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"), F.greatest("rx", "ry").alias("ra"),
+                                  F.least("rx", "ry").alias("rb")).distinct()
 
 
 def classes_and_components(documents: DataFrame, width: int = 5, percent: int = 80, trees: int = TREES,
@@ -353,35 +354,29 @@ def classes_and_components(documents: DataFrame, width: int = 5, percent: int =
     best = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("same"), "b"))
     alike = both.withColumn("place", best).where(F.col("place") <= OFFERS).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     tried = _store(likely.groupBy("a").agg(F.min("b").alias("b")).union(alike).distinct(), "offers")
-    links = _store(_confirmed(tried, sets, percent), "links")
-    of = _store(S.components(links), "components")
+    of = S.components(_confirmed(tried, sets, percent))
 
     # regions that are still mixed: few outsiders are compared, the others are split by longer prefixes
-    opened, found = crowded.select("class", "tree", "key"), []
+    opened, found = _with_root(crowded.select("class", "tree", "key"), of, "class", "root"), []
     for depth in DEPTHS:
         if depth > ROOT:
-            deeper = _regions(active, depth, trees, values)
-            opened = opened.join(deeper, ["class", "tree"])
-        members = _sorted_out(_with_root(opened, of, "class", "root"), pairs_per_class)
-        members = _store(members, "mixed-regions")
+            opened = opened.join(_regions(active, depth, trees, values), ["class", "tree"])
+        members = _store(_sorted_out(opened, pairs_per_class), "mixed-regions")
         found.append(members.where("small").select("class", "key", "root"))
-        opened = members.where("not small").select("class", "tree")
+        opened = members.where("not small").select("class", "tree", "root")
         if opened.isEmpty():
             break
     small = _small_pairs(reduce(DataFrame.union, found), active, values, percent)
-    rest = _store(small.distinct().join(tried, ["a", "b"], "left_anti"), "region-candidates")
-    if not rest.isEmpty():
-        links = _store(links.union(_confirmed(rest, sets, percent)), "links")
-        of = _store(S.components(links), "components")
+    rest = small.dropDuplicates(["a", "b"]).join(tried, ["a", "b"], "left_anti")
+    of = S.joined_components(of, S.components(_confirmed(rest, sets, percent), "ra", "rb"))
 
     # what is open after that: classes of different roots in regions that were full at the least depth
     members = _sorted_out(_with_root(crowded.select("class", "tree", "key"), of, "class", "root"), pairs_per_class)
-    crowd = members.where("not small").select("class", "root").distinct().join(active.select("class", F.col("n_shingles").alias("n")), "class")
+    crowd = members.where("not small").select("class", "root").distinct().join(sets, "class")
+    crowd = _store(crowd.select("class", "root", F.expr("octet_length(shingles) div 8").alias("n"), "shingles"), "crowd")
     if not crowd.isEmpty():
-        rest = _store(_prefix_pairs(crowd, sets, percent), "last-candidates")
-        if not rest.isEmpty():
-            links = links.union(_confirmed(rest, sets, percent))
-            of = _store(S.components(links), "components")
+        rest = _prefix_pairs(crowd, percent)
+        of = S.joined_components(of, S.components(_confirmed(rest, sets, percent), "ra", "rb"))
     return docs, _with_root(classes.drop("signature"), of, "class", "root")
 
 
@@ -394,7 +389,7 @@ def _sorted_out(members: DataFrame, pairs_per_class: int) -> DataFrame:
 
 
 def _small_pairs(small: DataFrame, active: DataFrame, values: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of different roots in small regions whose signatures allow the threshold."""
+    """Pairs (a, b) of different roots (ra, rb) in small regions whose signatures allow the threshold."""
     # a pair that shares several of these regions is made in the first of them alone
     small = small.withColumn("keys", F.sort_array(F.collect_list("key").over(Window.partitionBy("class"))))  # at most `trees` rows a class and depth
     small = small.select("class", "root", "key", "keys").join(_shown(active, values), "class")
@@ -404,7 +399,7 @@ def _small_pairs(small: DataFrame, active: DataFrame, values: int, percent: int)
     pair &= F.get(F.array_intersect("ka", "kb"), 0) == x["key"]
     same = F.aggregate(F.zip_with("sa", "sb", lambda p, q: (p == q).cast("int")), F.lit(0), lambda n, p: n + p)
     pair &= same >= _least_same(values, percent)
-    return x.join(y, pair).select("a", "b")
+    return x.join(y, pair).select("a", "b", "ra", "rb")
 
 
 def _with_root(rows: DataFrame, of: DataFrame, column: str, name: str) -> DataFrame:

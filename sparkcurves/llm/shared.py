@@ -250,36 +250,33 @@ def shingle_hashes(words: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nd
 
 # --- connected components ---------------------------------------------------------------------------------------------
 
-def _all_stars(state: DataFrame) -> bool:
-    """Whether every u of (u, v) has one v, and none of these is a u itself."""
-    ends = state.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
-        state.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 100) -> DataFrame:
     """(node, root) for every node of an edge list of integers; root is the smallest node that can be reached.
 
     Alternates two star steps: every node hands its larger neighbours to its smallest one, then its smaller ones. Each step is a
     grouped minimum and a join, so a node with very many neighbours is never gathered into one row; the state is stored after
-    each round. Rounds end when all components are stars, after a number of them that grows with the logarithm of the size.
+    each round. Rounds end when all components are stars, after a number of them that grows with the logarithm of the size;
+    what was stored last then holds the roots.
     """
     spark = edges.sparkSession
     state = store(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
     for _ in range(most_rounds):
-        if _all_stars(state):
-            break
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("up"), F.max("v").alias("top"))
         # written, so that the join has plain exchanges on both sides and can split a node with very many neighbours
-        low = store(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        low = store(low.select("u", F.least("u", "m").alias("m"), F.expr("up > 1 or up = 1 and top > u").alias("open")), "least")
+        if low.where("open").isEmpty():  # every node is the centre of a star or has its centre as only neighbour
+            return low.select(F.col("u").alias("node"), F.col("m").alias("root"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         state = store(small.where("u <> v").distinct(), "stars")
         tidy(spark)
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    roots = state.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").union(
-        state.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def joined_components(of: DataFrame, more: DataFrame) -> DataFrame:
+    """Components of(node, root) after edges between their roots, or nodes that had none, have made components more(node, root) of these."""
+    later = more.select(F.col("node").alias("root"), F.col("root").alias("later"))
+    return store(of.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root")).union(more).distinct(), "components")

@@ -120,3 +120,22 @@ def test_one_row_of_each_component_stays(spark):
 
 def test_empty_table(spark):
     assert D.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_steps_do_not_grow_with_the_shuffle_partitions(spark):
+    rows = [r for r in templated(6, texts=90, pairs=20) if r[0] % 2]
+    want, steps = brute(rows, 2), {}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for partitions in (8, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            spark.sparkContext.setJobGroup(f"steps-{partitions}", "near duplicates")
+            got = D.near_duplicates(spark.createDataFrame(rows, SCHEMA), width=2, pairs_per_class=0).drop("text_key").collect()
+            assert sorted((tuple(r) for r in got), key=repr) == want
+            steps[partitions] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"steps-{partitions}"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", 8)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+    assert 0 < steps[40] <= steps[8] + 12, steps  # a step for each partition would add 32 and more

@@ -59,3 +59,19 @@ def test_components_of_paths_stars_and_rings(spark):
     got = {r["node"]: r["root"] for r in S.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 140)} | {i: 200 for i in range(200, 207)}
     assert S.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_joined_by_later_edges(spark):
+    def components(edges):
+        return S.components(spark.createDataFrame(edges, "a long, b long"))
+
+    random.seed(2)
+    first = [(random.randrange(200), random.randrange(200)) for _ in range(90)]
+    of = components(first)
+    root = {r["node"]: r["root"] for r in of.collect()}
+    later = [(random.randrange(230), random.randrange(230)) for _ in range(60)]  # some between nodes that had no edge
+    joined = S.joined_components(of, components([(root.get(a, a), root.get(b, b)) for a, b in later])).collect()
+    assert sorted(map(tuple, joined)) == sorted((r["node"], r["root"]) for r in components(first + later).collect())
+    none = components([])
+    assert sorted(map(tuple, S.joined_components(of, none).collect())) == sorted(root.items())
+    assert sorted(map(tuple, S.joined_components(none, of).collect())) == sorted(root.items())
